@@ -7,14 +7,25 @@ the JVM side, see ``mixframe.functions.vectors``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 BLOCK_VALUES = 1 << 17
 
 
+def row_function(fn: Callable[..., pa.Array], returns: str) -> Callable:
+    """An Arrow UDF that the optimizer evaluates once.
+
+    The functions here are deterministic, but a predicate on the result, such as the non-empty check that ``explode``
+    implies, would be pushed through the projection and run the function a second time. Declaring it nondeterministic
+    keeps the predicate above it. Filters on other columns belong before the call for the same reason.
+    """
+    return F.arrow_udf(fn, returns).asNondeterministic()
+
+
 def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     """Rows of a list column as a float64 matrix; null, short and long vectors are errors."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,8 +29,9 @@ def vocab_indicator(col: str | Column, vocabulary: Sequence[str], many: bool = F
     if not vocabulary:
         raise ValueError("a vocabulary is needed")
     if many:
-        hits = [F.size(F.filter(c, lambda x, v=v: x == F.lit(v))) for v in vocabulary]
-        return F.array(*[F.greatest(F.coalesce(h, F.lit(0)), F.lit(0)).cast("double") for h in hits])
+        # removing an entry shortens the list by its number of occurrences
+        hits = [F.size(c) - F.size(F.array_remove(c, v)) for v in vocabulary]
+        return F.array(*[F.coalesce(h, F.lit(0)).cast("double") for h in hits])
     return F.array(*[F.coalesce(c == F.lit(v), F.lit(False)).cast("double") for v in vocabulary])
 
 
@@ -97,7 +98,7 @@ def stack_channels(planes: Sequence[Column]) -> Column:
             flat.reshape(len(nested), channels, pixels).transpose(0, 2, 1).reshape(len(nested), channels * pixels)
         )
 
-    return F.arrow_udf(interleave, "array<double>")(F.array(*planes))
+    return arrow.row_function(interleave, "array<double>")(F.array(*planes))
 
 
 def bilinear_taps(source: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,4 +128,4 @@ def resize_bilinear(
             out[part] = full.reshape(full.shape[0], -1)
         return arrow.lists(out)
 
-    return F.arrow_udf(resample, "array<double>")(c)
+    return arrow.row_function(resample, "array<double>")(c)

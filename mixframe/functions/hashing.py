@@ -64,7 +64,7 @@ def add_noise(col: str, row_id: str, std: float, seed: int = 0) -> Column:
             out[part] = x[part] + std * normals(ids[part], x.shape[1])
         return arrow.lists(out)
 
-    return F.arrow_udf(noisy, "array<double>")(F.col(col), row_seed(row_id, seed))
+    return arrow.row_function(noisy, "array<double>")(F.col(col), row_seed(row_id, seed))
 
 
 def reparameterize(z_mu: str, z_sigma: str, row_id: str, seed: int = 0) -> Column:
@@ -76,4 +76,4 @@ def reparameterize(z_mu: str, z_sigma: str, row_id: str, seed: int = 0) -> Colum
         eps = normals(seeds.to_numpy(zero_copy_only=False), m.shape[1])
         return arrow.lists(m + np.exp(s / 2.0) * eps)
 
-    return F.arrow_udf(draw, "array<double>")(F.col(z_mu), F.col(z_sigma), row_seed(row_id, seed))
+    return arrow.row_function(draw, "array<double>")(F.col(z_mu), F.col(z_sigma), row_seed(row_id, seed))

@@ -41,7 +41,7 @@ def log_prob(z: str | Column, model: Mixture, with_weights: bool) -> Column:
     def density(values: pa.Array) -> pa.Array:
         return arrow.lists(log_prob_matrix(arrow.matrix(values, model.dim), model, with_weights))
 
-    return F.arrow_udf(density, "array<double>")(F.col(z) if isinstance(z, str) else z)
+    return arrow.row_function(density, "array<double>")(F.col(z) if isinstance(z, str) else z)
 
 
 def scaled(joint: str | Column, low: Column, high: Column) -> Column:
@@ -51,14 +51,40 @@ def scaled(joint: str | Column, low: Column, high: Column) -> Column:
         lows, highs = arrow.numbers(lo)[:, None], arrow.numbers(hi)[:, None]
         return arrow.lists((-arrow.matrix(values) - lows) / (highs - lows + RANGE_GUARD) * SCALE)
 
-    return F.arrow_udf(rescale, "array<double>")(F.col(joint) if isinstance(joint, str) else joint, low, high)
+    return arrow.row_function(rescale, "array<double>")(F.col(joint) if isinstance(joint, str) else joint, low, high)
 
 
 def softmax_column(p: str | Column) -> Column:
     def normalise(values: pa.Array) -> pa.Array:
         return arrow.lists(softmax(arrow.matrix(values)))
 
-    return F.arrow_udf(normalise, "array<double>")(F.col(p) if isinstance(p, str) else p)
+    return arrow.row_function(normalise, "array<double>")(F.col(p) if isinstance(p, str) else p)
+
+
+def negated_range(z: str | Column, model: Mixture) -> Column:
+    """Least and greatest negated joint of a row, as ``struct<low, high>``; null for a row with NaN."""
+
+    def bounds(values: pa.Array) -> pa.Array:
+        joint = log_prob_matrix(arrow.matrix(values, model.dim), model, with_weights=True)
+        low, high = -joint.max(axis=1), -joint.min(axis=1)
+        ends = [pa.array(v, mask=np.isnan(v)) for v in (low, high)]
+        return pa.StructArray.from_arrays(ends, names=["low", "high"])
+
+    return arrow.row_function(bounds, "struct<low: double, high: double>")(F.col(z) if isinstance(z, str) else z)
+
+
+def soft_and_hard(z: str | Column, model: Mixture, low: Column, high: Column) -> Column:
+    """Soft and hard assignment of a row in one pass, as ``struct<gamma, assignments>``."""
+
+    def both(values: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+        joint = log_prob_matrix(arrow.matrix(values, model.dim), model, with_weights=True)
+        lows, highs = arrow.numbers(lo)[:, None], arrow.numbers(hi)[:, None]
+        gamma = softmax((-joint - lows) / (highs - lows + RANGE_GUARD) * SCALE)
+        hard = pa.array(joint.argmax(axis=1).astype(np.int32))
+        return pa.StructArray.from_arrays([arrow.lists(gamma), hard], names=["gamma", "assignments"])
+
+    column = F.col(z) if isinstance(z, str) else z
+    return arrow.row_function(both, "struct<gamma: array<double>, assignments: int>")(column, low, high)
 
 
 def first_argmax(values: str | Column) -> Column:
@@ -79,7 +105,7 @@ def distances(z: str | Column, model: Mixture) -> Column:
                 out[part, k] = np.sqrt(np.einsum("ij,ij->i", delta, delta))
         return arrow.lists(out)
 
-    return F.arrow_udf(euclidean, "array<double>")(F.col(z) if isinstance(z, str) else z)
+    return arrow.row_function(euclidean, "array<double>")(F.col(z) if isinstance(z, str) else z)
 
 
 def latent_loss_terms(
@@ -108,4 +134,4 @@ def latent_loss_terms(
         value = -0.5 * (1.0 + s).sum(axis=1) - g @ log_weights + entropy.sum(axis=1)
         return pa.array(value + 0.5 * (g * (quadratic + log_var + normaliser)).sum(axis=1))
 
-    return F.arrow_udf(loss, "double")(F.col(z_mu), F.col(z_sigma), F.col(gamma))
+    return arrow.row_function(loss, "double")(F.col(z_mu), F.col(z_sigma), F.col(gamma))

@@ -31,6 +31,7 @@ VARIANCE_FLOOR = 1e-6
 FRACTION_ROWS = 256
 
 Sums = dict[str, np.ndarray]
+PARTS = "name string, parts array<double>"
 
 
 def init_sample(
@@ -47,6 +48,14 @@ def init_sample(
     return first_shuffled_rows(df, id_col, rows, seed)
 
 
+def parts_batch(arrays: Sums) -> pa.RecordBatch:
+    """Named flat arrays as rows ``(name, parts)``."""
+    names = pa.array(list(arrays), pa.string())
+    return pa.RecordBatch.from_arrays(
+        [names, pa.array(list(arrays.values()), pa.list_(pa.float64()))], names=["name", "parts"]
+    )
+
+
 def partition_sums(df: DataFrame, columns: list[str], reduce: Callable[[list[pa.Array]], Sums]) -> Sums:
     """Sum named arrays over all rows: ``reduce`` turns one Arrow batch into arrays, tasks add theirs up first.
 
@@ -60,13 +69,13 @@ def partition_sums(df: DataFrame, columns: list[str], reduce: Callable[[list[pa.
                 for name, values in reduce([batch.column(c) for c in columns]).items():
                     flat = np.asarray(values, dtype=np.float64).ravel()
                     total[name] = total[name] + flat if name in total else flat
-        names = list(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([total[n] for n in names], pa.list_(pa.float64()))],
-            names=["name", "parts"],
-        )
+        yield parts_batch(total)
+
+    return added_parts(df.select(*columns).mapInArrow(reduced, PARTS))
+
 
-    partial = df.select(*columns).mapInArrow(reduced, "name string, parts array<double>")
+def added_parts(partial: DataFrame) -> Sums:
+    """Element-wise sums of rows ``(name, parts)`` by name; as many numbers reach the driver as one task emitted."""
     summed = partial.select("name", F.posexplode("parts").alias("pos", "part")).groupBy("name", "pos")
     rows = summed.agg(F.sum("part").alias("total")).collect()
     out: Sums = {}

@@ -78,7 +78,7 @@ def _planes(spec: FeatureSpec, vectors: dict[str, str], frame: tuple[int, int],
     if spec.kind == "fcNumeric" and spec.shape:
         return [features.to_frame(features.pad(features.numeric(spec), *padding), height, width)]
     if spec.kind == "fcNumeric":
-        return [features.scalar_plane(spec.name, height, width)]
+        return [features.scalar_plane(features.numeric(spec), height, width)]
     size = spec.embedding_size if spec.kind == "fcHashEmbedding" else len(spec.params["vocabulary"])
     return features.categorical_planes(_vector(spec, vectors), size, height, width)
 

@@ -71,7 +71,7 @@ def _own_and_other(distances: str, label: str, positive_only: bool) -> tuple[Col
         least = d.min(axis=1) if d.size else np.empty(0)
         return pa.array(least, mask=np.isinf(least))
 
-    other = F.arrow_udf(nearest_other, "double")(F.col(distances), F.col(label))
+    other = arrow.row_function(nearest_other, "double")(F.col(distances), F.col(label))
     return F.element_at(distances, F.col(label) + 1), other
 
 

@@ -185,7 +185,7 @@ def encode(df: DataFrame, coder: Coder, frame: str = "x") -> DataFrame:
             mu[part], sigma[part] = coder.encode_rows(x[part])
         return pa.StructArray.from_arrays([arrow.lists(mu), arrow.lists(sigma)], names=["z_mu", "z_sigma"])
 
-    latent = F.arrow_udf(both, "struct<z_mu: array<double>, z_sigma: array<double>>")(F.col(frame))
+    latent = arrow.row_function(both, "struct<z_mu: array<double>, z_sigma: array<double>>")(F.col(frame))
     return df.withColumn("__latent", latent).select(
         *df.columns, F.col("__latent.z_mu").alias("z_mu"), F.col("__latent.z_sigma").alias("z_sigma")
     )
@@ -207,4 +207,4 @@ def decode(df: DataFrame, coder: Coder, code: str = "z_mu", out: str = "xhat") -
             x[part] = coder.decode_rows(z[part])
         return arrow.lists(x)
 
-    return df.withColumn(out, F.arrow_udf(reconstruct, "array<double>")(F.col(code)))
+    return df.withColumn(out, arrow.row_function(reconstruct, "array<double>")(F.col(code)))

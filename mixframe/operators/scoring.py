@@ -71,8 +71,22 @@ def predict(
     z: str | None = "z",
     batch_col: str | None = None,
 ) -> DataFrame:
-    """Prediction records: ids, the latent columns that exist, gamma and assignments; never labels."""
+    """Prediction records: ids, the latent columns that exist, gamma and assignments; never labels.
+
+    The same numbers as ``score``, with one function call per pass: a first pass for the range of the joint, and a
+    second one from the code straight to both assignments.
+    """
+    mixture_model = as_mixture(model)
     latent = [c for c in (z_mu, z_sigma, z) if c is not None]
     batch = [batch_col] if batch_col else []
     narrow = df.select(*dict.fromkeys([*ids, *latent, *batch]))
-    return score(narrow, model, z_mu, batch_col).select(*ids, *latent, "gamma", "assignments")
+    ends = narrow.select(*batch, mixture.negated_range(z_mu, mixture_model).alias("__ends"))
+    span = [F.min("__ends.low").alias("__low"), F.max("__ends.high").alias("__high")]
+    if batch_col is None:
+        ranged = narrow.withColumn("__span", ends.select(F.struct(*span)).scalar())
+        low, high = F.col("__span.__low"), F.col("__span.__high")
+    else:
+        ranged = lookup_join(narrow, ends.groupBy(batch_col).agg(*span), batch_col, row_bytes=40)
+        low, high = F.col("__low"), F.col("__high")
+    assigned = ranged.withColumn("__out", mixture.soft_and_hard(z_mu, mixture_model, low, high))
+    return assigned.select(*ids, *latent, "__out.gamma", "__out.assignments")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,10 @@ def dataset(spark: SparkSession, config: TableConfig, split: str, fmt: str = "pa
     if fmt not in FORMATS:
         raise ValueError(f"unsupported source format {fmt!r}")
     schema, path = config.schema(), config.paths[split]
+    if fmt == "json":
+        return spark.read.schema(schema).json(path)
     if fmt != "csv":
-        return spark.read.schema(schema).format(fmt).load(path)
+        return _self_described(spark, schema, path, fmt)
     # a user schema would bind CSV columns by position, so the header names them and the declared types follow
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
     if not raw.columns:
@@ -38,6 +41,20 @@ def dataset(spark: SparkSession, config: TableConfig, split: str, fmt: str = "pa
     return raw.select(*[c.alias(f.name) for c, f in zip(parsed, schema.fields, strict=True)])
 
 
+def _self_described(spark: SparkSession, schema: T.StructType, path: str, fmt: str) -> DataFrame:
+    """Files that carry their own types: the declared columns are cast where the stored type differs."""
+    try:
+        stored = spark.read.format(fmt).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], schema)
+    missing = [name for name in schema.names if name not in stored.columns]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
+    return stored.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def dataset_or_fallback(
     spark: SparkSession, config: TableConfig, split: str, fallback: str = "train", fmt: str = "parquet"
 ) -> DataFrame:
