@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixframe.model import Mixture, grouped_model
-from mixframe.operators import metrics, scoring
+from mixframe.operators import scoring
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -50,24 +50,24 @@ def latent(spark: SparkSession, folder: str) -> DataFrame:
     return codes.withColumn("z_sigma", F.transform("z_mu", lambda v: F.log(F.lit(0.01) + v * v)))
 
 
-def label_model(spark: SparkSession, folder: str) -> DataFrame:
-    """Model table of the labels: frequency, mean and variance."""
+def label_model(spark: SparkSession, folder: str) -> Mixture:
+    """Mixture of the labels: frequency, mean and variance."""
     return grouped_model(table(spark, folder, "embeddings"), "embedding", "label")
 
 
-def scored(spark: SparkSession, folder: str, batch_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Latent codes scored against the label model, and that model's table."""
+def scored(spark: SparkSession, folder: str, batch_col: str | None = None) -> tuple[DataFrame, Mixture]:
+    """Latent codes scored against the label model, and that model."""
     model = label_model(spark, folder)
     rows = latent(spark, folder)
     if batch_col is not None:
         rows = rows.withColumn(batch_col, F.floor(F.col("vec_id") / 128).cast("bigint"))
-    return scoring.score(rows, Mixture.from_table(model), batch_col=batch_col), model
+    return scoring.score(rows, model, batch_col=batch_col), model
 
 
-def reconstructed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Scored rows with x = the code and xhat = the centre of the row's cluster, and the model table."""
-    rows, model = scored(spark, folder)
-    return rows.withColumn("x", F.col("z_mu")).withColumn("xhat", metrics.own_centre(model)), model
+def reconstructed(spark: SparkSession, folder: str, batch_col: str | None = None) -> tuple[DataFrame, Mixture]:
+    """Scored rows with x = the code and xhat = the centre of the row's cluster, and the model."""
+    rows, model = scored(spark, folder, batch_col)
+    return rows.withColumn("x", F.col("z_mu")).withColumn("xhat", model.centre_of("assignments")), model
 
 
 # CTEs with the same content. ``e``: one row for each element; ``model``: one row for each component and dimension.
@@ -116,8 +116,8 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return source.select(*LINE_IDS, "l_returnflag", "l_linestatus", F.array(*LINE_FEATURES).alias("z_mu"))
 
 
-def line_model(spark: SparkSession, folder: str) -> DataFrame:
-    """Model table of the return flags."""
+def line_model(spark: SparkSession, folder: str) -> Mixture:
+    """Mixture of the return flags."""
     return grouped_model(lines(spark, folder), "z_mu", "l_returnflag")
 
 

@@ -94,13 +94,13 @@ def _signif(column: str) -> F.Column:
 def _momentum(spark: SparkSession, folder: str) -> DataFrame:
     centres, fit = _fitted(spark, folder)
     fresh = Mixture(fit.model.weights, centres, fit.model.variances).to_table(spark)
-    blended = fitting.momentum_update_table(label_model(spark, folder), fresh, FACTOR)
+    blended = fitting.momentum_update_table(label_model(spark, folder).to_table(spark), fresh, FACTOR)
     return _flat(spark, Mixture.from_table(blended))
 
 
 def _gradient(through_gamma: bool):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        model = Mixture.from_table(label_model(spark, folder))
+        model = label_model(spark, folder)
         _, gradient = finetune.latent_loss_gradient(latent(spark, folder), model, through_gamma=through_gamma)
         rows = [
             (k, d, float(gradient["pi"][k]), float(gradient["mu"][k, d]), float(gradient["var"][k, d]))
@@ -114,7 +114,7 @@ def _gradient(through_gamma: bool):
 
 
 def _finetune(spark: SparkSession, folder: str) -> DataFrame:
-    model = Mixture.from_table(label_model(spark, folder))
+    model = label_model(spark, folder)
     tuned, _ = finetune.finetune_mixture(latent(spark, folder), model, [0.5], [RATE], optimizer="SGD")
     return _flat(spark, tuned)
 

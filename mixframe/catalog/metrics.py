@@ -53,7 +53,7 @@ def _cosine(channels: int) -> Run:
 
 
 def _separation(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.separation(label_model(spark, folder)).select(rounded("separation").alias("separation"))
+    return metrics.separation(label_model(spark, folder).to_table(spark)).select(rounded("separation").alias("separation"))
 
 
 def _distances(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,9 +96,8 @@ def _running(spark: SparkSession, folder: str) -> DataFrame:
 
 def _evaluate(batch_col: str | None) -> Run:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        rows, model = scored(spark, folder, batch_col)
-        rows = rows.withColumn("x", F.col("z_mu")).withColumn("xhat", metrics.own_centre(model))
-        record = metrics.evaluate(rows, model, z_sigma="z_sigma", frame=(8, 8), batch_col=batch_col)
+        rows, model = reconstructed(spark, folder, batch_col)
+        record = metrics.evaluate(rows, model.to_table(spark), z_sigma="z_sigma", frame=(8, 8), batch_col=batch_col)
         return record.select(*[rounded(c).alias(c) for c in record.columns])
 
     return run

@@ -23,7 +23,6 @@ from mixframe.catalog.base import (
 from mixframe.catalog.scoring import LINE_SCORED
 from mixframe.catalog.tables import column, events_config
 from mixframe.config import TableConfig
-from mixframe.model import Mixture
 from mixframe.operators import metrics, scoring
 from mixframe.operators.custom import custom_scorer
 from mixframe.operators.latent_fit import LatentFit, fit_latent
@@ -124,9 +123,9 @@ def _score_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def _metrics_stream(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch_path(spark, "stream-metrics")
-    model = Mixture.from_table(label_model(spark, folder))
+    model = label_model(spark, folder)
     joint = scoring.joint_log_prob(_stream(spark, folder), model)
-    rows = scoring.assign(joint).select(F.col("z_mu").alias("x"), metrics.own_centre(model).alias("xhat"))
+    rows = scoring.assign(joint).select(F.col("z_mu").alias("x"), model.centre_of("assignments").alias("xhat"))
     jobs.metrics_stream(rows, out, scratch_path(spark, "stream-state")).awaitTermination()
     found = jobs.running_metrics(spark, out)
     return found.select(*[rounded(c).alias(c) for c in found.columns])

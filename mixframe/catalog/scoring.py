@@ -29,7 +29,7 @@ BATCH = "floor(vec_id / 128)"
 
 
 def _model(spark: SparkSession, folder: str) -> DataFrame:
-    model = label_model(spark, folder)
+    model = label_model(spark, folder).to_table(spark)
     flat = model.select("k", "pi", F.posexplode(F.arrays_zip("mu", "var")).alias("d", "e"))
     return flat.select(
         "k", "d", rounded("pi").alias("pi"), rounded("e.mu").alias("mu"), rounded("e.var").alias("var")
@@ -84,7 +84,8 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _line_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = scoring.score(lines(spark, folder), line_model(spark, folder))
+    ids = ["l_returnflag"]
+    rows = scoring.predict(lines(spark, folder), line_model(spark, folder), ids, z_sigma=None, z=None)
     return rows.groupBy("l_returnflag", "assignments").agg(
         F.count(F.lit(1)).alias("n"), rounded(F.avg(F.array_max("gamma"))).alias("mean_confidence")
     )

@@ -61,6 +61,18 @@ def softmax_column(p: str | Column) -> Column:
     return arrow.row_function(normalise, "array<double>")(F.col(p) if isinstance(p, str) else p)
 
 
+def rescaled_softmax(joint: str | Column, low: Column, high: Column) -> Column:
+    """Rescaled joint and its softmax in one pass, as ``struct<p, gamma>``."""
+
+    def both(values: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+        lows, highs = arrow.numbers(lo)[:, None], arrow.numbers(hi)[:, None]
+        p = (-arrow.matrix(values) - lows) / (highs - lows + RANGE_GUARD) * SCALE
+        return pa.StructArray.from_arrays([arrow.lists(p), arrow.lists(softmax(p))], names=["p", "gamma"])
+
+    column = F.col(joint) if isinstance(joint, str) else joint
+    return arrow.row_function(both, "struct<p: array<double>, gamma: array<double>>")(column, low, high)
+
+
 def negated_range(z: str | Column, model: Mixture) -> Column:
     """Least and greatest negated joint of a row, as ``struct<low, high>``; null for a row with NaN."""
 
@@ -93,21 +105,61 @@ def first_argmax(values: str | Column) -> Column:
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
+def distance_matrix(z: np.ndarray, model: Mixture) -> np.ndarray:
+    """N x K Euclidean distances to the centres."""
+    out = np.empty((len(z), model.k))
+    for part in arrow.blocks(len(z), model.dim):
+        for k in range(model.k):
+            delta = z[part] - model.means[k]
+            out[part, k] = np.sqrt(np.einsum("ij,ij->i", delta, delta))
+    return out
+
+
 def distances(z: str | Column, model: Mixture) -> Column:
     """Euclidean distance of a vector to each of the K centres."""
 
     def euclidean(values: pa.Array) -> pa.Array:
-        x = arrow.matrix(values, model.dim)
-        out = np.empty((len(x), model.k))
-        for part in arrow.blocks(len(x), model.dim):
-            for k in range(model.k):
-                delta = x[part] - model.means[k]
-                out[part, k] = np.sqrt(np.einsum("ij,ij->i", delta, delta))
-        return arrow.lists(out)
+        return arrow.lists(distance_matrix(arrow.matrix(values, model.dim), model))
 
     return arrow.row_function(euclidean, "array<double>")(F.col(z) if isinstance(z, str) else z)
 
 
+def own_and_near(z: str, label: str, model: Mixture, positive_only: bool) -> Column:
+    """Distance to the own centre and to the nearest other one, as ``struct<own, near>``.
+
+    With ``positive_only`` a distance of zero to another centre does not count; ``near`` is null when none is left.
+    """
+
+    def both(values: pa.Array, labels: pa.Array) -> pa.Array:
+        d = distance_matrix(arrow.matrix(values, model.dim), model)
+        at = np.arange(len(d)), labels.to_numpy(zero_copy_only=False).astype(np.int64)
+        own = d[at]
+        d[at] = np.inf
+        if positive_only:
+            d[d <= 0] = np.inf
+        near = d.min(axis=1)
+        ends = [pa.array(own), pa.array(near, mask=np.isinf(near))]
+        return pa.StructArray.from_arrays(ends, names=["own", "near"])
+
+    return arrow.row_function(both, "struct<own: double, near: double>")(F.col(z), F.col(label))
+
+
+def error_sums(x: str, xhat: str) -> Column:
+    """Sums over the elements of a row, as ``struct<absolute, squared, product>``."""
+
+    def sums(values: pa.Array, estimates: pa.Array) -> pa.Array:
+        a = arrow.matrix(values)
+        b = arrow.matrix(estimates, a.shape[1])
+        error = a - b
+        found = (np.abs(error), error * error, a * b)
+        return pa.StructArray.from_arrays(
+            [pa.array(f.sum(axis=1)) for f in found], names=["absolute", "squared", "product"]
+        )
+
+    kind = "struct<absolute: double, squared: double, product: double>"
+    return arrow.row_function(sums, kind)(F.col(x), F.col(xhat))
+
+
 def latent_loss_terms(
     z_mu: str, z_sigma: str, gamma: str, model: Mixture, exact: bool = False
 ) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODEL_SCHEMA = "k int, pi double, mu array<double>, var array<double>"
@@ -68,6 +68,10 @@ class Mixture:
         """The centres as one literal ``array<array<double>>``."""
         return F.array(*[vector_literal(row) for row in self.means])
 
+    def centre_of(self, label: str | Column) -> Column:
+        """The centre of a component number."""
+        return F.element_at(self.centres(), (F.col(label) if isinstance(label, str) else label) + 1)
+
 
 ModelLike = Mixture | DataFrame
 
@@ -85,11 +89,12 @@ def check_parameter_count(k: int, d: int) -> None:
         raise ValueError(f"a model of {k} x {d} parameters exceeds the {MAX_PARAMETERS} that tasks may hold")
 
 
-def grouped_model(df: DataFrame, vector: str, group: str) -> DataFrame:
-    """Model table of the groups of ``df``: frequency, mean and population variance of every group.
+def grouped_model(df: DataFrame, vector: str, group: str) -> Mixture:
+    """Mixture of the groups of ``df``: frequency, mean and population variance of every group.
 
     Groups are numbered 0 .. K-1 in the order of the group value. One exploded aggregate, combined on the map side to
-    at most K * D rows in each task, so neither a hot group nor a long table reaches one task whole.
+    at most K * D rows in each task, so neither a hot group nor a long table reaches one task whole; only the K * D
+    moments are collected, and no more than a model may have.
     """
     exploded = df.select(
         F.col(group).alias("g"), F.posexplode(F.col(vector).cast("array<double>")).alias("d", "x")
@@ -97,15 +102,15 @@ def grouped_model(df: DataFrame, vector: str, group: str) -> DataFrame:
     moments = exploded.groupBy("g", "d").agg(
         F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")
     )
-    components = moments.groupBy("g").agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("d", "m", "v"))).alias("s")
-    ).persist()
-    check_parameter_count(components.count(), 1)
-    # at most MAX_PARAMETERS rows, and K in practice, so numbering them needs no partitioning
-    everything = Window.partitionBy(F.lit(0))
-    return components.select(
-        (F.row_number().over(everything.orderBy("g")) - 1).cast("int").alias("k"),
-        (F.col("n") / F.sum("n").over(everything)).alias("pi"),
-        F.col("s.m").alias("mu"),
-        F.col("s.v").alias("var"),
-    )
+    rows = moments.limit(MAX_PARAMETERS + 1).collect()
+    if not rows:
+        raise ValueError("no rows to build a mixture from")
+    check_parameter_count(len(rows), 1)
+    groups = sorted({row["g"] for row in rows})
+    index = {g: k for k, g in enumerate(groups)}
+    shape = (len(groups), 1 + max(row["d"] for row in rows))
+    count, mean, variance = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    for row in rows:
+        at = index[row["g"]], row["d"]
+        count[at], mean[at], variance[at] = row["n"], row["m"], row["v"]
+    return Mixture(count[:, 0] / count[:, 0].sum(), mean, variance)

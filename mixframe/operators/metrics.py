@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixframe.functions import arrow, mixture
+from mixframe.functions import mixture
 from mixframe.functions.vectors import doubles, elements
-from mixframe.model import ModelLike, as_mixture, vector_literal
-from mixframe.operators import losses
+from mixframe.model import ModelLike, as_mixture
 from mixframe.operators.lookup import lookup_join
 
 # Rows of the small per-batch table that one task accumulates.
@@ -59,20 +56,8 @@ def center_distances(df: DataFrame, model: ModelLike, z_mu: str = "z_mu", out: s
     return df.withColumn(out, mixture.distances(z_mu, as_mixture(model)))
 
 
-def _own_and_other(distances: str, label: str, positive_only: bool) -> tuple[Column, Column]:
-    """Distance to the own centre and to the nearest other one."""
-
-    def nearest_other(values: pa.Array, labels: pa.Array) -> pa.Array:
-        d = arrow.matrix(values).copy()
-        own = labels.to_numpy(zero_copy_only=False).astype(np.int64)
-        d[np.arange(len(d)), own] = np.inf
-        if positive_only:
-            d[d <= 0] = np.inf
-        least = d.min(axis=1) if d.size else np.empty(0)
-        return pa.array(least, mask=np.isinf(least))
-
-    other = arrow.row_function(nearest_other, "double")(F.col(distances), F.col(label))
-    return F.element_at(distances, F.col(label) + 1), other
+def _silhouette(own: Column, near: Column) -> Column:
+    return (near - own) / F.nullif(F.greatest(own, near), F.lit(0.0))
 
 
 def simplified_silhouette(
@@ -92,18 +77,15 @@ def simplified_silhouette(
     if mode not in ("per_sample", "batch_min"):
         raise ValueError(f"unknown silhouette mode {mode!r}")
     batch = [batch_col] if batch_col else []
-    measured = center_distances(df.select(*batch, z_mu, label), model, z_mu, "__d")
-    own, other = _own_and_other("__d", label, positive_only=mode == "batch_min")
-    rows = measured.select(*batch, own.alias("a"), other.alias("b"))
+    quality = mixture.own_and_near(z_mu, label, as_mixture(model), positive_only=mode == "batch_min")
+    rows = df.select(*batch, quality.alias("q")).select(*batch, "q.own", "q.near")
     if mode == "batch_min":
-        least = F.min("b").alias("least")
+        least = F.min("near").alias("near")
         if batch_col is None:
-            rows = rows.select("a", rows.select(least).scalar().alias("b"))
+            rows = rows.select("own", rows.select(least).scalar().alias("near"))
         else:
-            joined = lookup_join(rows, rows.groupBy(batch_col).agg(least), batch_col, row_bytes=32)
-            rows = joined.select("a", F.col("least").alias("b"))
-    value = (F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))
-    return rows.agg(F.avg(value).alias(out))
+            rows = lookup_join(rows.drop("near"), rows.groupBy(batch_col).agg(least), batch_col, row_bytes=32)
+    return rows.agg(F.avg(_silhouette(F.col("own"), F.col("near"))).alias(out))
 
 
 def _dispersions(df: DataFrame, z: str, label: str, batch: list[str]) -> DataFrame:
@@ -218,26 +200,32 @@ def evaluate(
 ) -> DataFrame:
     """All metrics of a scored table in one record; with ``z_sigma`` also the reported loss.
 
-    ``df`` has assignments and, for the loss, gamma. With ``batch_col`` the batch-dependent metrics are taken batch by
-    batch, else over the whole table. Every metric is one aggregate used as a scalar subquery of one row.
+    ``df`` has assignments and, for the loss, gamma. The row-wise metrics share one scan, the dispersions take another.
+    With ``batch_col`` the batch-dependent metrics are taken batch by batch. ``df`` is read once more for each scalar
+    subquery, so persist it when scoring it is dear.
     """
-    mixture_model = as_mixture(model)
-    silhouette_mode = "batch_min" if batch_col else "per_sample"
-    silhouette = simplified_silhouette(df, mixture_model, silhouette_mode, batch_col, z_mu)
-    dispersion = calinski_harabasz(df, z_mu, mode="running" if batch_col else "exact", batch_col=batch_col)
+    m = as_mixture(model)
+    rows = df.select(
+        F.size(x).alias("n"),
+        mixture.error_sums(x, xhat).alias("e"),
+        mixture.own_and_near(z_mu, "assignments", m, positive_only=False).alias("q"),
+        *([] if z_sigma is None else [mixture.latent_loss_terms(z_mu, z_sigma, "gamma", m).alias("latent")]),
+    )
+    squared = F.sum("e.squared") / F.sum("n")
     record = [
-        separation(model).scalar().alias("separation"),
-        silhouette.scalar().alias("simple_silhouette"),
-        dispersion.scalar().alias("calinski_harabasz"),
+        (F.sum("e.absolute") / F.sum("n")).alias("mean_absolute_error"),
+        squared.alias("mean_squared_error"),
+        (1.0 - F.sum("e.product") * F.lit(float(channels)) / F.sum("n")).alias("mean_cosine_distance"),
+        F.avg(_silhouette(F.col("q.own"), F.col("q.near"))).alias("simple_silhouette"),
     ]
     if z_sigma is not None:
-        recon = losses.mse_recon_loss(df, x, xhat, *frame)
-        latent = losses.mixture_latent_loss(df, mixture_model, z_mu, z_sigma)
-        record.append(losses.static_loss(recon, latent).scalar().alias("loss"))
-    return reconstruction_metrics(df, x, xhat, channels).select("*", *record)
-
-
-def own_centre(model: ModelLike, label: str = "assignments") -> Column:
-    """The centre of a row's cluster."""
-    m = as_mixture(model)
-    return F.element_at(F.array(*[vector_literal(row) for row in m.means]), F.col(label) + 1)
+        record.append((squared * F.lit(float(frame[0] * frame[1])) + F.avg("latent")).alias("loss"))
+    found = rows.agg(*record)
+    if batch_col is not None:
+        by_batch = simplified_silhouette(df, m, "batch_min", batch_col, z_mu)
+        found = found.withColumn("simple_silhouette", by_batch.scalar())
+    mode = "exact" if batch_col is None else "running"
+    dispersion = calinski_harabasz(df, z_mu, mode=mode, batch_col=batch_col)
+    return found.withColumn("separation", separation(model).scalar()).withColumn(
+        "calinski_harabasz", dispersion.scalar()
+    )

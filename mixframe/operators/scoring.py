@@ -23,27 +23,31 @@ def joint_log_prob(df: DataFrame, model: ModelLike, z_mu: str = "z_mu", out: str
 def _range(joint: str) -> tuple[Column, Column]:
     """Least and greatest negated joint of a group of rows; NaN, which sorts above all numbers, is left out."""
     low, high = -F.array_max(joint), -F.array_min(joint)
-    return F.min(F.when(~F.isnan(low), low)).alias("__low"), F.max(F.when(~F.isnan(high), high)).alias("__high")
+    return F.min(F.when(~F.isnan(low), low)), F.max(F.when(~F.isnan(high), high))
+
+
+def _with_range(
+    df: DataFrame, ends: DataFrame, low: Column, high: Column, batch_col: str | None
+) -> tuple[DataFrame, Column, Column]:
+    """``df`` with the aggregates ``low`` and ``high`` of ``ends`` for its batch, and the two as columns.
+
+    Without a batch they are a scalar subquery of one row; with one they are joined back on the batch id.
+    """
+    if batch_col is None:
+        span = ends.select(F.struct(low.alias("low"), high.alias("high"))).scalar()
+        return df.withColumn("__span", span), F.col("__span.low"), F.col("__span.high")
+    ranges = ends.groupBy(batch_col).agg(low.alias("__low"), high.alias("__high"))
+    return lookup_join(df, ranges, batch_col, row_bytes=40), F.col("__low"), F.col("__high")
 
 
 def inverse_min_max(df: DataFrame, joint: str = "joint", out: str = "p", batch_col: str | None = None) -> DataFrame:
     """The joint rescaled so that each batch's range over rows and components becomes [-20, 0].
 
-    Without ``batch_col`` the whole table is one batch and its range is a scalar subquery. With it, the range of each
-    batch is joined back on the batch id. Both read the joint twice; persist ``df`` where a second scan costs more
-    than storing it.
+    Without ``batch_col`` the whole table is one batch. Either way the joint is read twice; persist ``df`` where a
+    second scan costs more than storing it.
     """
-    low, high = _range(joint)
-    if batch_col is None:
-        span = df.select(F.struct(low, high)).scalar()
-        ranged = df.withColumn("__span", span)
-        return ranged.withColumn(out, mixture.scaled(joint, F.col("__span.__low"), F.col("__span.__high"))).drop(
-            "__span"
-        )
-    ranges = df.groupBy(batch_col).agg(low, high)
-    joined = lookup_join(df, ranges, batch_col, row_bytes=40)
-    scaled = joined.withColumn(out, mixture.scaled(joint, F.col("__low"), F.col("__high")))
-    return scaled.select(*df.columns, out)
+    ranged, low, high = _with_range(df, df, *_range(joint), batch_col)
+    return ranged.withColumn(out, mixture.scaled(joint, low, high)).select(*df.columns, out)
 
 
 def responsibilities(df: DataFrame, p: str = "p", out: str = "gamma") -> DataFrame:
@@ -58,8 +62,13 @@ def assign(df: DataFrame, joint: str = "joint", out: str = "assignments") -> Dat
 
 def score(df: DataFrame, model: ModelLike, z_mu: str = "z_mu", batch_col: str | None = None) -> DataFrame:
     """``df`` with joint, p, gamma and assignments."""
-    joint = joint_log_prob(df, model, z_mu)
-    return assign(responsibilities(inverse_min_max(joint, batch_col=batch_col)))
+    mixture_model = as_mixture(model)
+    joint = joint_log_prob(df, mixture_model, z_mu)
+    batch = [batch_col] if batch_col else []
+    ends = df.select(*batch, mixture.negated_range(z_mu, mixture_model).alias("__ends"))
+    ranged, low, high = _with_range(joint, ends, F.min("__ends.low"), F.max("__ends.high"), batch_col)
+    soft = ranged.withColumn("__soft", mixture.rescaled_softmax("joint", low, high))
+    return assign(soft.select(*joint.columns, "__soft.p", "__soft.gamma"))
 
 
 def predict(
@@ -81,12 +90,6 @@ def predict(
     batch = [batch_col] if batch_col else []
     narrow = df.select(*dict.fromkeys([*ids, *latent, *batch]))
     ends = narrow.select(*batch, mixture.negated_range(z_mu, mixture_model).alias("__ends"))
-    span = [F.min("__ends.low").alias("__low"), F.max("__ends.high").alias("__high")]
-    if batch_col is None:
-        ranged = narrow.withColumn("__span", ends.select(F.struct(*span)).scalar())
-        low, high = F.col("__span.__low"), F.col("__span.__high")
-    else:
-        ranged = lookup_join(narrow, ends.groupBy(batch_col).agg(*span), batch_col, row_bytes=40)
-        low, high = F.col("__low"), F.col("__high")
+    ranged, low, high = _with_range(narrow, ends, F.min("__ends.low"), F.max("__ends.high"), batch_col)
     assigned = ranged.withColumn("__out", mixture.soft_and_hard(z_mu, mixture_model, low, high))
     return assigned.select(*ids, *latent, "__out.gamma", "__out.assignments")
