@@ -101,7 +101,8 @@ def encode_dense(df: DataFrame, col: str, weights: Weights) -> DataFrame:
     coded = df.withColumn(
         "__latent", arrow.row_function(both, "struct<z_mu: array<double>, z_sigma: array<double>>")(F.col(col))
     )
-    return coded.select("*", "__latent.z_mu", "__latent.z_sigma").drop("__latent")
+    kept = [c for c in df.columns if c not in ("z_mu", "z_sigma")]
+    return coded.select(*kept, "__latent.z_mu", "__latent.z_sigma")
 
 
 def mixture_gradient(z: np.ndarray, log_variance: np.ndarray, model: Mixture) -> tuple[float, Weights]:

@@ -78,42 +78,43 @@ def simplified_silhouette(
         raise ValueError(f"unknown silhouette mode {mode!r}")
     batch = [batch_col] if batch_col else []
     quality = mixture.own_and_near(z_mu, label, as_mixture(model), positive_only=mode == "batch_min")
-    rows = df.select(*batch, quality.alias("q")).select(*batch, "q.own", "q.near")
+    own, near = F.col("__q.own").alias("__own"), F.col("__q.near").alias("__near")
+    rows = df.select(*batch, quality.alias("__q")).select(*batch, own, near)
     if mode == "batch_min":
-        least = F.min("near").alias("near")
+        least = F.min("__near").alias("__near")
         if batch_col is None:
-            rows = rows.select("own", rows.select(least).scalar().alias("near"))
+            rows = rows.select("__own", rows.select(least).scalar().alias("__near"))
         else:
-            rows = lookup_join(rows.drop("near"), rows.groupBy(batch_col).agg(least), batch_col, row_bytes=32)
-    return rows.agg(F.avg(_silhouette(F.col("own"), F.col("near"))).alias(out))
+            rows = lookup_join(rows.drop("__near"), rows.groupBy(batch_col).agg(least), batch_col, row_bytes=32)
+    return rows.agg(F.avg(_silhouette(F.col("__own"), F.col("__near"))).alias(out))
 
 
 def _dispersions(df: DataFrame, z: str, label: str, batch: list[str]) -> DataFrame:
-    """For each batch: rows n, labels present k, between-cluster B and within-cluster W dispersion.
+    """For each batch: rows, labels present, between-cluster and within-cluster dispersion.
 
     One exploded aggregate to (batch, label, dimension) moments, combined on the map side; the rest works on those.
     """
-    exploded = df.select(*batch, F.col(label).alias("__l"), F.posexplode(doubles(z)).alias("__d", "__x"))
-    moments = exploded.groupBy(*batch, "__l", "__d").agg(
-        F.count("__x").alias("n"), F.avg("__x").alias("m"), F.var_pop("__x").alias("v")
+    exploded = df.select(*batch, F.col(label).alias("__label"), F.posexplode(doubles(z)).alias("__d", "__x"))
+    moments = exploded.groupBy(*batch, "__label", "__d").agg(
+        F.count("__x").alias("__n"), F.avg("__x").alias("__mean"), F.var_pop("__x").alias("__var")
     )
-    # the clusters of one batch and dimension: at most K rows, and the partitioning serves the aggregate below
+    # the clusters of one batch and dimension: at most K rows
     clusters = Window.partitionBy(*batch, "__d")
-    centre = F.sum(F.col("n") * F.col("m")).over(clusters) / F.sum("n").over(clusters)
-    centred = moments.withColumn("off", F.col("m") - centre)
+    centre = F.sum(F.col("__n") * F.col("__mean")).over(clusters) / F.sum("__n").over(clusters)
+    centred = moments.withColumn("__off", F.col("__mean") - centre)
     first = F.col("__d") == 0
     return centred.groupBy(*batch).agg(
-        F.sum(F.when(first, F.col("n"))).alias("n"),
-        F.count_if(first).alias("k"),
-        F.sum(F.col("n") * F.col("off") * F.col("off")).alias("b"),
-        F.sum(F.col("n") * F.col("v")).alias("w"),
+        F.sum(F.when(first, F.col("__n"))).alias("__rows"),
+        F.count_if(first).alias("__labels"),
+        F.sum(F.col("__n") * F.col("__off") * F.col("__off")).alias("__between"),
+        F.sum(F.col("__n") * F.col("__var")).alias("__within"),
     )
 
 
-def _ratio(b: Column, w: Column) -> Column:
-    n, k = F.col("n"), F.col("k")
-    denominator = w * (k - 1)
-    return F.when(denominator == 0, F.lit(1.0)).otherwise(b * (n - k) / F.nullif(denominator, F.lit(0.0)))
+def _ratio(between: Column, within: Column) -> Column:
+    n, k = F.col("__rows"), F.col("__labels")
+    denominator = within * (k - 1)
+    return F.when(denominator == 0, F.lit(1.0)).otherwise(between * (n - k) / F.nullif(denominator, F.lit(0.0)))
 
 
 def calinski_harabasz(
@@ -130,12 +131,12 @@ def calinski_harabasz(
     own n and k, then averages the scores.
     """
     if mode == "exact":
-        return _dispersions(df, z, label, []).select(_ratio(F.col("b"), F.col("w")).alias(out))
+        return _dispersions(df, z, label, []).select(_ratio(F.col("__between"), F.col("__within")).alias(out))
     if mode != "running" or batch_col is None:
         raise ValueError("mode is exact, or running with a batch column")
     batches = _dispersions(df, z, label, [batch_col])
-    running = running_mean(batches, batch_col, {"b": "mb", "w": "mw"})
-    return running.agg(F.avg(_ratio(F.col("mb"), F.col("mw"))).alias(out))
+    running = running_mean(batches, batch_col, {"__between": "__mb", "__within": "__mw"})
+    return running.agg(F.avg(_ratio(F.col("__mb"), F.col("__mw"))).alias(out))
 
 
 def running_mean(

@@ -186,9 +186,8 @@ def encode(df: DataFrame, coder: Coder, frame: str = "x") -> DataFrame:
         return pa.StructArray.from_arrays([arrow.lists(mu), arrow.lists(sigma)], names=["z_mu", "z_sigma"])
 
     latent = arrow.row_function(both, "struct<z_mu: array<double>, z_sigma: array<double>>")(F.col(frame))
-    return df.withColumn("__latent", latent).select(
-        *df.columns, F.col("__latent.z_mu").alias("z_mu"), F.col("__latent.z_sigma").alias("z_sigma")
-    )
+    kept = [c for c in df.columns if c not in ("z_mu", "z_sigma")]
+    return df.withColumn("__latent", latent).select(*kept, "__latent.z_mu", "__latent.z_sigma")
 
 
 def decode(df: DataFrame, coder: Coder, code: str = "z_mu", out: str = "xhat") -> DataFrame:
