@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixframe.functions.vectors import exploded
 from mixframe.model import Mixture, grouped_model
 from mixframe.operators import scoring
 
@@ -34,7 +35,7 @@ def rounded(col: str | Column, digits: int = 6) -> Column:
 
 def long(df: DataFrame, ids: list[str], vector: str, digits: int = 6, pos: str = "pos") -> DataFrame:
     """One row for each element of an array: ids, position from 0, rounded value."""
-    return df.select(*ids, F.posexplode(vector).alias(pos, "value")).select(
+    return exploded(df, list(ids), F.col(vector), pos, "value").select(
         *ids, pos, rounded(F.col("value").cast("double"), digits).alias("value")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,7 @@ def _running(spark: SparkSession, folder: str) -> DataFrame:
 def _evaluate(batch_col: str | None) -> Run:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         rows, model = reconstructed(spark, folder, batch_col)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         record = metrics.evaluate(rows, model.to_table(spark), z_sigma="z_sigma", frame=(8, 8), batch_col=batch_col)
         return record.select(*[rounded(c).alias(c) for c in record.columns])
 

@@ -38,6 +38,12 @@ def _predictions(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.predict(latent(spark, folder), label_model(spark, folder), ["vec_id"], z_sigma=None, z=None)
 
 
+def _indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """Running positions of the orders in the reverse of their keys."""
+    orders = table(spark, folder, "orders").select((F.col("o_orderkey") * -3 + 7).alias("key"), "o_custkey")
+    return predictions.with_index(orders, "key").select(F.col("index").alias("position"), "key", "o_custkey")
+
+
 def _summary(df: DataFrame) -> DataFrame:
     return df.select(
         "vec_id",
@@ -190,6 +196,12 @@ SELECT round(avg(abs(x - xhat)), 6) + 0.0 AS mean_absolute_error,
 FROM r"""
 
 QUERIES = [
+    Query(
+        "prediction_index",
+        _indexed,
+        """SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS position, o_orderkey * -3 + 7 AS key, o_custkey
+FROM orders""",
+    ),
     Query("write_json", _written("json"), TOP),
     Query("write_csv", _written("csv"), TOP),
     Query("write_text", _written("text"), TOP),

@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 BLOCK_VALUES = 1 << 17
 
 
-def row_function(fn: Callable[..., pa.Array], returns: str) -> Callable:
-    """An Arrow UDF that the optimizer evaluates once.
+def row_function(fn: Callable[..., pa.Array], returns: str, once: bool = False) -> Callable:
+    """An Arrow UDF.
 
-    The functions here are deterministic, but a predicate on the result, such as the non-empty check that ``explode``
-    implies, would be pushed through the projection and run the function a second time. Declaring it nondeterministic
-    keeps the predicate above it. Filters on other columns belong before the call for the same reason.
+    Filters on other columns move below it, to the scan. A filter on its own result would be moved too, and run it
+    twice; ``once`` keeps every filter above it. It is for the scoring functions, whose results are what one filters
+    on, and which may hold a scalar subquery that cannot move.
     """
-    return F.arrow_udf(fn, returns).asNondeterministic()
+    function = F.arrow_udf(fn, returns)
+    return function.asNondeterministic() if once else function
 
 
 def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:

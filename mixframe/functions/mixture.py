@@ -41,7 +41,7 @@ def log_prob(z: str | Column, model: Mixture, with_weights: bool) -> Column:
     def density(values: pa.Array) -> pa.Array:
         return arrow.lists(log_prob_matrix(arrow.matrix(values, model.dim), model, with_weights))
 
-    return arrow.row_function(density, "array<double>")(F.col(z) if isinstance(z, str) else z)
+    return arrow.row_function(density, "array<double>", once=True)(F.col(z) if isinstance(z, str) else z)
 
 
 def scaled(joint: str | Column, low: Column, high: Column) -> Column:
@@ -51,14 +51,14 @@ def scaled(joint: str | Column, low: Column, high: Column) -> Column:
         lows, highs = arrow.numbers(lo)[:, None], arrow.numbers(hi)[:, None]
         return arrow.lists((-arrow.matrix(values) - lows) / (highs - lows + RANGE_GUARD) * SCALE)
 
-    return arrow.row_function(rescale, "array<double>")(F.col(joint) if isinstance(joint, str) else joint, low, high)
+    return arrow.row_function(rescale, "array<double>", once=True)(F.col(joint) if isinstance(joint, str) else joint, low, high)
 
 
 def softmax_column(p: str | Column) -> Column:
     def normalise(values: pa.Array) -> pa.Array:
         return arrow.lists(softmax(arrow.matrix(values)))
 
-    return arrow.row_function(normalise, "array<double>")(F.col(p) if isinstance(p, str) else p)
+    return arrow.row_function(normalise, "array<double>", once=True)(F.col(p) if isinstance(p, str) else p)
 
 
 def rescaled_softmax(joint: str | Column, low: Column, high: Column) -> Column:
@@ -70,7 +70,7 @@ def rescaled_softmax(joint: str | Column, low: Column, high: Column) -> Column:
         return pa.StructArray.from_arrays([arrow.lists(p), arrow.lists(softmax(p))], names=["p", "gamma"])
 
     column = F.col(joint) if isinstance(joint, str) else joint
-    return arrow.row_function(both, "struct<p: array<double>, gamma: array<double>>")(column, low, high)
+    return arrow.row_function(both, "struct<p: array<double>, gamma: array<double>>", once=True)(column, low, high)
 
 
 def negated_range(z: str | Column, model: Mixture) -> Column:
@@ -82,7 +82,7 @@ def negated_range(z: str | Column, model: Mixture) -> Column:
         ends = [pa.array(v, mask=np.isnan(v)) for v in (low, high)]
         return pa.StructArray.from_arrays(ends, names=["low", "high"])
 
-    return arrow.row_function(bounds, "struct<low: double, high: double>")(F.col(z) if isinstance(z, str) else z)
+    return arrow.row_function(bounds, "struct<low: double, high: double>", once=True)(F.col(z) if isinstance(z, str) else z)
 
 
 def soft_and_hard(z: str | Column, model: Mixture, low: Column, high: Column) -> Column:
@@ -96,7 +96,7 @@ def soft_and_hard(z: str | Column, model: Mixture, low: Column, high: Column) ->
         return pa.StructArray.from_arrays([arrow.lists(gamma), hard], names=["gamma", "assignments"])
 
     column = F.col(z) if isinstance(z, str) else z
-    return arrow.row_function(both, "struct<gamma: array<double>, assignments: int>")(column, low, high)
+    return arrow.row_function(both, "struct<gamma: array<double>, assignments: int>", once=True)(column, low, high)
 
 
 def first_argmax(values: str | Column) -> Column:
@@ -121,7 +121,7 @@ def distances(z: str | Column, model: Mixture) -> Column:
     def euclidean(values: pa.Array) -> pa.Array:
         return arrow.lists(distance_matrix(arrow.matrix(values, model.dim), model))
 
-    return arrow.row_function(euclidean, "array<double>")(F.col(z) if isinstance(z, str) else z)
+    return arrow.row_function(euclidean, "array<double>", once=True)(F.col(z) if isinstance(z, str) else z)
 
 
 def own_and_near(z: str, label: str, model: Mixture, positive_only: bool) -> Column:
@@ -141,7 +141,7 @@ def own_and_near(z: str, label: str, model: Mixture, positive_only: bool) -> Col
         ends = [pa.array(own), pa.array(near, mask=np.isinf(near))]
         return pa.StructArray.from_arrays(ends, names=["own", "near"])
 
-    return arrow.row_function(both, "struct<own: double, near: double>")(F.col(z), F.col(label))
+    return arrow.row_function(both, "struct<own: double, near: double>", once=True)(F.col(z), F.col(label))
 
 
 def error_sums(x: str, xhat: str) -> Column:
@@ -157,7 +157,7 @@ def error_sums(x: str, xhat: str) -> Column:
         )
 
     kind = "struct<absolute: double, squared: double, product: double>"
-    return arrow.row_function(sums, kind)(F.col(x), F.col(xhat))
+    return arrow.row_function(sums, kind, once=True)(F.col(x), F.col(xhat))
 
 
 def latent_loss_terms(
@@ -186,4 +186,4 @@ def latent_loss_terms(
         value = -0.5 * (1.0 + s).sum(axis=1) - g @ log_weights + entropy.sum(axis=1)
         return pa.array(value + 0.5 * (g * (quadratic + log_var + normaliser)).sum(axis=1))
 
-    return arrow.row_function(loss, "double")(F.col(z_mu), F.col(z_sigma), F.col(gamma))
+    return arrow.row_function(loss, "double", once=True)(F.col(z_mu), F.col(z_sigma), F.col(gamma))

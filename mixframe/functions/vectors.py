@@ -24,6 +24,15 @@ def checked(col: str | Column, length: int, nulls: bool = True) -> Column:
     return F.when(right, c).otherwise(F.raise_error(F.concat(F.lit(f"expected {length} values, got "), found)))
 
 
+def exploded(df: DataFrame, keep: list[str | Column], array: Column, pos: str, value: str) -> DataFrame:
+    """One row for each array element, with its position from 0; empty and null arrays give none.
+
+    The outer form and the filter on the position say the same as a plain ``posexplode``, for which the optimizer
+    would add a non-empty check below the projection and compute a derived array twice.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
+
+
 def elements(df: DataFrame, *cols: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each position of parallel arrays: ``pos`` and one double column for each array.
 
@@ -31,14 +40,13 @@ def elements(df: DataFrame, *cols: str, keep: tuple[str, ...] = ()) -> DataFrame
     this costs about a scan and shuffles only the aggregate's groups.
     """
     first = F.size(cols[0])
-    arrays = [doubles(c).alias(c) for c in cols]
     same = F.lit(True)
     for other in cols[1:]:
         same = same & (F.size(other) == first)
     zipped = F.arrays_zip(*[F.col(c) for c in cols])
-    guarded = F.when(same, zipped).otherwise(F.raise_error(F.lit("parallel arrays must have equal length")))
-    return (
-        df.select(*keep, *arrays)
-        .select(*keep, F.posexplode(guarded if len(cols) > 1 else zipped).alias("pos", "e"))
-        .select(*keep, "pos", *[F.col("e")[c].alias(c) for c in cols])
+    wrong = F.raise_error(F.lit("parallel arrays must have equal length"))
+    guarded = F.when(same, zipped).otherwise(wrong) if len(cols) > 1 else zipped
+    doubled = df.select(*keep, *[doubles(c).alias(c) for c in cols])
+    return exploded(doubled, list(keep), guarded, "pos", "e").select(
+        *keep, "pos", *[F.col("e")[c].alias(c) for c in cols]
     )

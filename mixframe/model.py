@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixframe.functions.vectors import doubles, exploded
+
 MODEL_SCHEMA = "k int, pi double, mu array<double>, var array<double>"
 
 # K * D is a parameter of the model and does not grow with the data. It is still checked before it is collected and
@@ -96,10 +98,8 @@ def grouped_model(df: DataFrame, vector: str, group: str) -> Mixture:
     at most K * D rows in each task, so neither a hot group nor a long table reaches one task whole; only the K * D
     moments are collected, and no more than a model may have.
     """
-    exploded = df.select(
-        F.col(group).alias("g"), F.posexplode(F.col(vector).cast("array<double>")).alias("d", "x")
-    )
-    moments = exploded.groupBy("g", "d").agg(
+    values = exploded(df, [F.col(group).alias("g")], doubles(vector), "d", "x")
+    moments = values.groupBy("g", "d").agg(
         F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")
     )
     rows = moments.limit(MAX_PARAMETERS + 1).collect()

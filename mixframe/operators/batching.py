@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixframe.functions.hashing import md5_long
 from mixframe.operators.lookup import lookup_join
+from mixframe.session import cut
 
 DEFAULT_BATCH = 512
 # Rows that one task sorts when ranking, and the most buckets a ranking uses.
 BUCKET_ROWS = 1_000_000
 MAX_BUCKETS = 1 << 16
+# A bucket this many times larger than planned holds a key that repeats.
+HOT_FACTOR = 8
 HASH_DIGITS = 15
 
 
@@ -23,13 +27,18 @@ def _bucket_count(rows: int) -> int:
     return max(1, min(MAX_BUCKETS, math.ceil(rows / BUCKET_ROWS)))
 
 
-def _ranked(df: DataFrame, bucket: str, order: list[str | Column], out: str) -> DataFrame:
+def _ranked(df: DataFrame, bucket: str, order: list[str | Column], out: str, expected: int) -> DataFrame:
     """Position of every row from 0, given a bucket column that is monotone in the order.
 
     Counting the buckets reads only the key columns and shuffles one row per bucket and task. The offsets are a window
-    over that small table, and the rows themselves are shuffled once, by bucket.
+    over that small table, and the rows themselves are shuffled once, by bucket. A bucket far above the ``expected``
+    size means that one key repeats; then the rows are sorted instead.
     """
-    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
+    largest = counts.agg(F.max("__n")).first()[0] or 0
+    if largest > HOT_FACTOR * max(expected, BUCKET_ROWS):
+        counts.unpersist()
+        return sorted_rank(df, order, out)
     earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(bucket, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
     within = Window.partitionBy(bucket).orderBy(*order)
@@ -37,8 +46,28 @@ def _ranked(df: DataFrame, bucket: str, order: list[str | Column], out: str) ->
     return ranked.withColumn(out, F.row_number().over(within) - 1 + F.col("__offset")).drop("__offset")
 
 
+def sorted_rank(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
+    """Position of every row from 0, for keys that need not be unique; equal keys come in any order.
+
+    A range sort whose last key is random, so that the copies of one key fill as many tasks as they need. The sorted
+    rows are checkpointed with their place in the partition, which makes the random choice final, and the counts of
+    the partitions give the offsets.
+    """
+    spread = df.withColumn("__spread", F.rand(0))
+    partitioned = spread.repartitionByRange(*order, "__spread").sortWithinPartitions(*order, "__spread")
+    placed = cut(partitioned.drop("__spread").withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33)
+    placed = placed.withColumn("__part", part)
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    ranked = lookup_join(placed, offsets, "__part", row_bytes=32)
+    position = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__offset")
+    return ranked.withColumn(out, position).drop("__place", "__part", "__offset")
+
+
 def global_rank(df: DataFrame, key: str, out: str = "rank", rows_per_bucket: int | None = None) -> DataFrame:
-    """Exact position of every row, from 0, in the order of a unique numeric key.
+    """Exact position of every row, from 0, in the order of a numeric key; rows of equal keys come in any order.
 
     Buckets are cut at the key's approximate quantiles, so they stay even however the keys are spread.
     """
@@ -57,7 +86,7 @@ def global_rank(df: DataFrame, key: str, out: str = "rank", rows_per_bucket: int
         bucketed = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket").transform(keyed)
     else:
         bucketed = keyed.withColumn("__bucket", F.lit(0.0))
-    return _ranked(bucketed, "__bucket", [key], out).drop("__key", "__bucket")
+    return _ranked(bucketed, "__bucket", [key], out, rows // buckets).drop("__key", "__bucket")
 
 
 def sequential_batches(
@@ -94,7 +123,7 @@ def shuffled_batches(
     bucketed = keyed.withColumn(
         "__bucket", F.col("epoch").cast("bigint") * F.lit(buckets) + F.floor(F.col("__hash") / F.lit(float(step)))
     )
-    ranked = _ranked(bucketed, "__bucket", ["epoch", "__hash", id_col], "__rank")
+    ranked = _ranked(bucketed, "__bucket", ["epoch", "__hash", id_col], "__rank", per_epoch // buckets)
     return ranked.withColumn(out, F.floor(F.col("__rank") / size).cast("bigint")).drop("__rank", "__hash", "__bucket")
 
 
@@ -125,5 +154,5 @@ def first_shuffled_rows(df: DataFrame, id_col: str, n: int, seed: int = 0) -> Da
         wanted *= 2.0
     buckets = _bucket_count(int(wanted))
     bucketed = below.withColumn("__bucket", F.floor(F.col("__hash") / F.lit(float(math.ceil(limit / buckets)))))
-    ranked = _ranked(bucketed, "__bucket", ["__hash", id_col], "__rank")
+    ranked = _ranked(bucketed, "__bucket", ["__hash", id_col], "__rank", int(wanted) // buckets)
     return ranked.filter(F.col("__rank") < n).select(*df.columns)

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixframe.functions import mixture
-from mixframe.functions.vectors import doubles, elements
+from mixframe.functions.vectors import doubles, elements, exploded
 from mixframe.model import ModelLike, as_mixture
+from mixframe.operators.batching import global_rank
 from mixframe.operators.lookup import lookup_join
 
 # Rows of the small per-batch table that one task accumulates.
 PREFIX_CHUNK = 100_000
+# Chunk totals that one task accumulates.
+MAX_CHUNKS = 1_000_000
 
 
 def reconstruction_metrics(df: DataFrame, x: str = "x", xhat: str = "xhat", channels: int = 1) -> DataFrame:
@@ -94,8 +97,8 @@ def _dispersions(df: DataFrame, z: str, label: str, batch: list[str]) -> DataFra
 
     One exploded aggregate to (batch, label, dimension) moments, combined on the map side; the rest works on those.
     """
-    exploded = df.select(*batch, F.col(label).alias("__label"), F.posexplode(doubles(z)).alias("__d", "__x"))
-    moments = exploded.groupBy(*batch, "__label", "__d").agg(
+    values = exploded(df, [*batch, F.col(label).alias("__label")], doubles(z), "__d", "__x")
+    moments = values.groupBy(*batch, "__label", "__d").agg(
         F.count("__x").alias("__n"), F.avg("__x").alias("__mean"), F.var_pop("__x").alias("__var")
     )
     # the clusters of one batch and dimension: at most K rows
@@ -142,13 +145,19 @@ def calinski_harabasz(
 def running_mean(
     df: DataFrame, order: str, columns: dict[str, str], weight: str | None = None, chunk: int = PREFIX_CHUNK
 ) -> DataFrame:
-    """Streaming mean in the order of a bigint batch id: each row gets the (weighted) mean of all rows up to its own.
+    """Streaming mean in the order of a unique bigint batch id: the (weighted) mean of all rows up to each row.
 
-    ``columns`` maps a value column to its output name. Ids are cut into chunks; sums run inside each chunk and start
-    from the total of the chunks before it, so no task sees more than ``chunk`` batches or all of the chunk totals.
+    ``columns`` maps a value column to its output name. The rows are cut into chunks; sums run inside each chunk and
+    start from the total of the chunks before it, so no task sees more than ``chunk`` rows or all of the chunk totals.
+    Ids far apart are ranked first, so that chunks stay full.
     """
+    position = order
+    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    rows = df
+    if ends["low"] is not None and (ends["high"] - ends["low"]) // chunk > MAX_CHUNKS:
+        rows, position = global_rank(df, order, "__rank", chunk), "__rank"
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.withColumn("__w", w).withColumn("__chunk", F.floor(F.col(order) / F.lit(chunk)))
+    rows = rows.withColumn("__w", w).withColumn("__chunk", F.floor(F.col(position) / F.lit(chunk)))
     for i, name in enumerate(columns):
         rows = rows.withColumn(f"__v{i}", F.col(name) * F.col("__w"))
     parts = ["__w", *[f"__v{i}" for i in range(len(columns))]]
@@ -169,7 +178,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, low: float | None = None,
     outermost bins; NaN and null are left out.
     """
     is_array = df.schema[col].dataType.typeName() == "array"
-    values = df.select((F.explode(doubles(col)) if is_array else F.col(col).cast("double")).alias("v"))
+    values = exploded(df, [], doubles(col), "d", "v") if is_array else df.select(F.col(col).cast("double").alias("v"))
     values = values.filter(F.col("v").isNotNull() & ~F.isnan("v"))
     if low is None or high is None:
         found = values.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()

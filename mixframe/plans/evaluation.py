@@ -32,7 +32,7 @@ def evaluate_rows(
     scored rows are persisted, because several aggregates read them.
     """
     batch_col = "batch_id" if batches else None
-    rows = encoded(df, config, coder, frame, padding, interp)
+    rows = encoded(df, config, coder, frame, padding, interp).persist(StorageLevel.MEMORY_AND_DISK)
     if batch_col:
         rows = sequential_batches(rows, config.ids[0], DEFAULT_BATCH, batch_col)
     coded = decode(rows, coder, "z_mu" if decode_mean else "z")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from mixframe.config import TableConfig
@@ -41,13 +42,16 @@ def predict_dataset(
     interp: tuple[int, int] | None = None,
     split: str = "test",
     fmt: str = "parquet",
-    batch_col: str | None = None,
     tables: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Predictions of a split (the training split when it is empty): ids, codes, gamma and assignments."""
+    """Predictions of a split (the training split when it is empty): ids, codes, gamma and assignments.
+
+    The codes are persisted: the range of the joint and the scores both read them, and encoding twice would cost far
+    more than the few numbers of a code.
+    """
     rows = dataset_or_fallback(spark, config, split, fmt=fmt)
-    codes = encoded(rows, config, coder, frame, padding, interp, tables)
-    return predict(codes, model, list(config.ids), batch_col=batch_col)
+    codes = encoded(rows, config, coder, frame, padding, interp, tables).persist(StorageLevel.MEMORY_AND_DISK)
+    return predict(codes, model, list(config.ids))
 
 
 def write_run(predictions: DataFrame, config: TableConfig, folder: str, fmt: str, samples: int = 10) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixframe.config import TableConfig
+from mixframe.operators.batching import global_rank
 
 # Rows of one prediction file, and the output formats.
 ROWS_PER_FILE = 100_000
@@ -41,6 +42,13 @@ def declared_lengths(config: TableConfig, code: int, clusters: int) -> dict[str,
     return {**ids, "z_mu": code, "z_sigma": code, "z": code, "gamma": clusters}
 
 
+def with_index(df: DataFrame, order: str, name: str = "index") -> DataFrame:
+    """The running position of every record in the order of a numeric id, first; an id of that name stays instead."""
+    if name in df.columns:
+        return df
+    return global_rank(df, order, name).select(name, *df.columns)
+
+
 def _text_arrays(df: DataFrame) -> DataFrame:
     complex_types = (T.ArrayType, T.StructType, T.MapType)
     return df.select(

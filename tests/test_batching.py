@@ -96,3 +96,37 @@ def test_salting_spreads_the_hot_key(spark):
     joined = salted_join(long, spark.range(3).withColumnRenamed("id", "k"), "k", salts=8)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" in plan and joined.count() == 4000
+
+
+def test_a_repeated_key_falls_back_to_the_sort(spark, monkeypatch):
+    monkeypatch.setattr(batching, "BUCKET_ROWS", 4)
+    values = sorted([*range(60), *[25] * 300])
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "id long, row long").repartition(6)
+    out = batching.sequential_batches(df, "id", 16)
+    assert out.columns == ["id", "row", "batch_id"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan
+    batch_of = sorted((r.id, r.batch_id) for r in out.collect())
+    assert batch_of == [(v, i // 16) for i, v in enumerate(values)]
+    shuffled = batching.shuffled_batches(df, "id", 16, epochs=2).collect()
+    sizes = {b: sum(r.batch_id == b for r in shuffled) for b in {r.batch_id for r in shuffled}}
+    assert len(shuffled) == 720 and set(sizes.values()) == {16}
+
+
+def test_sorted_rank_spreads_copies(spark):
+    df = spark.range(4000).select(F.lit(7).alias("id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = batching.sorted_rank(df, ["id"], "rank")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["rank"] for r in out.collect()) == list(range(4000))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 3000
+
+
+def test_only_needed_rows_are_encoded(spark):
+    from mixframe.functions import hashing
+
+    df = spark.range(100).withColumn("v", F.array(F.lit(1.0)))
+    noisy = df.withColumn("n", hashing.add_noise("v", "id", 1.0)).filter("id < 3")
+    plan = noisy._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Filter")

@@ -161,3 +161,21 @@ def test_learning_rate_checks(spark):
     for bad in (None, (1,), (1.0, 0.5), (1, 1)):
         with pytest.raises(ValueError):
             schedule.learning_rate("id", 0.1, "Exponential", bad)
+
+
+def test_running_mean_of_ids_far_apart(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "MAX_CHUNKS", 5)
+    values = RNG.normal(size=40)
+    df = spark.createDataFrame([(i * 10**9, float(v)) for i, v in enumerate(values)], "b long, v double")
+    out = metrics.running_mean(df, "b", {"v": "m"}, chunk=6).orderBy("b").collect()
+    assert np.allclose([r.m for r in out], np.cumsum(values) / np.arange(1, 41))
+    assert out[0].asDict().keys() == {"b", "v", "m"}
+
+
+def test_a_derived_array_is_computed_once(spark):
+    from mixframe.functions import hashing
+
+    df = spark.range(10).withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
+    noisy = df.withColumn("n", hashing.add_noise("v", "id", 1.0))
+    for out in (metrics.reconstruction_metrics(noisy, "v", "n"), metrics.histogram(noisy, "n", 4, -5.0, 5.0)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1

@@ -166,3 +166,10 @@ def test_prediction_and_evaluation_of_a_dataset(spark, folder, tmp_path):
             "mean_absolute_error", "mean_squared_error", "mean_cosine_distance", "simple_silhouette", "loss",
             "separation", "calinski_harabasz",
         } and all(v is not None for v in record.values())
+
+
+def test_index_column(spark):
+    df = spark.createDataFrame([(30,), (10,), (20,)], "id long")
+    assert sorted(map(tuple, predictions.with_index(df, "id").collect())) == [(0, 10), (1, 20), (2, 30)]
+    named = df.withColumnRenamed("id", "index")
+    assert sorted(r[0] for r in predictions.with_index(named, "index").collect()) == [10, 20, 30]
