@@ -127,14 +127,14 @@ LINE_MODEL = f"""c AS (
          {", ".join(f"avg({c}) AS m{i}, var_pop({c}) AS v{i}" for i, c in enumerate(LINE_FEATURES))}
   FROM lineitem GROUP BY 1),
 model AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS k FROM c)"""
+# the key columns repeat now and then, so rows get a number of their own
 LINE_JOINT = f"""{LINE_MODEL},
+numbered AS (SELECT *, row_number() OVER () AS row_id FROM lineitem),
 joint AS (
-  SELECT {", ".join(LINE_IDS)}, k, ln(w) - 0.5 * (4 * ln(2 * pi())
+  SELECT row_id, {", ".join(LINE_IDS)}, l_returnflag, k, ln(w) - 0.5 * (4 * ln(2 * pi())
          {"".join(f" + ({c} - m{i}) * ({c} - m{i}) / v{i} + ln(v{i})" for i, c in enumerate(LINE_FEATURES))}) AS j
-  FROM lineitem CROSS JOIN model)"""
+  FROM numbered CROSS JOIN model)"""
 
 
 def log_prob_long(df: DataFrame, column: str) -> DataFrame:
     return long(df, ["vec_id"], column, pos="k")
-
-

@@ -94,7 +94,7 @@ def _line_summary(spark: SparkSession, folder: str) -> DataFrame:
 LINE_SCORED = f"""{LINE_JOINT},
 p AS (SELECT *, (-j - min(-j) OVER ()) / (max(-j) OVER () - min(-j) OVER () + 1e-12) * -20 AS p FROM joint),
 scored AS (
-  SELECT {", ".join(LINE_IDS)}, arg_max(k, (j, -k))::INTEGER AS assignments, max(exp(p)) / sum(exp(p)) AS confidence
+  SELECT row_id, {", ".join(LINE_IDS)}, l_returnflag, arg_max(k, (j, -k))::INTEGER AS assignments, max(exp(p)) / sum(exp(p)) AS confidence
   FROM p GROUP BY ALL)"""
 
 QUERIES = [
@@ -161,6 +161,6 @@ SELECT {", ".join(LINE_IDS)}, assignments, round(confidence, 6) + 0.0 AS confide
         _line_summary,
         f"""WITH {LINE_SCORED}
 SELECT l_returnflag, assignments, count(*) AS n, round(avg(confidence), 6) + 0.0 AS mean_confidence
-FROM scored JOIN lineitem USING ({", ".join(LINE_IDS)}) GROUP BY 1, 2""",
+FROM scored GROUP BY 1, 2""",
     ),
 ]
