@@ -5,13 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixframe.functions.vectors import doubles, exploded
 
-MODEL_SCHEMA = "k int, pi double, mu array<double>, var array<double>"
-
 # K * D is a parameter of the model and does not grow with the data. It is still checked before it is collected and
 # shipped to the tasks: 8 million numbers are 64 MB for the centres and 64 MB for the variances.
 MAX_PARAMETERS = 8_000_000
@@ -61,10 +60,14 @@ class Mixture:
         return cls([r["pi"] for r in rows], [r["mu"] for r in rows], [r["var"] for r in rows])
 
     def to_table(self, spark: SparkSession) -> DataFrame:
-        rows = [
-            (k, float(self.weights[k]), self.means[k].tolist(), self.variances[k].tolist()) for k in range(self.k)
-        ]
-        return spark.createDataFrame(rows, MODEL_SCHEMA)
+        """The model as K rows ``(k, pi, mu, var)``, a local relation whose size the optimizer knows."""
+        columns = {
+            "k": pa.array(range(self.k), pa.int32()),
+            "pi": pa.array(self.weights),
+            "mu": pa.array(self.means.tolist(), pa.list_(pa.float64())),
+            "var": pa.array(self.variances.tolist(), pa.list_(pa.float64())),
+        }
+        return spark.createDataFrame(pa.table(columns))
 
     def centres(self) -> Column:
         """The centres as one literal ``array<array<double>>``."""
@@ -102,15 +105,16 @@ def grouped_model(df: DataFrame, vector: str, group: str) -> Mixture:
     moments = values.groupBy("g", "d").agg(
         F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")
     )
-    rows = moments.limit(MAX_PARAMETERS + 1).collect()
-    if not rows:
+    found = moments.limit(MAX_PARAMETERS + 1).toArrow()
+    if not found.num_rows:
         raise ValueError("no rows to build a mixture from")
-    check_parameter_count(len(rows), 1)
-    groups = sorted({row["g"] for row in rows})
-    index = {g: k for k, g in enumerate(groups)}
-    shape = (len(groups), 1 + max(row["d"] for row in rows))
-    count, mean, variance = np.zeros(shape), np.zeros(shape), np.zeros(shape)
-    for row in rows:
-        at = index[row["g"]], row["d"]
-        count[at], mean[at], variance[at] = row["n"], row["m"], row["v"]
+    check_parameter_count(found.num_rows, 1)
+    codes = found["g"].combine_chunks().dictionary_encode()
+    groups = codes.dictionary.to_pylist()
+    rank = np.empty(len(groups), dtype=np.int64)
+    rank[sorted(range(len(groups)), key=groups.__getitem__)] = np.arange(len(groups))
+    at = rank[codes.indices.to_numpy()], found["d"].to_numpy()
+    count, mean, variance = np.zeros((3, len(groups), 1 + int(at[1].max())))
+    for array, column in ((count, "n"), (mean, "m"), (variance, "v")):
+        array[at] = found[column].to_numpy()
     return Mixture(count[:, 0] / count[:, 0].sum(), mean, variance)

@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+import pyarrow.compute as pc
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -77,11 +79,11 @@ def partition_sums(df: DataFrame, columns: list[str], reduce: Callable[[list[pa.
 def added_parts(partial: DataFrame) -> Sums:
     """Element-wise sums of rows ``(name, parts)`` by name; as many numbers reach the driver as one task emitted."""
     summed = partial.select("name", F.posexplode("parts").alias("pos", "part")).groupBy("name", "pos")
-    rows = summed.agg(F.sum("part").alias("total")).collect()
+    found = summed.agg(F.sum("part").alias("total")).toArrow()
     out: Sums = {}
-    for name in {row["name"] for row in rows}:
-        own = sorted((row["pos"], row["total"]) for row in rows if row["name"] == name)
-        out[name] = np.array([value for _, value in own])
+    for name in found["name"].unique().to_pylist():
+        own = found.filter(pc.equal(found["name"], name)).sort_by("pos")
+        out[name] = own["total"].to_numpy().copy()
     return out
 
 
@@ -155,19 +157,26 @@ def lloyd(
 
 
 def kmeans(
-    df: DataFrame, vector: str, k: int, seed: int = 0, max_iter: int = 300, restarts: int = 10
+    df: DataFrame,
+    vector: str,
+    k: int,
+    seed: int = 0,
+    max_iter: int = 300,
+    restarts: int = 10,
+    parallelism: int = 4,
 ) -> Clustering:
-    """K-means from scratch with Spark ML, best of several seeds."""
+    """K-means from scratch with Spark ML, best of several seeds; ``parallelism`` of them run at a time."""
     rows = df.select(array_to_vector(doubles(vector)).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
-    best: Clustering | None = None
-    for restart in range(max(1, restarts)):
+
+    @inheritable_thread_target(df.sparkSession)
+    def fit(restart: int) -> Clustering:
         fitted = KMeans(k=k, seed=seed + restart, maxIter=max_iter, tol=1e-4).fit(rows)
-        cost = float(fitted.summary.trainingCost)
-        if best is None or cost < best.cost:
-            best = Clustering(np.array([c.tolist() for c in fitted.clusterCenters()]), cost)
+        return Clustering(np.array([c.tolist() for c in fitted.clusterCenters()]), float(fitted.summary.trainingCost))
+
+    with ThreadPool(max(1, min(parallelism, restarts))) as pool:
+        found = pool.map(fit, range(max(1, restarts)))
     rows.unpersist()
-    assert best is not None
-    return best
+    return min(found, key=lambda clustering: clustering.cost)
 
 
 def _em_sums(model: Mixture) -> Callable[[list[pa.Array]], Sums]:

@@ -31,15 +31,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     with its machine.
     """
     context = spark.sparkContext
-    configured = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if configured is None:
-        if not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    if current is None:
+        if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="mixframe-checkpoint-")
-        context.setCheckpointDir(configured)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+        current = named or tempfile.mkdtemp(prefix="mixframe-checkpoint-")
+        context.setCheckpointDir(current)
+    return named or current
 
 
 def cut(df: DataFrame) -> DataFrame:

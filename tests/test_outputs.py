@@ -1,5 +1,6 @@
 import json
 import os
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -173,3 +174,29 @@ def test_index_column(spark):
     assert sorted(map(tuple, predictions.with_index(df, "id").collect())) == [(0, 10), (1, 20), (2, 30)]
     named = df.withColumnRenamed("id", "index")
     assert sorted(r[0] for r in predictions.with_index(named, "index").collect()) == [10, 20, 30]
+
+
+class FakeContext:
+    """The three calls the checkpoint folder needs; the setting itself is fixed once a real session runs."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def fake(master, settings):
+    conf = SimpleNamespace(get=lambda key, default=None: settings.get(key, default))
+    return SimpleNamespace(conf=conf, sparkContext=FakeContext(master))
+
+
+def test_checkpoint_folder_of_a_cluster():
+    named = fake("spark://host:7077", {"spark.checkpoint.dir": "/shared/x"})
+    assert ensure_checkpoint_dir(named) == "/shared/x" and named.sparkContext.folder == "/shared/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(fake("spark://host:7077", {}))
+    assert ensure_checkpoint_dir(fake("local[2]", {})).startswith("/")
