@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mixframe.functions import mixture
 from mixframe.functions.vectors import doubles, elements, exploded
-from mixframe.model import ModelLike, as_mixture
+from mixframe.model import Mixture, ModelLike, as_mixture
 from mixframe.operators.batching import global_rank
 from mixframe.operators.lookup import lookup_join
 
@@ -47,11 +47,14 @@ def separation(model: DataFrame, out: str = "separation") -> DataFrame:
 
     Works on the K model rows only: each centre is measured against the K literal centres in a narrow pass.
     """
-    m = as_mixture(model)
+    return _separation(model, as_mixture(model), out)
+
+
+def _separation(table: DataFrame, m: Mixture, out: str) -> DataFrame:
     if m.k == 1:
-        return model.agg(F.lit(None).cast("double").alias(out))
-    to_all = mixture.distances("mu", m)
-    return model.select(F.explode(to_all).alias("d")).agg((F.sum("d") / F.lit(float(m.k * m.k - m.k))).alias(out))
+        return table.agg(F.lit(None).cast("double").alias(out))
+    values = exploded(table.select(mixture.distances("mu", m).alias("d")), [], F.col("d"), "k", "x")
+    return values.agg((F.sum("x") / F.lit(float(m.k * m.k - m.k))).alias(out))
 
 
 def center_distances(df: DataFrame, model: ModelLike, z_mu: str = "z_mu", out: str = "distances") -> DataFrame:
@@ -199,7 +202,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, low: float | None = None,
 
 def evaluate(
     df: DataFrame,
-    model: DataFrame,
+    model: ModelLike,
     x: str = "x",
     xhat: str = "xhat",
     z_mu: str = "z_mu",
@@ -236,6 +239,5 @@ def evaluate(
         found = found.withColumn("simple_silhouette", by_batch.scalar())
     mode = "exact" if batch_col is None else "running"
     dispersion = calinski_harabasz(df, z_mu, mode=mode, batch_col=batch_col)
-    return found.withColumn("separation", separation(model).scalar()).withColumn(
-        "calinski_harabasz", dispersion.scalar()
-    )
+    apart = _separation(m.to_table(df.sparkSession), m, "separation")
+    return found.withColumn("separation", apart.scalar()).withColumn("calinski_harabasz", dispersion.scalar())

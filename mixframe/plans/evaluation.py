@@ -38,7 +38,6 @@ def evaluate_rows(
     coded = decode(rows, coder, "z_mu" if decode_mean else "z")
     scored = score(coded, model, batch_col=batch_col).persist(StorageLevel.MEMORY_AND_DISK)
     height, width, channels = coder.spec.frame
-    spark = df.sparkSession
     return evaluate(
-        scored, model.to_table(spark), z_sigma="z_sigma", frame=(height, width), channels=channels, batch_col=batch_col
+        scored, model, z_sigma="z_sigma", frame=(height, width), channels=channels, batch_col=batch_col
     )

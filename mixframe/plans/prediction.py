@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mixframe.config import TableConfig
 from mixframe.functions.hashing import reparameterize
 from mixframe.model import ModelLike
+from mixframe.operators.batching import DEFAULT_BATCH, sequential_batches
 from mixframe.operators.frames import to_cube
 from mixframe.operators.network import Coder, encode
 from mixframe.operators.scoring import predict
@@ -43,15 +44,20 @@ def predict_dataset(
     split: str = "test",
     fmt: str = "parquet",
     tables: dict[str, DataFrame] | None = None,
+    batches: bool = False,
 ) -> DataFrame:
     """Predictions of a split (the training split when it is empty): ids, codes, gamma and assignments.
 
-    The codes are persisted: the range of the joint and the scores both read them, and encoding twice would cost far
+    The responsibilities are rescaled over the whole table, or with ``batches`` over 512 rows at a time in id order. The
+    codes are persisted: the range of the joint and the scores both read them, and encoding twice would cost far
     more than the few numbers of a code.
     """
     rows = dataset_or_fallback(spark, config, split, fmt=fmt)
     codes = encoded(rows, config, coder, frame, padding, interp, tables).persist(StorageLevel.MEMORY_AND_DISK)
-    return predict(codes, model, list(config.ids))
+    if not batches:
+        return predict(codes, model, list(config.ids))
+    batched = sequential_batches(codes, config.ids[0], DEFAULT_BATCH, "batch_id")
+    return predict(batched, model, list(config.ids), batch_col="batch_id")
 
 
 def write_run(predictions: DataFrame, config: TableConfig, folder: str, fmt: str, samples: int = 10) -> None:

@@ -130,3 +130,9 @@ def test_only_needed_rows_are_encoded(spark):
     noisy = df.withColumn("n", hashing.add_noise("v", "id", 1.0)).filter("id < 3")
     plan = noisy._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Filter")
+
+
+def test_cuts_from_a_sample_give_the_same_ranks(spark, monkeypatch):
+    monkeypatch.setattr(batching, "KEYS_PER_BUCKET", 5)
+    out = batching.global_rank(spark.range(3000).withColumn("id", F.col("id") * 7 - 400), "id", rows_per_bucket=100)
+    assert all(r.id == r["rank"] * 7 - 400 for r in out.collect())

@@ -157,6 +157,8 @@ def test_prediction_and_evaluation_of_a_dataset(spark, folder, tmp_path):
     model = start_model(3, 4)
     out = predict_dataset(spark, config, coder, model, (8, 8), interp=(12, 12)).cache()
     assert out.columns == ["id", "z_mu", "z_sigma", "z", "gamma", "assignments"] and out.count() == source.count()
+    batched = predict_dataset(spark, config, coder, model, (8, 8), interp=(12, 12), batches=True)
+    assert batched.columns == out.columns and batched.count() == source.count()
     write_run(out, config, str(tmp_path / "run"), "json", samples=5)
     assert spark.read.json(str(tmp_path / "run/prediction")).count() == source.count()
     assert spark.read.json(str(tmp_path / "run/sample")).count() == 5
