@@ -164,9 +164,7 @@ FROM r"""
 
 
 # the same CTE names as in SCORED, with the joint rescaled batch by batch
-BATCH_TERMS = TERMS.replace("OVER ()", f"OVER (PARTITION BY {BATCH})").replace(
-    "PARTITION BY ORDER", "ORDER"
-)
+BATCH_TERMS = TERMS.replace("OVER ()", f"OVER (PARTITION BY {BATCH})")
 
 
 def _with_quality(terms: str) -> str:
