@@ -89,6 +89,14 @@ def vector_literal(values: np.ndarray) -> Column:
     return F.lit([float(v) for v in values]).cast("array<double>")
 
 
+def vector_width(df: DataFrame, col: str) -> int:
+    """Length of the first row's vector."""
+    first = df.select(F.size(col)).first()
+    if first is None:
+        raise ValueError("no rows to fit on")
+    return first[0]
+
+
 def check_parameter_count(k: int, d: int) -> None:
     if k * d > MAX_PARAMETERS:
         raise ValueError(f"a model of {k} x {d} parameters exceeds the {MAX_PARAMETERS} that tasks may hold")

@@ -91,6 +91,8 @@ def global_rank(df: DataFrame, key: str, out: str = "rank", rows_per_bucket: int
         bucketed = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket").transform(keyed)
     else:
         bucketed = keyed.withColumn("__bucket", F.lit(0.0))
+    # null keys come first, as in the order of the key
+    bucketed = bucketed.withColumn("__bucket", F.coalesce("__bucket", F.lit(-1.0)))
     return _ranked(bucketed, "__bucket", [key], out, rows // buckets).drop("__key", "__bucket")
 
 

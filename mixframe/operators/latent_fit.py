@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mixframe.functions import arrow, mixture
 from mixframe.functions.hashing import normals, row_seed
-from mixframe.model import Mixture
+from mixframe.model import Mixture, vector_width
 from mixframe.operators.finetune import Optimizer, responsibility
 from mixframe.operators.fitting import PARTS, added_parts, diag_gmm, init_sample, kmeans, momentum_update, parts_batch
 from mixframe.operators.network import MAX_WEIGHTS, elu
@@ -208,7 +208,7 @@ def _round(rows: DataFrame, col: str, id_col: str, w: Weights, phase: str, facto
 def fit_latent(df: DataFrame, col: str, id_col: str, settings: LatentFit) -> FittedLatent:
     """Warm-up rounds, mixture initialisation on a pooled sample of codes, then annealed and static rounds."""
     rows = df.select(id_col, col).persist(StorageLevel.MEMORY_AND_DISK)
-    weights = initial_weights(len(rows.select(col).first()[0]), settings)
+    weights = initial_weights(vector_width(rows, col), settings)
     losses: list[float] = []
     model: Mixture | None = None
     for index, (phase, factor) in enumerate(settings.rounds()):

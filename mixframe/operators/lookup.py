@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
@@ -17,8 +17,16 @@ def salted_join(long: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
     split by the adaptive skew join.
     """
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in long.columns]), F.lit(salts)).cast("int")
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return long.withColumn("__salt", salt).join(copies, [key, "__salt"], how).drop("__salt")
+    copies = lookup.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = long.withColumn("__salt", salt)
+    return _keyed(salted, copies, key, how, F.col("__salt") == F.col("__copy")).drop("__salt", "__copy")
+
+
+def _keyed(long: DataFrame, lookup: DataFrame, key: str, how: str, also: Column | None = None) -> DataFrame:
+    """Equi join on a key of the same name, in which null meets null: a group without a key keeps its rows."""
+    on = F.col(key).eqNullSafe(F.col("__lookup_key"))
+    renamed = lookup.withColumnRenamed(key, "__lookup_key")
+    return long.join(renamed, on if also is None else on & also, how).drop("__lookup_key")
 
 
 def lookup_join(
@@ -36,5 +44,5 @@ def lookup_join(
     """
     lookup = lookup.persist(StorageLevel.MEMORY_AND_DISK)
     if lookup.count() * row_bytes <= limit:
-        return long.join(F.broadcast(lookup), key, how)
+        return _keyed(long, F.broadcast(lookup), key, how)
     return salted_join(long, lookup, key, how)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from mixframe.model import Mixture
+from mixframe.model import Mixture, vector_width
 from mixframe.operators.finetune import Optimizer, finetune_mixture
 from mixframe.operators.fitting import diag_gmm, init_sample, kmeans, momentum_update
 from mixframe.session import cut
@@ -92,7 +92,7 @@ def train_mixture(
     A gradient step is two jobs over the whole table, so steps count passes and not mini-batches.
     """
     codes = df.select(id_col, z_mu, z_sigma).persist(StorageLevel.MEMORY_AND_DISK)
-    dim = len(codes.select(z_mu).first()[0])
+    dim = vector_width(codes, z_mu)
     start = initialise_mixture(
         codes, id_col, start_model(clusters, dim, seed), init_steps, batch_size, z_mu, gamma, direct, seed, max_iter
     )

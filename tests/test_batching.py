@@ -136,3 +136,11 @@ def test_cuts_from_a_sample_give_the_same_ranks(spark, monkeypatch):
     monkeypatch.setattr(batching, "KEYS_PER_BUCKET", 5)
     out = batching.global_rank(spark.range(3000).withColumn("id", F.col("id") * 7 - 400), "id", rows_per_bucket=100)
     assert all(r.id == r["rank"] * 7 - 400 for r in out.collect())
+
+
+@pytest.mark.parametrize("per_bucket", [None, 4])
+def test_rows_without_an_id_are_kept(spark, per_bucket):
+    df = spark.createDataFrame([(None,), (None,), *[(i,) for i in range(20)]], "id long")
+    out = batching.global_rank(df, "id", rows_per_bucket=per_bucket).collect()
+    assert sorted(r["rank"] for r in out) == list(range(22))
+    assert {r["rank"] for r in out if r.id is None} == {0, 1}

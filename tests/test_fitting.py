@@ -76,8 +76,13 @@ def test_equal_rows_keep_the_variance_floor(spark):
 
 
 def test_empty_table_is_refused(df):
+    empty = df.filter("id < 0")
     with pytest.raises(ValueError):
-        fitting.diag_gmm(df.filter("id < 0"), "z_mu", CENTRES)
+        fitting.diag_gmm(empty, "z_mu", CENTRES)
+    with pytest.raises(ValueError):
+        train_mixture(empty, "id", 3, 2, 60, beta_steps=1, static_steps=1)
+    with pytest.raises(ValueError):
+        finetune.latent_loss_gradient(empty, MODEL)
 
 
 def test_momentum_blend(spark):

@@ -137,3 +137,18 @@ def test_a_filter_on_the_result_does_not_score_twice(spark, folder):
     confident = scoring.predict(rows, m, ["vec_id"], z_sigma=None, z=None).filter(F.array_max("gamma") > 0.9)
     assert plan_of(confident).count("ArrowEvalPython") == 2
     assert confident.select(F.explode("gamma")).count() > 0
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_rows_without_a_batch_are_one_batch(spark, monkeypatch, limit):
+    if limit is not None:
+        from mixframe.operators import lookup
+
+        forced = lambda *args, **kwargs: lookup.lookup_join(*args, **{**kwargs, "limit": limit})
+        monkeypatch.setattr(scoring, "lookup_join", forced)
+    df = points(spark).withColumn("b", F.when(F.col("b") > 0, F.col("b")))
+    filled = df.withColumn("b", F.coalesce("b", F.lit(9)))
+    a, b = (scoring.score(d, mixture(), batch_col="b") for d in (df, filled))
+    assert a.count() == 60 and np.allclose(collected(a, "p"), collected(b, "p"))
+    predicted = scoring.predict(df, mixture(), ["id"], z_sigma=None, z=None, batch_col="b")
+    assert np.allclose(collected(predicted, "gamma"), collected(a, "gamma"))
