@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +115,14 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def once(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by the worker process under ``name`` for later tasks and batches."""
+    store = sys.modules.setdefault("_mixframe_once", types.ModuleType("_mixframe_once"))
+    if name not in store.__dict__:
+        store.__dict__[name] = make()
+    return store.__dict__[name]
+
+
 def spans_of(lengths: np.ndarray, limit: int) -> Iterator[slice]:
     """Consecutive rows whose lengths add up to at most ``limit``; a longer row comes alone."""
     start, total = 0, 0

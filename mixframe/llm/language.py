@@ -13,7 +13,7 @@ they are.
 
 from __future__ import annotations
 
-import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,25 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import spans_of
+from mixframe.llm.common import once
 
-DIMENSIONS = 4096
+DIMENSION_BITS = 13
+DIMENSIONS = 1 << DIMENSION_BITS
 GRAMS = (1, 2, 3)
 CENTROIDS = 3
 #: Expected number of training texts of a language whose vectors the k-means sees.
 SAMPLE = 300
 #: A text is rejected below this share of the cosine that the given quantile of its language's sample reaches.
-REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.01
-BLOCK_CHARS = 1_000_000
+REJECT_SHARE, REJECT_QUANTILE = 0.3, 0.01
 UNKNOWN = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
-#: Odd multipliers of the n-gram hash.
-_MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+SPACE = 0x20
+#: Odd multipliers of the n-gram hash: one for each place, and the last to mix.
+_MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Inverse document frequencies, centroids (rows of length one), the language of each, and the least cosine of each."""
+    """Inverse document frequencies, centroids (columns of length one), the language of each, and the least cosine of each."""
 
     languages: list[str]
     idf: np.ndarray
@@ -48,60 +48,59 @@ class LanguageModel:
     least: np.ndarray
 
 
-def grams(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Dimensions of all n-grams of a text, with repeats; none if it has no letter."""
-    words = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not words:
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    every = range(sys.maxunicode + 1)
+    return once("letters", lambda: np.fromiter((chr(c).isalpha() for c in every), bool, len(every)))
+
+
+def grams(text: str | None, letter: np.ndarray) -> np.ndarray:
+    """Dimensions of all n-grams of a text, with repeats; none if it has no letter. ``letter`` is ``letters()``."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
+    if not len(codes):
         return np.empty(0, np.int64)
-    codes = np.frombuffer(f" {words} ".encode("utf-32-le", "replace"), np.uint32)
+    known = letter[codes]
+    if not known.any():
+        return np.empty(0, np.int64)
+    # every run of other characters becomes one space, also before the first and after the last word
+    begins = np.concatenate([[True], known[:-1]])
+    kept = known | begins
+    said = np.where(known, codes, np.uint32(SPACE))[kept]
+    said = np.concatenate([[SPACE] * int(known[0]), said, [SPACE] * int(known[-1])]).astype(np.uint32)
     found = []
     for n in GRAMS:
-        if len(codes) >= n:
-            hashed = np.full(len(codes) - n + 1, n, np.uint32)
+        if len(said) >= n:
+            hashed = np.full(len(said) - n + 1, n, np.uint32)
             for i in range(n):
-                hashed = (hashed ^ codes[i : len(codes) - n + 1 + i]) * _MULTIPLIERS[i]
-                hashed ^= hashed >> np.uint32(15)
-            found.append(hashed % np.uint32(dimensions))
+                hashed += said[i : len(said) - n + 1 + i] * _MULTIPLIERS[i]
+            hashed ^= hashed >> np.uint32(15)
+            found.append(hashed * _MULTIPLIERS[-1] >> np.uint32(32 - DIMENSION_BITS))
     return np.concatenate(found).astype(np.int64)
 
 
-def counts(said: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """One row of n-gram counts for each text."""
-    out = np.zeros((len(said), dimensions), np.float32)
-    for row, text in zip(out, said, strict=True):
-        found = grams(text, dimensions)
-        if len(found):
-            row[:] = np.bincount(found, minlength=dimensions)
-    return out
-
-
-def vectors(counted: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of length one; rows of no n-gram stay zero."""
-    weighted = np.log1p(counted) * idf
-    length = np.linalg.norm(weighted, axis=1, keepdims=True)
-    return weighted / np.where(length > 0, length, 1)
-
-
-def _blocks(column: pa.Array):  # noqa: ANN202
-    said = column.to_pylist()
-    for block in spans_of(np.array([4 * DIMENSIONS // 16 + len(t or "") for t in said]), BLOCK_CHARS):
-        yield said[block]
+def weighted(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions and values of the TF-IDF vector of length one of a text with the given n-grams."""
+    times = np.bincount(found, minlength=len(idf))
+    at = np.flatnonzero(times)
+    values = np.log1p(times[at]) * idf[at]
+    return at, values / np.linalg.norm(values)
 
 
 def _frequencies(batches):  # noqa: ANN001, ANN202
-    total, seen = np.zeros(DIMENSIONS, np.int64), 0
+    total, seen, letter = np.zeros(DIMENSIONS, np.int64), 0, letters()
     for batch in batches:
-        for said in _blocks(batch.column(0)):
-            total += (counts(said) > 0).sum(axis=0)
-            seen += len(said)
+        for text in batch.column(0).to_pylist():
+            total += np.bincount(grams(text, letter), minlength=DIMENSIONS) > 0
+            seen += 1
     if seen:
         at = np.flatnonzero(total)
         # dimension -1 holds the number of texts
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], seen))], names=["d", "n"])
 
 
-def _sparse(column: pa.Array) -> pa.Array:
-    return pa.array([np.bincount(g).tolist() if len(g := grams(t)) else [] for t in column.to_pylist()], pa.list_(pa.int32()))
+def _listed(column: pa.Array) -> pa.Array:
+    letter = letters()
+    return pa.array([grams(t, letter) for t in column.to_pylist()], pa.list_(pa.int32()))
 
 
 def spherical_kmeans(rows: np.ndarray, clusters: int, rounds: int = 50) -> np.ndarray:
@@ -141,47 +140,47 @@ def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -
     for lang, n in sizes.items():
         bound = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(bound)
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(chance < bound).select("lang", F.arrow_udf(_sparse, "array<int>")("text").alias("c"))
+    picked = rows.where(chance < bound).select("lang", F.arrow_udf(_listed, "array<int>")("text").alias("grams"))
     by_language: dict[str, list[np.ndarray]] = {lang: [] for lang in languages}
     for r in picked.toLocalIterator():
-        if r["c"]:
-            dense = np.zeros(DIMENSIONS, np.float32)
-            dense[: len(r["c"])] = r["c"]
-            by_language[r["lang"]].append(dense)
+        if r["grams"]:
+            at, values = weighted(np.array(r["grams"]), idf)
+            by_language[r["lang"]].append(np.zeros(DIMENSIONS, np.float32))
+            by_language[r["lang"]][-1][at] = values
     for k, lang in enumerate(languages):
         if not by_language[lang]:
             continue
-        known = vectors(np.stack(sorted(by_language[lang], key=lambda v: v.tobytes())), idf)
+        known = np.stack(sorted(by_language[lang], key=lambda v: v.tobytes()))
         centre = spherical_kmeans(known, centroids)
         low = REJECT_SHARE * float(np.quantile((known @ centre.T).max(axis=1), REJECT_QUANTILE))
         kept_centres.append(centre)
         of += [k] * len(centre)
         least += [low] * len(centre)
-    stack = np.concatenate(kept_centres) if kept_centres else np.empty((0, DIMENSIONS), np.float32)
-    return LanguageModel(languages, idf, stack.astype(np.float32), np.array(of, np.int64), np.array(least))
+    stack = np.concatenate(kept_centres) if kept_centres else np.empty((0, DIMENSIONS))
+    return LanguageModel(languages, idf, np.ascontiguousarray(stack.T, np.float64), np.array(of, np.int64), np.array(least))
 
 
-def nearest(said: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text the index of its nearest centroid (-1: no letter), the cosine, and whether it is rejected."""
-    counted = counts(said)
-    if not len(model.of):
-        none = np.full(len(said), -1)
-        return none, np.zeros(len(said)), np.ones(len(said), bool)
-    near = vectors(counted, model.idf) @ model.centroids.T
-    best = np.argmax(near, axis=1)
-    score = np.clip(near[np.arange(len(said)), best].astype(np.float64), 0, 1)
-    empty = ~counted.any(axis=1)
-    return np.where(empty, -1, best), np.where(empty, 0.0, score), empty | (score < model.least[best])
+def nearest(text: str | None, model: LanguageModel, letter: np.ndarray) -> tuple[int, float, bool]:
+    """The nearest centroid of a text (-1: it has no letter), the cosine, and whether it is rejected."""
+    found = grams(text, letter)
+    if not len(found) or not len(model.of):
+        return -1, 0.0, True
+    at, values = weighted(found, model.idf)
+    near = values @ model.centroids[at]
+    best = int(np.argmax(near))
+    score = min(max(float(near[best]), 0.0), 1.0)
+    return best, score, score < model.least[best]
 
 
 def predict(docs: DataFrame, model: LanguageModel, out: str = "language") -> DataFrame:
     """``docs`` with a struct ``out`` of lang_pred, score (the cosine) and rejected, from ``text`` alone."""
 
     def answer(column: pa.Array) -> pa.Array:
-        parts = [nearest(said, model) for said in _blocks(column)]
-        best, score, rejected = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(3))
-        named = [model.languages[model.of[int(b)]] if b >= 0 else UNKNOWN for b in best]
-        columns = [pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(rejected.astype(bool), pa.bool_())]
+        letter = letters()
+        rows = [nearest(t, model, letter) for t in column.to_pylist()]
+        best, score, rejected = zip(*rows, strict=True) if rows else ((), (), ())
+        named = [model.languages[model.of[b]] if b >= 0 else UNKNOWN for b in best]
+        columns = [pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array([bool(r) for r in rejected], pa.bool_())]
         return pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "rejected"])
 
     kind = "struct<lang_pred:string,score:double,rejected:boolean>"

@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import io
 import os
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -30,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import spans_of, texts
+from mixframe.llm.common import once, spans_of, texts
 
 END_ID = 2
 #: Characters that are split into words at a time, and distinct words that a task remembers.
@@ -44,11 +42,11 @@ def tokenizer(path: str) -> Any:
     """The tokenizer of a file, loaded once for each worker process."""
     from tokenizers import Tokenizer
 
-    store = sys.modules.setdefault("_mixframe_tokenizers", types.ModuleType("_mixframe_tokenizers"))
-    if path not in store.__dict__:
+    def load() -> Any:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one that is ours
-        store.__dict__[path] = Tokenizer.from_file(path)
-    return store.__dict__[path]
+        return Tokenizer.from_file(path)
+
+    return once(f"tokenizer {path}", load)
 
 
 class Encoder:
