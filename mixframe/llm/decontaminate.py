@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 Every benchmark item is cut into overlapping n-grams of words. Their document frequencies are counted over the whole
-corpus, and in every run of ``run`` neighbours the rarest is a seed. No frequency is too high to be a seed: where a
-passage fills a third of all documents its own n-grams are the rarest it has. A document that holds a seed is aligned with
+corpus, and in every run of neighbours those about as rare as the rarest are seeds. No frequency is too high to be a
+seed: where a passage fills a third of all documents its own n-grams are the rarest it has. A document that holds a seed is aligned with
 the item around that place (Smith-Waterman over words: match 2, mismatch -1, gap -1), so that edited and paraphrased copies
 score by how much of the item they keep. The score is a share of the item's best possible score.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 SEED_WORDS = 3
 RUN = 4
+FACTOR = 10
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Characters of benchmark text that the tasks hold at a time; a larger benchmark is worked through in blocks.
@@ -101,15 +102,20 @@ def document_frequency(docs: DataFrame, block: Block) -> dict[int, int]:
     return {r["gram"]: r["n"] for r in counted.collect()}
 
 
-def choose_seeds(block: Block, frequency: dict[int, int], run: int = RUN) -> Block:
-    """The block with its seeds: of every ``run`` neighbouring n-grams of an item the rarest, the first of equals."""
+def choose_seeds(block: Block, frequency: dict[int, int], run: int = RUN, factor: int = FACTOR) -> Block:
+    """The block with its seeds: n-grams that in some run of ``run`` neighbours are about as rare as the rarest.
+
+    Within ``factor`` they count as equally rare: the copies themselves add to the frequencies, and most to those
+    n-grams that survive editing.
+    """
     chosen = set()
     for item, numbers in enumerate(block.items):
         grams = block.grams_of(numbers)
         often = np.array([frequency.get(int(g), 0) for g in grams])
         for start in range(max(1, len(grams) - run + 1) if len(grams) else 0):
-            place = start + int(np.argmin(often[start : start + run]))
-            chosen.add((int(grams[place]), item, place))
+            near = often[start : start + run]
+            for place in start + np.flatnonzero(near <= factor * (1 + near.min())):
+                chosen.add((int(grams[place]), item, int(place)))
     rows = np.array(sorted(chosen), np.int64).reshape(-1, 3)
     return Block(block.ids, block.words, block.items, block.grams, (rows[:, 0], rows[:, 1], rows[:, 2]))
 

@@ -37,6 +37,8 @@ BLOCK_BYTES = 1 << 22
 QUANTILE = 0.99
 BIN = 1e-3
 SHORT = 1 << 16
+#: A discount is no smaller, so that every back-off weight has a logarithm.
+LEAST_DISCOUNT = 0.01
 BLOBS = "kind string, shard int, block string, docs binary, data binary"
 #: Kinds of rows: model rows, list of a block's documents, sums, n-grams to look up, contexts to weigh.
 MODEL, DOCS, SUMS, GRAMS, CONTEXTS = "0model", "docs", "sums", "grams", "contexts"
@@ -99,7 +101,7 @@ def discounts(counts: DataFrame) -> list[float]:
         return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
     found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return [min(max(d, 0.0), float(i)) for i, d in enumerate(found, 1)]
+    return [min(max(d, LEAST_DISCOUNT), float(i)) for i, d in enumerate(found, 1)]
 
 
 def _discount(n: Column, d: list[float]) -> Column:
@@ -192,7 +194,7 @@ def _postings(gram: np.ndarray, doc: np.ndarray, times: np.ndarray) -> bytes:
     narrow = "<u2" if not len(doc) or doc.max() < 1 << 16 else "<u4"
     low, high = step.astype(narrow), np.minimum(times, 255).astype("<u1")
     over = np.flatnonzero(times >= 255)
-    planes = low.view("<u1").reshape(len(low), -1).T.ravel()  # byte planes compress better
+    planes = low.view("<u1").reshape(len(low), low.itemsize).T.ravel()  # byte planes compress better
     width = np.array([low.itemsize], "<u1")
     return _pack(np.diff(keys, prepend=0).astype("<i8"), many.astype("<u4"), planes.copy(), high, over.astype("<u4"), times[over].astype("<i8"), width)
 
@@ -414,7 +416,8 @@ def classify(docs: DataFrame, trusted: DataFrame, held_out: Column, keep: list[s
     scores = stored(log_perplexity(docs.select(key, "text"), models, shards), "scores")
     scores = scores.withColumn("log_perplexity", -F.col("logp") / F.col("bytes"))
     lang = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("")).alias("lang")  # null is a language
-    rows = stored(docs.select(*kept, F.col("doc_id").alias("__id"), held_out.alias("__held"), lang, key), "rows")
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
+    rows = stored(docs.select(*kept, F.col("doc_id").alias("__id"), held_out.alias("__held"), lang, key, length), "rows")
     rows = rows.join(scores, "key", "left")
     held = rows.where("__held").join(ids, F.col("__id") == F.col("__trusted"), "left_semi").where("log_perplexity IS NOT NULL")
     held = stored(held.select("lang", "log_perplexity"), "held")
@@ -426,7 +429,7 @@ def classify(docs: DataFrame, trusted: DataFrame, held_out: Column, keep: list[s
     under = F.col("threshold").isNull() | (F.ceil(F.col("log_perplexity") / BIN) * BIN <= F.col("threshold"))
     return judged.select(
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
-        F.coalesce("bytes", F.lit(0)).alias("n_bytes"),
+        "n_bytes",
         F.exp("log_perplexity").alias("perplexity"),
         F.exp("threshold").alias("threshold"),
         (F.col("log_perplexity").isNotNull() & under).alias("passes"),

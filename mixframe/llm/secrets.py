@@ -98,9 +98,10 @@ def scan_new(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES)
     first = rows.groupBy("blob").agg(F.min("__name").alias("__name"))
     due = F.array_except(F.array(*[F.lit(k) for k in range(len(rules))]), F.coalesce("done", F.array().cast("array<int>")))
     todo = first.join(scanned, "blob", "left").withColumn("todo", due).where(F.size("todo") > 0).drop("done")
-    # an id may repeat with the same text: any of its rows will do
     found = rows.join(todo, ["blob", "__name"]).select("blob", F.explode(_scanner(rules)("text", "todo")).alias("f"))
-    found.select("blob", "f.kind", "f.version", "f.spans").write.mode("append").parquet(ledger_path)
+    # an id may repeat with the same text: one finding of each pair is kept
+    found = found.select("blob", "f.kind", "f.version", "f.spans").dropDuplicates(["blob", "kind", "version"])
+    found.write.mode("append").parquet(ledger_path)
 
 
 def findings(docs: DataFrame, ledger_path: str, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
