@@ -3,10 +3,11 @@
 The model is over the bytes of the text, four at a time (``ORDER``): every n-gram is then a number, none is unknown, and
 all scripts are covered. Counts, continuation counts, discounts and back-off weights are DataFrame aggregates and joins
 over all trusted texts. Scoring joins counts with the model shard by shard: tasks reduce blocks of documents to their
-distinct n-grams with the documents and times that hold them, each n-gram goes to the shard of its hash, meets the
-model's rows there, and what a shard knows comes back as sums for each document. N-grams that the model has not seen go
-on to the shards of their context (back-off weight) and of their shorter form. Orders one and two are at most 65,792 rows
-whatever the corpus, so they are broadcast.
+distinct n-grams with the documents and times that hold them, each n-gram goes to the shard of its two middle bytes, meets
+the model's rows there, and comes back as a sum for each document. An n-gram's context and its shorter form share those
+bytes, so a shard can also back off. There are as many shards as the model needs at ``SHARD_ROWS`` rows each, and copies
+of each shard for as many tasks as there are partitions, so neither a large model nor a large corpus meets in one task.
+Orders one and two are at most 65,792 rows whatever the corpus, so they are broadcast.
 
 A document passes if its perplexity is at most a quantile, for its language, of the perplexities of trusted documents
 that were held out of training. A language without any takes the quantile over all languages.
@@ -33,15 +34,16 @@ from mixframe.llm.common import small, stored
 ORDER = 4
 #: Bytes put before a text, so that its first bytes have a context; it does not occur in UTF-8.
 START = 0xFF
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 QUANTILE = 0.99
 BIN = 1e-3
 SHORT = 1 << 16
 #: A discount is no smaller, so that every back-off weight has a logarithm.
 LEAST_DISCOUNT = 0.01
-BLOBS = "kind string, shard int, block string, docs binary, data binary"
-#: Kinds of rows: model rows, list of a block's documents, sums, n-grams to look up, contexts to weigh.
-MODEL, DOCS, SUMS, GRAMS, CONTEXTS = "0model", "docs", "sums", "grams", "contexts"
+BLOBS = "kind string, cell int, block string, docs binary, data binary"
+SHARD_ROWS = 1 << 20
+#: Kinds of rows: pieces of the model, the list of a block's documents, n-grams to look up, sums.
+MODEL, DOCS, GRAMS, SUMS = "0model", "docs", "grams", "sums"
 
 
 def _pieces(data: bytes, limit: int) -> Iterator[bytes]:
@@ -213,52 +215,76 @@ def _postings_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return np.cumsum(steps), many, doc, times
 
 
-#: Odd, and below 2**31, so that the product with an n-gram is a positive long.
-SPREAD = 0x5BD1E995
+#: Odd, and small enough for the product with two bytes to be a positive int.
+SPREAD = 0x5BD1
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys.astype(np.int64) * SPREAD) >> 20) % shards
+def _shard(pair: np.ndarray, shards: int) -> np.ndarray:
+    return ((pair.astype(np.int64) * SPREAD) >> 5) % shards
 
 
-def _shard_column(gram: Column, shards: int) -> Column:
-    return F.pmod(F.shiftright(gram * F.lit(SPREAD), 20), F.lit(shards)).cast("int")
+def _shard_column(pair: Column, shards: int) -> Column:
+    return F.pmod(F.shiftright(pair * F.lit(SPREAD), 5), F.lit(shards)).cast("int")
 
 
 def _blob_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
     columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "shard", "block", "docs", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "cell", "block", "docs", "data"])
 
 
-def _by_shard(kind: str, block: str, gram: np.ndarray, doc: np.ndarray, times: np.ndarray, shards: int) -> list[tuple]:
-    """Rows of postings for the shards that the n-grams belong to."""
-    shard = _shard(gram, shards)
-    order = np.argsort(shard, kind="stable")  # n-grams stay sorted within a shard
-    gram, doc, times = gram[order], doc[order], times[order]
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    return [(kind, int(s), block, None, _postings(gram[a:b], doc[a:b], times[a:b]))
-            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+def _packed_model(shards: int, copies: int):  # noqa: ANN202
+    """Task function: rows (shard, role, gram, value) in any order become pieces of the model for all copies of a shard."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, role, gram, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for s in np.unique(shard):
+                for r in np.unique(role[shard == s]):
+                    at = np.flatnonzero((shard == s) & (role == r))
+                    at = at[np.argsort(gram[at])]
+                    blob = _pack(np.diff(gram[at], prepend=0).astype("<i8"), value[at].astype("<f8"))
+                    yield _blob_batch([(MODEL, int(s) * copies + k, str(r), None, blob) for k in range(copies)])
+
+    return pack
+
+
+#: What a row of the model answers for: a whole n-gram, the shorter form of one, the context of one.
+WHOLE, SHORTER, CONTEXT = "whole", "shorter", "context"
 
 
-def _home(block: str, shards: int) -> int:
-    part, _, number = block.partition("-")
-    return (int(part) * 31 + int(number)) % shards
+def _model_rows(models: dict[int, DataFrame], shards: int, copies: int) -> DataFrame:
+    whole, less = models[ORDER].where("logp IS NOT NULL"), models[ORDER - 1]
+    low = F.lit(SHORT - 1)
+    middle = {WHOLE: F.shiftright("gram", 8).bitwiseAND(low), SHORTER: F.shiftright("gram", 8), CONTEXT: F.col("gram").bitwiseAND(low)}
+    parts = [
+        table.select(_shard_column(middle[role], shards).alias("shard"), F.lit(role).alias("role"), "gram", F.col(value).alias("value"))
+        for role, table, value in ((WHOLE, whole, "logp"), (SHORTER, less.where("logp IS NOT NULL"), "logp"), (CONTEXT, less.where("logb <> 0"), "logb"))
+    ]
+    rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    # one piece of a shard and role, or a few of a batch each, so that copies are cheap
+    return rows.repartition("shard", "role", F.pmod("gram", F.lit(8))).mapInArrow(_packed_model(shards, copies), BLOBS)
 
 
-def _requests(shards: int):  # noqa: ANN202
-    """Task function: (key, text) rows become lists of documents and postings of their n-grams."""
+def _requests(shards: int, copies: int):  # noqa: ANN202
+    """Task function: (key, text) rows become lists of documents and postings of their n-grams, by shard."""
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, gram, doc in _blocks(batch.column(1).to_pylist(), BLOCK_BYTES):
-                block, number = f"{part}-{number}", number + 1
+                block, copy, number = f"{part}-{number}", (part * 7919 + number) % copies, number + 1
                 both, times = np.unique((gram.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64), return_counts=True)
                 known = np.bincount(doc, minlength=len(rows))
-                out = [(DOCS, _home(block, shards), block, _pack(keys[rows].astype("<i8"), known.astype("<i8")), None)]
-                out += _by_shard(GRAMS, block, (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), times, shards)
+                out = [(DOCS, copy, block, _pack(keys[rows].astype("<i8"), known.astype("<i8")), None)]
+                gram, doc = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                shard = _shard((gram >> 8) & (SHORT - 1), shards)
+                order = np.argsort(shard, kind="stable")  # n-grams stay sorted within a shard
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(cuts)):
+                    at = order[cuts[s] : cuts[s + 1]]
+                    out.append((GRAMS, int(s) * copies + copy, block, None, _postings(gram[at], doc[at], times[at])))
                 yield _blob_batch(out)
 
     return request
@@ -270,77 +296,58 @@ def _sums(values: np.ndarray, doc: np.ndarray, times: np.ndarray) -> bytes:
     return _pack(some.astype("<u4"), total[some].astype("<f8"))
 
 
-def _reduced(gram: np.ndarray, doc: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal (n-gram, document) rows added up."""
-    both = (gram.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64)
-    keys, index = np.unique(both, return_inverse=True)
-    total = np.bincount(index, times, len(keys)).astype(np.int64)
-    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), total
+def _find(keys: np.ndarray, grams: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in the sorted ``grams``, and the value of each (0 where it is not)."""
+    if not len(grams):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+    known = grams[at] == keys
+    return known, np.where(known, values[at], 0.0)
 
 
-def _lookup(order: int, shards: int, short: tuple[np.ndarray, np.ndarray] | None):  # noqa: ANN202
-    """Task function over rows sorted by shard, the model's rows first: answer what the shard knows, pass on the rest.
+def _lookup(short: tuple[np.ndarray, np.ndarray]):  # noqa: ANN202
+    """Task function over rows sorted by cell, the model's first: the log-probability of each block's documents there."""
+    pairs, weights = short
 
-    ``short`` is given at the last sharded order; n-grams that are unknown there are answered from it.
-    """
-
-    def answer(kind: str, block: str, blob: bytes, model: tuple, home: int) -> list[tuple]:
-        grams, logp, logb = model
-        keys, many, doc, times = _postings_of(blob)
-        at = np.minimum(np.searchsorted(grams, keys), max(0, len(grams) - 1))
-        known = (grams[at] == keys) if len(grams) else np.zeros(len(keys), bool)
-        value = np.zeros(len(keys))
-        if kind == CONTEXTS:  # an unseen context weighs 1
-            value[known] = logb[at[known]]
-            missing = np.zeros(len(keys), bool)
-        else:
-            known[known] = ~np.isnan(logp[at[known]])
-            value[known] = logp[at[known]]
-            missing = ~known
-        if short is not None and missing.any():
-            pairs, context = short
-            value[missing] = pairs[keys[missing] & 0xFFFF] + context[keys[missing] >> 8]
-            missing[:] = False
-        out = [(SUMS, home, block, None, _sums(np.repeat(value, many), doc, times))]
-        if missing.any():
-            rows = np.repeat(missing, many)
-            gram, doc, times = np.repeat(keys, many)[rows], doc[rows], times[rows]
-            mask = (1 << 8 * (order - 1)) - 1
-            for name, shorter in ((GRAMS, gram & mask), (CONTEXTS, gram >> 8)):
-                out += _by_shard(name, block, *_reduced(shorter, doc, times), shards)
-        return out
+    def logp(keys: np.ndarray, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        known, value = _find(keys, *model[WHOLE])
+        rest = keys[~known]
+        tail = rest & ((1 << 8 * (ORDER - 1)) - 1)
+        seen, shorter = _find(tail, *model[SHORTER])
+        shorter = np.where(seen, shorter, pairs[tail & (SHORT - 1)] + weights[tail >> 8])
+        value[~known] = _find(rest >> 8, *model[CONTEXT])[1] + shorter  # an unseen context weighs 1
+        return value
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts, model = None, [], None
+        cell, pieces, model = None, {}, None
         for batch in batches:
-            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            at = columns["shard"].to_numpy()
-            kinds = np.array(columns["kind"].to_pylist(), object)
-            start = 0
-            while start < batch.num_rows:
-                end = start + int(np.searchsorted(at[start:], at[start], "right"))
-                if at[start] != shard:
-                    shard, parts, model = at[start], [], None
-                modelled = start + int((kinds[start:end] == MODEL).sum())
-                if modelled > start:
-                    parts.append([columns[n].slice(start, modelled - start).to_numpy(zero_copy_only=False) for n in ("gram", "logp", "logb")])
-                out = []
-                for i in range(modelled, end):
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("kind", "cell", "block", "docs", "data")]
+            for i in range(batch.num_rows):
+                kind, at, block, docs, data = (c[i].as_py() for c in columns)
+                if at != cell:
+                    cell, pieces, model = at, {WHOLE: [], SHORTER: [], CONTEXT: []}, None
+                if kind == MODEL:
+                    steps, values = _unpack(data, "<i8", "<f8")
+                    pieces[block].append((np.cumsum(steps), values))
+                elif kind == DOCS:
+                    yield _blob_batch([(kind, 0, block, docs, None)])
+                else:
                     if model is None:
-                        model = tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0), np.empty(0))
-                        order_ = np.argsort(model[0])
-                        model = tuple(x[order_] for x in model)
-                    kind, block = kinds[i], columns["block"][i].as_py()
-                    docs, data = columns["docs"][i].as_py(), columns["data"][i].as_py()
-                    home = _home(block, shards)
-                    out += [(kind, home, block, docs, data)] if kind in (DOCS, SUMS) else answer(kind, block, data, model, home)
-                if out:
-                    yield _blob_batch(out)
-                start = end
+                        model = {role: _merged(parts) for role, parts in pieces.items()}
+                    keys, many, doc, times = _postings_of(data)
+                    yield _blob_batch([(SUMS, 0, block, None, _sums(np.repeat(logp(keys, model), many), doc, times))])
 
     return lookup
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0)
+    grams, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(grams, kind="stable")
+    return grams[order], values[order]
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block, the list of documents first: one row for each document (or piece of a long one)."""
     block, docs, total = None, None, None
@@ -362,25 +369,21 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def log_perplexity(docs: DataFrame, models: dict[int, DataFrame], shards: int | None = None) -> DataFrame:
+def log_perplexity(docs: DataFrame, models: dict[int, DataFrame], shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``key``, ``bytes`` and ``logp`` (natural, of the whole text) for each distinct ``key`` (long) of ``docs`` with a text.
 
-    Rows of one key must have one text; each of them adds to the sums, so divide ``logp`` by ``bytes``. The shards are as
-    many as the shuffle partitions, which fit the data; a task holds one shard of the model and one block's postings.
+    Rows of one key must have one text; each of them adds to the sums, so divide ``logp`` by ``bytes``. A task holds one
+    shard of the model and one block's postings at a time.
     """
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("key", "text").mapInArrow(_requests(shards), BLOBS)
-    short = short_model(models)
-    for order in range(ORDER, 2, -1):
-        table = models[order].select(
-            F.lit(MODEL).alias("kind"), _shard_column(F.col("gram"), shards).alias("shard"), F.lit(None).cast("string").alias("block"),
-            F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("data"), "gram", "logp", "logb",
-        )
-        asked = rows.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("gram", "bigint"), ("logp", "double"), ("logb", "double"))])
-        dealt = table.unionAll(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-        rows = dealt.mapInArrow(_lookup(order, shards, short if order == 3 else None), BLOBS)
-    blocks = rows.repartition(shards, "block").sortWithinPartitions("block", "kind")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = models[ORDER].count() + 2 * models[ORDER - 1].count()
+    shards = max(1, math.ceil(rows / shard_rows))
+    copies = max(1, partitions // shards)
+    asked = docs.select("key", "text").mapInArrow(_requests(shards, copies), BLOBS)
+    cells = _model_rows(models, shards, copies).unionAll(asked)
+    cells = cells.repartition(partitions, "cell").sortWithinPartitions("cell", "kind")
+    found = cells.mapInArrow(_lookup(short_model(models)), BLOBS)
+    blocks = found.repartition(partitions, "block").sortWithinPartitions("block", "kind")
     sums = blocks.mapInArrow(_totals, "key bigint, bytes bigint, logp double")
     return sums.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.sum("logp").alias("logp"))
 
@@ -401,7 +404,7 @@ def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 
 
 def classify(docs: DataFrame, trusted: DataFrame, held_out: Column, keep: list[str], quantile: float = QUANTILE,
-             shards: int | None = None) -> DataFrame:
+             shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``keep`` columns of ``docs`` with n_bytes, perplexity, threshold (a perplexity) and ``passes``.
 
     ``docs`` has doc_id, text and lang; ``trusted`` has the distinct doc_id of texts to trust; ``held_out`` is a condition
@@ -413,7 +416,7 @@ def classify(docs: DataFrame, trusted: DataFrame, held_out: Column, keep: list[s
     models = train(texts.where(~held_out).select("text"))
     kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
     key = F.xxhash64("doc_id", "text").alias("key")
-    scores = stored(log_perplexity(docs.select(key, "text"), models, shards), "scores")
+    scores = stored(log_perplexity(docs.select(key, "text"), models, shard_rows), "scores")
     scores = scores.withColumn("log_perplexity", -F.col("logp") / F.col("bytes"))
     lang = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("")).alias("lang")  # null is a language
     length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
