@@ -138,8 +138,11 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
-def best_alignments(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> tuple[int, int, int]:
-    """Best score over windows of ``text`` around the item's expected ``starts``, with the span of words that reach it."""
+def best_alignments(item: np.ndarray, text: np.ndarray, starts: np.ndarray, least: float = 1) -> tuple[int, int, int]:
+    """Best score over windows of ``text`` around the item's expected ``starts``, with the span of words that reach it.
+
+    Zero if no window can reach ``least``: a window scores at most a match for each of its words that the item has.
+    """
     slack = len(item) // 4 + 2
     width = len(item) + 4 * slack
     starts = np.unique(np.maximum(starts - 2 * slack, 0) // slack * slack)
@@ -148,7 +151,11 @@ def best_alignments(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> t
     for at in range(0, len(starts), step):
         place = starts[at : at + step, None] + np.arange(width)
         windows = np.where(place < len(text), text[np.minimum(place, len(text) - 1)], -1)
-        score, end = align(item, windows)
+        able = np.minimum(np.isin(windows, item).sum(axis=1), len(item)) * MATCH >= least
+        if not able.any():
+            continue
+        score, end = np.zeros(len(windows), np.int32), np.zeros(len(windows), np.int64)
+        score[able], end[able] = align(item, windows[able])
         top = int(score.argmax())
         if score[top] > best[0]:
             reach = int(end[top])
@@ -172,7 +179,7 @@ def matches(text: str | None, block: Block, threshold: float = THRESHOLD) -> lis
     for item in np.unique(items):
         words = block.items[item]
         here = starts[items == item]
-        score, start, end = best_alignments(words, numbers, here)
+        score, start, end = best_alignments(words, numbers, here, threshold * MATCH * len(words))
         share = score / (MATCH * len(words))
         if share >= threshold:
             out.append({"item": int(item), "score": share, "start": start, "end": end, "places": len(np.unique(here))})
