@@ -16,6 +16,7 @@ from __future__ import annotations
 import io
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain
 from typing import Any
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from mixframe.llm.common import once, spans_of, texts
 
 END_ID = 2
-#: Characters that are split into words at a time, and distinct words that a task remembers.
+#: Characters that are split into words at a time, and distinct words that a worker process remembers.
 BLOCK_CHARS = 2_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 PARTS = "part int, path string, rows bigint, nulls bigint, ids bigint, width int"
 LISTED = f"{PARTS}, base bigint"
 
@@ -49,11 +50,24 @@ def tokenizer(path: str) -> Any:
     return once(f"tokenizer {path}", load)
 
 
+class Known(dict):
+    """Numbers of words; a word that has none gets the next and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__({None: 0, "": 1})  # None: the end of a document
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Ids of whole texts, with the ids of every distinct word looked up once.
 
     The vocabulary's pre-tokenizer never joins what a space (0x20) or line feed separates and drops both, so the ids of a
-    text are those of its pieces between them, in order.
+    text are those of its pieces between them, in order. Words are remembered up to ``limit``, then all are forgotten.
     """
 
     def __init__(self, path: str, end_id: int, limit: int = CACHE_WORDS) -> None:
@@ -62,36 +76,29 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str | None, int] = {None: 0, "": 1}  # None: the end of a document
-        self.ids, self.lengths = [np.array([self.end_id], f"<u{self.width}")], [1, 0]
-        self.flat = self.starts = self.sizes = None
-
-    def _learn(self, new: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for word, encoding in zip(new, found, strict=True):
-            self.known[word] = len(self.lengths)
-            self.ids.append(np.array(encoding.ids, f"<u{self.width}"))
-            self.lengths.append(len(encoding.ids))
-        self.flat = None
+        self.known = Known()
+        self.ids, self.lengths = array("I", [self.end_id]), array("q", [1, 0])
 
     def encode(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each with its end id, and the number of ids of each."""
-        words = [d.replace("\n", " ").split(" ") for d in documents]
         if len(self.known) > self.limit:
             self._reset()
-        new = set().union(*words) - self.known.keys()
-        if new:
-            self._learn(list(new))
-        if self.flat is None:
-            self.flat = np.concatenate(self.ids)
-            self.ids = [self.flat]
-            self.sizes = np.array(self.lengths, np.int64)
-            self.starts = np.cumsum(self.sizes) - self.sizes
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable([*w, None] for w in words)), np.int64)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        sizes = self.sizes[which]
-        before = np.cumsum(sizes)
-        ids = self.flat[np.arange(before[-1]) + np.repeat(self.starts[which] - before + sizes, sizes)]
+        words = [d.replace("\n", " ").split(" ") for d in documents]
+        for said in words:
+            said.append(None)
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
+        if self.known.new:
+            for encoding in self.tokenizer.encode_batch_fast(self.known.new, add_special_tokens=False):
+                ids = encoding.ids
+                self.ids.extend(ids)
+                self.lengths.append(len(ids))
+            self.known.new.clear()
+        flat, sizes = np.array(self.ids, f"<u{self.width}"), np.array(self.lengths)
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[which]
+        before = np.cumsum(size)
+        ids = flat[np.arange(before[-1]) + np.repeat(starts[which] - before + size, size)]
+        ends = np.cumsum([len(said) for said in words])
         return ids, np.diff(before[ends - 1], prepend=0)
 
 
@@ -123,7 +130,7 @@ def _writer(folder: str, path: str, end_id: int):  # noqa: ANN202
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(path, end_id)
+                encoder = once(f"encoder {path} {end_id}", lambda: Encoder(path, end_id))
                 system, local = _open(name)
                 system.create_dir(os.path.dirname(local), recursive=True)
                 out = io.BufferedWriter(system.open_output_stream(f"{local}.bin"), 1 << 20)
