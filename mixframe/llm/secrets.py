@@ -19,7 +19,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEDGER = "blob string, kind string, version int, spans array<struct<start:bigint,end:bigint>>"
+SCANS = "array<struct<kind:string,version:int,spans:array<struct<start:bigint,end:bigint>>>>"
+#: A row for each blob and run that scanned it, with the pairs of that run; nested, a blob's address is moved once.
+LEDGER = f"blob string, scans {SCANS}"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -80,7 +82,17 @@ def _scanner(rules: list[Rule]):  # noqa: ANN202
         entry = pa.struct([("kind", pa.string()), ("version", pa.int32()), ("spans", SPANS)])
         return pa.array(found, pa.list_(entry))
 
-    return F.arrow_udf(scan, "array<struct<kind:string,version:int,spans:array<struct<start:bigint,end:bigint>>>>")
+    return F.arrow_udf(scan, SCANS)
+
+
+def pairs(ledger: DataFrame) -> DataFrame:
+    """The ledger as (blob, kind, version, spans)."""
+    return ledger.select("blob", F.inline("scans"))
+
+
+def _scan_of(rule: Rule) -> Column:
+    """The ledger row's scans for one version of a rule."""
+    return F.filter("scans", lambda s: (s["kind"] == rule.kind) & (s["version"] == rule.version))
 
 
 def scan_new(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> None:
@@ -90,30 +102,28 @@ def scan_new(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES)
     a blob that a third of all documents share is spread over tasks, and only where something is left to scan.
     """
     spark, rules = docs.sparkSession, list(rules)
-    known = read_ledger(spark, ledger_path)
-    current = spark.createDataFrame([(r.kind, r.version, k) for k, r in enumerate(rules)], "kind string, version int, rule int")
-    scanned = known.join(F.broadcast(current), ["kind", "version"]).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    done = [F.max(F.size(_scan_of(r)) > 0).alias(f"__done{k}") for k, r in enumerate(rules)]
+    scanned = read_ledger(spark, ledger_path).groupBy("blob").agg(*done)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__name")
     rows = docs.select(name, blobs(docs).alias("blob"), "text")
     first = rows.groupBy("blob").agg(F.min("__name").alias("__name"))
-    due = F.array_except(F.array(*[F.lit(k) for k in range(len(rules))]), F.coalesce("done", F.array().cast("array<int>")))
-    todo = first.join(scanned, "blob", "left").withColumn("todo", due).where(F.size("todo") > 0).drop("done")
-    found = rows.join(todo, ["blob", "__name"]).select("blob", F.explode(_scanner(rules)("text", "todo")).alias("f"))
-    # an id may repeat with the same text: one finding of each pair is kept
-    found = found.select("blob", "f.kind", "f.version", "f.spans").dropDuplicates(["blob", "kind", "version"])
+    due = [F.when(F.coalesce(f"__done{k}", F.lit(False)), None).otherwise(F.lit(k)) for k in range(len(rules))]
+    todo = first.join(scanned, "blob", "left").select("blob", "__name", F.array_compact(F.array(*due)).alias("todo"))
+    found = rows.join(todo.where(F.size("todo") > 0), ["blob", "__name"]).select("blob", _scanner(rules)("text", "todo").alias("scans"))
+    # an id may repeat with the same text: one row of each blob is kept
+    found = found.dropDuplicates(["blob"])
     found.write.mode("append").parquet(ledger_path)
 
 
 def findings(docs: DataFrame, ledger_path: str, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``keep`` columns of ``docs`` with ``blob`` and, for each rule, its spans in a column named after its kind."""
-    current = {r.kind: r.version for r in rules}
     ledger = read_ledger(docs.sparkSession, ledger_path)
-    of = lambda kind, version: F.first(F.when((F.col("kind") == kind) & (F.col("version") == version), F.col("spans")), True)
-    by_blob = ledger.groupBy("blob").agg(*[of(k, v).alias(k) for k, v in current.items()])
+    whole = ledger.groupBy("blob").agg(F.flatten(F.collect_list("scans")).alias("scans"))
+    by_blob = whole.select("blob", *[F.get(_scan_of(r), F.lit(0))["spans"].alias(r.kind) for r in rules])
     paths = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], blobs(docs).alias("blob"))
     # rows of one blob may be a third of the table: the adaptive skew join splits them
     joined = paths.join(by_blob, "blob", "left")
-    return joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "blob", *current)
+    return joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "blob", *[r.kind for r in rules])
 
 
 def span_list(kinds: list[str]) -> Column:

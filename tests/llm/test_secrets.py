@@ -29,12 +29,12 @@ def test_spans_and_ledger(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, blob string, hex int").repartition(4)
     ledger = str(tmp_path / "ledger")
     secrets.scan_new(docs.where("doc_id < 5"), ledger)
-    first = secrets.read_ledger(spark, ledger).count()
+    first = secrets.pairs(secrets.read_ledger(spark, ledger)).count()
     assert first == 5 * len(secrets.RULES) - len(secrets.RULES)  # null and empty are one blob
     secrets.scan_new(docs, ledger)
     blobs = len({t or "" for t in TEXTS})
-    assert secrets.read_ledger(spark, ledger).groupBy("blob", "kind", "version").count().where("count > 1").count() == 0
-    assert secrets.read_ledger(spark, ledger).count() == blobs * len(secrets.RULES)
+    assert secrets.pairs(secrets.read_ledger(spark, ledger)).groupBy("blob", "kind", "version").count().where("count > 1").count() == 0
+    assert secrets.pairs(secrets.read_ledger(spark, ledger)).count() == blobs * len(secrets.RULES)
     kinds = ["assign", "access", "hex"]
     found = secrets.findings(docs, ledger, ["doc_id", "text"]).withColumn("listed", secrets.span_list(kinds))
     found = found.withColumn("all", secrets.span_list([r.kind for r in secrets.RULES])).collect()
@@ -47,7 +47,7 @@ def test_spans_and_ledger(spark, tmp_path):
     # a new version of one rule scans all blobs for that rule alone, and old findings of other rules stand
     newer = (*secrets.RULES[:-1], secrets.Rule("hosting", r"gh[a-z]_[A-Za-z0-9]{10}", 1, version=2))
     secrets.scan_new(docs, ledger, newer)
-    counted = {(r.kind, r.version): r["count"] for r in secrets.read_ledger(spark, ledger).groupBy("kind", "version").count().collect()}
+    counted = {(r.kind, r.version): r["count"] for r in secrets.pairs(secrets.read_ledger(spark, ledger)).groupBy("kind", "version").count().collect()}
     assert set(counted.values()) == {blobs} and ("hosting", 2) in counted and len(counted) == len(secrets.RULES) + 1
 
 
