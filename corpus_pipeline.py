@@ -20,8 +20,18 @@ from mixframe.llm.common import stored
 from mixframe.session import scratch_path
 
 
+#: Rows of an Arrow batch. Rows hold whole texts, and executors keep their Python workers from stage to stage.
+BATCH_ROWS = "1000"
+
+
+def _session(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    _session(spark)
     model = language.fit(language.training_rows(docs))
     return language.predict(docs, model, "__language").where(~F.col("__language.rejected")).select(*docs.columns)
 
@@ -31,6 +41,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows that repeat an id are told apart by a hash of the text and, if that is equal too, merged.
     """
+    _session(spark)
     found = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), ["doc_id", "hash"])
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))).alias("f"))
     kept = first.select(F.col("f.doc_id").alias("__id"), F.col("f.hash").alias("__hash"))
@@ -41,7 +52,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    benchmark = catalog.table(spark, sf_dir, "benchmark")
+    benchmark = catalog.table(_session(spark), sf_dir, "benchmark")
     return decontaminate.with_matches(docs, benchmark, out="__leaks").where(F.size("__leaks") == 0).select(*docs.columns)
 
 
@@ -52,6 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document in the token files: doc_id, start, n_tokens, ids_crc32."""
+    _session(spark)
     return tokens.digests(spark, tokens.write_tokens(docs, scratch_path(spark, "tokens"), catalog.token_file()))
 
 
