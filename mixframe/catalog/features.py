@@ -66,7 +66,7 @@ def _lookup_mean(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", hashing.hash_bucket("text", 50).alias("bucket"))
     vectors = bucket_vectors(turns.select("bucket").distinct())
     rows = turns.groupBy("conv_id").agg(F.collect_list("bucket").alias("buckets"))
-    out = frames.bucket_embedding_mean(rows, "conv_id", "buckets", vectors, EMBEDDING_SIZE, "vec")
+    out = frames.bucket_embedding_mean(rows, "buckets", vectors, EMBEDDING_SIZE, "vec")
     return long(out, ["conv_id"], "vec")
 
 
@@ -76,12 +76,46 @@ def _assemble(spark: SparkSession, folder: str) -> DataFrame:
     return long(out, ["event_id"], "x", digits=5)
 
 
+def roles_config() -> TableConfig:
+    return TableConfig.from_dict(
+        {
+            "idCols": ["conv_id"],
+            "featureColumns": [
+                column("conv_id", "INTEGER"),
+                column("roles", "STRING", [2], kind="fcHashEmbedding", hashSize=50, embeddingSize=EMBEDDING_SIZE),
+            ],
+        }
+    )
+
+
+def _roles(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The first two roles of every conversation, and the vectors of their buckets."""
+    turns = table(spark, folder, "conversations")
+    said = F.array_sort(F.collect_list(F.struct("turn", "role")).alias("t"))
+    first = turns.filter("turn < 2").groupBy("conv_id").agg(said.alias("t")).select("conv_id", F.col("t.role").alias("roles"))
+    return first, {"roles": bucket_vectors(turns.select(hashing.hash_bucket("role", 50).alias("bucket")).distinct())}
+
+
+def _assemble_list(spark: SparkSession, folder: str) -> DataFrame:
+    rows, tables = _roles(spark, folder)
+    return long(frames.assemble_features(rows, roles_config(), "x", tables), ["conv_id"], "x", digits=5)
+
+
+def _cube_list(spark: SparkSession, folder: str) -> DataFrame:
+    rows, tables = _roles(spark, folder)
+    return long(frames.to_cube(rows, roles_config(), (2, 2), tables=tables), ["conv_id"], "x", digits=5)
+
+
+ROLE_MEANS = f"""SELECT conv_id, d, round(avg(sin({BUCKET.format("role", 50)} + d)), 5) + 0.0 AS value
+FROM conversations CROSS JOIN (SELECT unnest(range(8)) AS d) WHERE turn < 2 GROUP BY conv_id, d"""
+
+
 def cube_config() -> TableConfig:
     return TableConfig.from_dict(
         {
-            "idCols": ["vec_id"],
+            "idCols": ["event_id"],
             "featureColumns": [
-                column("vec_id", "INTEGER"),
+                column("event_id", "INTEGER"),
                 column("embedding", "FLOAT", [64]),
                 column("event_type", "STRING", kind="fcVocabIndicator", vocabulary=VOCABULARY),
                 column("value", "FLOAT"),
@@ -91,10 +125,11 @@ def cube_config() -> TableConfig:
 
 
 def _cube(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").select(F.col("event_id").alias("vec_id"), "event_type", "value")
-    rows = table(spark, folder, "embeddings").join(events, "vec_id")
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    events = table(spark, folder, "events").select("event_id", "event_type", "value")
+    rows = events.withColumn("vec_id", F.pmod("event_id", F.lit(vectors.count()))).join(vectors, "vec_id")
     out = frames.to_cube(rows, cube_config(), (12, 12), (40, 40), (6, 9))
-    return long(out, ["vec_id"], "x", digits=5)
+    return long(out, ["event_id"], "x", digits=5)
 
 
 def _vector(make: Callable[[], Column]) -> Run:
@@ -210,21 +245,28 @@ FROM conversations CROSS JOIN (SELECT unnest(range(8)) AS d) GROUP BY conv_id, d
 UNION ALL SELECT event_id, (4 + d)::INTEGER, round(sin({USER_BUCKET} + d), 5) + 0.0
 FROM events CROSS JOIN (SELECT unnest(range(8)) AS d)
 UNION ALL SELECT event_id, 12, round(value::FLOAT::DOUBLE, 5) + 0.0 FROM events""",
+    ),
+    Query("assemble_list_embedding", _assemble_list, f"SELECT conv_id, d::INTEGER AS pos, value FROM ({ROLE_MEANS})"),
+    Query(
+        "to_cube_list_embedding",
+        _cube_list,
+        f"""SELECT conv_id, (cell * 8 + d)::INTEGER AS pos, value
+FROM ({ROLE_MEANS}) CROSS JOIN (SELECT unnest(range(4)) AS cell)""",
     ),
     Query(
         "to_cube",
         _cube,
-        f"""WITH rows AS (SELECT vec_id, embedding, event_type, value::FLOAT::DOUBLE AS value
-  FROM embeddings JOIN events ON vec_id = event_id),
+        f"""WITH rows AS (SELECT event_id, embedding, event_type, value::FLOAT::DOUBLE AS value
+  FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)),
 cells AS (SELECT unnest(range(144)) AS cell),
 planes AS (
-  SELECT vec_id, 0 AS ch, cell // 12 AS y, cell % 12 AS x,
+  SELECT event_id, 0 AS ch, cell // 12 AS y, cell % 12 AS x,
          CASE WHEN cell BETWEEN 40 AND 103 THEN embedding[cell - 39]::DOUBLE ELSE 0 END AS value FROM rows, cells
-  UNION ALL SELECT vec_id, 1 + v.i, cell // 12, cell % 12, (event_type = v.name)::INTEGER::DOUBLE
+  UNION ALL SELECT event_id, 1 + v.i, cell // 12, cell % 12, (event_type = v.name)::INTEGER::DOUBLE
   FROM rows, cells, (SELECT unnest({VOCABULARY}) AS name, unnest(range(4)) AS i) v
-  UNION ALL SELECT vec_id, 5, cell // 12, cell % 12, value FROM rows, cells),
-{resize_sql("planes", (12, 12), (6, 9), "vec_id")}
-SELECT vec_id, ((y * 9 + x) * 6 + ch)::INTEGER AS pos, round(value, 5) + 0.0 AS value FROM resized""",
+  UNION ALL SELECT event_id, 5, cell // 12, cell % 12, value FROM rows, cells),
+{resize_sql("planes", (12, 12), (6, 9), "event_id")}
+SELECT event_id, ((y * 9 + x) * 6 + ch)::INTEGER AS pos, round(value, 5) + 0.0 AS value FROM resized""",
     ),
     Query(
         "pad",

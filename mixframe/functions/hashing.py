@@ -28,7 +28,7 @@ def md5_long(*parts: str | Column, digits: int = 8) -> Column:
 
 
 def hash_bucket(col: str | Column, size: int) -> Column:
-    """Bucket of a value; the number of buckets is capped at 10,000."""
+    """Bucket of a value; more than 10,000 buckets (a fixed value of the declared tables) count as 10,000."""
     if size < 1:
         raise ValueError("a hash needs at least one bucket")
     return F.pmod(md5_long(col), F.lit(min(size, MAX_HASH_BUCKETS))).cast("int")
@@ -48,9 +48,10 @@ def normals(row_seeds: np.ndarray, width: int) -> np.ndarray:
     return np.sqrt(-2.0 * np.log(uniforms[:, 0::2])) * np.cos(2.0 * np.pi * uniforms[:, 1::2])
 
 
-def row_seed(row_id: str | Column, seed: int) -> Column:
-    """60-bit seed of a row."""
-    return md5_long(row_id, F.lit(seed), digits=15)
+def row_seed(row_id: str | Column | list[str], seed: int) -> Column:
+    """60-bit seed of a row, from its id or all columns of a composite id."""
+    ids = row_id if isinstance(row_id, list) else [row_id]
+    return md5_long(*ids, F.lit(seed), digits=15)
 
 
 def add_noise(col: str, row_id: str, std: float, seed: int = 0) -> Column:
@@ -67,7 +68,7 @@ def add_noise(col: str, row_id: str, std: float, seed: int = 0) -> Column:
     return arrow.row_function(noisy, "array<double>")(F.col(col), row_seed(row_id, seed))
 
 
-def reparameterize(z_mu: str, z_sigma: str, row_id: str, seed: int = 0) -> Column:
+def reparameterize(z_mu: str, z_sigma: str, row_id: str | Column | list[str], seed: int = 0) -> Column:
     """A draw from N(z_mu, exp(z_sigma)); ``z_sigma`` is a log-variance."""
 
     def draw(mu: pa.Array, log_var: pa.Array, seeds: pa.Array) -> pa.Array:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixframe.functions.vectors import doubles, exploded
+from mixframe.functions.vectors import checked, doubles, exploded
 
 # K * D is a parameter of the model and does not grow with the data. It is still checked before it is collected and
 # shipped to the tasks: 8 million numbers are 64 MB for the centres and 64 MB for the variances.
@@ -107,9 +107,13 @@ def grouped_model(df: DataFrame, vector: str, group: str) -> Mixture:
 
     Groups are numbered 0 .. K-1 in the order of the group value. One exploded aggregate, combined on the map side to
     at most K * D rows in each task, so neither a hot group nor a long table reaches one task whole; only the K * D
-    moments are collected, and no more than a model may have.
+    moments are collected, and no more than a model may have. Null vectors and elements, and vectors of another length than
+    the rest, are errors.
     """
-    values = exploded(df, [F.col(group).alias("g")], doubles(vector), "d", "x")
+    first = df.select(F.size(vector).alias("n")).filter(F.col("n") > 0).first()
+    if first is None:
+        raise ValueError("no rows to build a mixture from")
+    values = exploded(df, [F.col(group).alias("g")], doubles(checked(vector, first["n"], nulls=False)), "d", "x")
     moments = values.groupBy("g", "d").agg(
         F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")
     )

@@ -84,8 +84,10 @@ def global_rank(df: DataFrame, key: str, out: str = "rank", rows_per_bucket: int
         numeric = df.select(F.col(key).cast("double").alias("key"))
         if rows > KEYS_PER_BUCKET * buckets:
             numeric = numeric.sample(KEYS_PER_BUCKET * buckets / rows, seed=0)
-        cuts = sorted(set(numeric.approxQuantile("key", shares, 1.0 / (4 * buckets))))
-    keyed = df.withColumn("__key", F.col(key).cast("double"))
+        found = numeric.approxQuantile("key", shares, 1.0 / (4 * buckets))
+        cuts = sorted({c for c in found if math.isfinite(c)})
+    # NaN is the largest key: it shares the last bucket with infinity and comes after it there
+    keyed = df.withColumn("__key", F.nanvl(F.col(key).cast("double"), F.lit(float("inf"))))
     if cuts:
         splits = [float("-inf"), *cuts, float("inf")]
         bucketed = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket").transform(keyed)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixframe.config import FeatureSpec, TableConfig
-from mixframe.functions import features
+from mixframe.functions import arrow, features
 from mixframe.functions.hashing import hash_bucket
+from mixframe.functions.vectors import doubles
+from mixframe.model import check_parameter_count
 from mixframe.operators.lookup import BROADCAST_BYTES, lookup_join
 
 
@@ -23,19 +27,39 @@ def bucket_embedding(df: DataFrame, bucket: str, table: DataFrame, size: int, ou
     return joined.withColumn(out, F.when(F.col(bucket).isNull() | F.col(out).isNotNull(), F.col(out)).otherwise(missing))
 
 
-def bucket_embedding_mean(
-    df: DataFrame, row_id: str, buckets: str, table: DataFrame, size: int, out: str
-) -> DataFrame:
-    """Mean vector of a list of buckets for each row id; a row with an empty list gets zeros.
+def bucket_embedding_mean(df: DataFrame, buckets: str, table: DataFrame, size: int, out: str) -> DataFrame:
+    """Mean vector of each row's list of buckets, repeats counted; an empty or null list gives zeros.
 
-    The lists are exploded and looked up, then averaged per row and position; the sums combine inside the tasks.
+    Null elements do not count. The table has at most 10,000 buckets; its size is checked as a model's is, and it goes to
+    the tasks, so rows stay where they are and need no id. A bucket without a vector is an error, as is one of another
+    size.
     """
-    single = df.select(row_id, F.explode(buckets).alias("__bucket"))
-    found = bucket_embedding(single, "__bucket", table, size, "__vec").select(row_id, F.posexplode("__vec").alias("d", "x"))
-    means = found.groupBy(row_id, "d").agg(F.avg("x").alias("x"))
-    vectors = means.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).getField("x").alias(out))
-    zeros = F.array_repeat(F.lit(0.0), size)
-    return df.join(vectors, row_id, "left").withColumn(out, F.coalesce(F.col(out), zeros))
+    rows = table.select(F.col("bucket").cast("bigint").alias("bucket"), doubles(features.checked("vec", size, nulls=False)).alias("vec"))
+    check_parameter_count(rows.count(), size)
+    found = rows.orderBy("bucket").toArrow()
+    known = found["bucket"].to_numpy()
+    vectors = np.array(found["vec"].to_pylist(), dtype=np.float64).reshape(len(known), size)
+
+    def mean(column: pa.Array) -> pa.Array:
+        lengths = np.diff(column.offsets.to_numpy())
+        values = column.flatten()
+        row = np.repeat(np.arange(len(column)), np.where(column.is_null().to_numpy(zero_copy_only=False), 0, lengths))
+        present = values.is_valid().to_numpy(zero_copy_only=False)
+        row, bucket = row[present], values.drop_null().to_numpy().astype(np.int64)
+        at = np.minimum(np.searchsorted(known, bucket), max(0, len(known) - 1))
+        missing = np.ones(len(bucket), bool) if not len(known) else known[at] != bucket
+        if missing.any():
+            raise ValueError(f"no vector for bucket {bucket[missing][0]}")
+        sums = np.zeros((len(column), size))
+        np.add.at(sums, row, vectors[at])
+        return arrow.lists(sums / np.maximum(np.bincount(row, minlength=len(column)), 1)[:, None])
+
+    return df.withColumn(out, arrow.row_function(mean, "array<double>")(F.col(buckets).cast("array<bigint>")))
+
+
+def _hashed(name: str, buckets: int) -> Column:
+    """Buckets of the elements of a list column; null stays null."""
+    return F.transform(name, lambda v: F.when(v.isNotNull(), hash_bucket(v, buckets)))
 
 
 def _with_embeddings(
@@ -50,8 +74,12 @@ def _with_embeddings(
         if name not in tables:
             raise ValueError(f"column {name} needs an embedding table")
         bucket, vector = f"__{name}_bucket", f"__{name}_vector"
-        df = df.withColumn(bucket, hash_bucket(name, spec.buckets))
-        df = bucket_embedding(df, bucket, tables[name], spec.embedding_size, vector).drop(bucket)
+        if spec.shape:  # a list: every element has its bucket, and the vectors are pooled
+            df = df.withColumn(bucket, _hashed(name, spec.buckets))
+            df = bucket_embedding_mean(df, bucket, tables[name], spec.embedding_size, vector).drop(bucket)
+        else:
+            df = df.withColumn(bucket, hash_bucket(name, spec.buckets))
+            df = bucket_embedding(df, bucket, tables[name], spec.embedding_size, vector).drop(bucket)
         vectors[name] = vector
     return df, vectors
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mixframe.config import TableConfig
 from mixframe.functions.hashing import reparameterize
@@ -26,11 +27,14 @@ def encoded(
     tables: dict[str, DataFrame] | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Declared rows as frames ``x`` with their codes ``z_mu``, ``z_sigma`` and a drawn ``z``; ids are densified."""
+    """Declared rows as frames ``x`` with their codes ``z_mu``, ``z_sigma`` and a drawn ``z``; ids are densified.
+
+    The draw is seeded by all ids together. Rows without declared ids are seeded by their code, so equal rows draw alike.
+    """
     ids = list(config.ids)
     cubes = to_cube(densify(df, ids), config, frame, padding, interp, "x", tables).select(*ids, "x")
     coded = encode(cubes, coder, "x")
-    return coded.withColumn("z", reparameterize("z_mu", "z_sigma", ids[0], seed))
+    return coded.withColumn("z", reparameterize("z_mu", "z_sigma", ids or F.col("z_mu").cast("string"), seed))
 
 
 def predict_dataset(

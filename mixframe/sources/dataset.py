@@ -17,7 +17,8 @@ UNKNOWN = "__unknown__"
 def dataset(spark: SparkSession, config: TableConfig, split: str, fmt: str = "parquet") -> DataFrame:
     """All regular, non-hidden files of a split's directory, with the declared columns only.
 
-    CSV has no arrays: vectors are read as JSON text, the way the CSV sink writes them.
+    CSV has no arrays: vectors are read as JSON text, the way the CSV sink writes them. A record that does not parse as
+    declared is an error, not a row of nulls.
     """
     if split not in SPLITS:
         raise ValueError(f"invalid split {split!r}; expected one of {', '.join(SPLITS)}")
@@ -27,7 +28,7 @@ def dataset(spark: SparkSession, config: TableConfig, split: str, fmt: str = "pa
         raise ValueError(f"unsupported source format {fmt!r}")
     schema, path = config.schema(), config.paths[split]
     if fmt == "json":
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if fmt != "csv":
         return _self_described(spark, schema, path, fmt)
     # a user schema would bind CSV columns by position, so the header names them and the declared types follow
@@ -35,7 +36,7 @@ def dataset(spark: SparkSession, config: TableConfig, split: str, fmt: str = "pa
     if not raw.columns:
         return spark.createDataFrame([], schema)
     parsed = [
-        F.from_json(f.name, f.dataType) if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast(f.dataType)
+        F.from_json(f.name, f.dataType, {"mode": "FAILFAST"}) if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast(f.dataType)
         for f in schema.fields
     ]
     return raw.select(*[c.alias(f.name) for c, f in zip(parsed, schema.fields, strict=True)])

@@ -46,8 +46,12 @@ def score_stream(
     mixture = as_mixture(model)
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        predictions = predict(rows, mixture, ids, z_mu, z_sigma, z)
-        predictions.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        held = rows.persist()  # the range and the scores both read it; a remote source is fetched once
+        try:
+            predictions = predict(held, mixture, ids, z_mu, z_sigma, z)
+            predictions.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        finally:
+            held.unpersist()
 
     return _start(stream, write, checkpoint, available_now)
 
@@ -116,5 +120,7 @@ def fitted_model(spark: SparkSession, model_path: str) -> Mixture | None:
     """The model ``init_stream`` wrote, or None while it is still pooling."""
     try:
         return Mixture.from_table(spark.read.parquet(model_path))
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None

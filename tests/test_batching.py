@@ -144,3 +144,13 @@ def test_rows_without_an_id_are_kept(spark, per_bucket):
     out = batching.global_rank(df, "id", rows_per_bucket=per_bucket).collect()
     assert sorted(r["rank"] for r in out) == list(range(22))
     assert {r["rank"] for r in out if r.id is None} == {0, 1}
+
+
+@pytest.mark.parametrize("per_bucket", [None, 10, 1])
+def test_odd_keys_rank_alike_in_few_and_many_buckets(spark, per_bucket):
+    keys = [None, float("nan"), float("inf"), float("-inf"), 2.0, 2.0, float("nan")] + [float(i) for i in range(30)]
+    df = spark.createDataFrame([(k,) for k in keys], "k double").repartition(3)
+    found = batching.global_rank(df, "k", rows_per_bucket=per_bucket).collect()
+    key = lambda k: (k is not None, k is not None and k != k, 0.0 if k is None or k != k else k)
+    assert [str(r.k) for r in sorted(found, key=lambda r: r["rank"])] == [str(k) for k in sorted(keys, key=key)]
+    assert sorted(r["rank"] for r in found) == list(range(len(keys)))

@@ -94,7 +94,7 @@ def test_embedding_lookup(spark):
     with pytest.raises(Exception, match="no vector for bucket 9"):
         frames.bucket_embedding(spark.createDataFrame([(9,)], "b int"), "b", table, 2, "v").collect()
     lists = spark.createDataFrame([(1, [0, 1, 1]), (2, [])], "id long, b array<int>")
-    means = {r.id: r.v for r in frames.bucket_embedding_mean(lists, "id", "b", table, 2, "v").collect()}
+    means = {r.id: r.v for r in frames.bucket_embedding_mean(lists, "b", table, 2, "v").collect()}
     assert np.allclose(means[1], [7 / 3, 10 / 3]) and means[2] == [0.0, 0.0]
 
 
@@ -117,3 +117,20 @@ def test_series_cube(spark):
     with pytest.raises(ValueError):
         frames.assemble_features(df, TableConfig.from_dict({"featureColumns": [
             column("index", "INTEGER", kind="fcHashEmbedding", hashSize=4, embeddingSize=2)]}))
+
+
+def test_pooled_embeddings_need_no_id(spark):
+    vectors = spark.createDataFrame([(b, [float(b), 1.0]) for b in range(6)], "bucket int, vec array<double>")
+    rows = [(1, [0]), (1, [4]), (None, [3]), (2, []), (3, None), (4, [2, None, 5, 5])]
+    df = spark.createDataFrame(rows, "id int, b array<int>")
+    out = frames.bucket_embedding_mean(df, "b", vectors, 2, "v")
+    assert [tuple(r.v) for r in out.collect()] == [(0.0, 1.0), (4.0, 1.0), (3.0, 1.0), (0.0, 0.0), (0.0, 0.0), (4.0, 1.0)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="no vector for bucket 9"):
+        frames.bucket_embedding_mean(spark.createDataFrame([([9],)], "b array<int>"), "b", vectors, 2, "v").collect()
+
+
+def test_composite_ids_draw_apart(spark):
+    df = spark.createDataFrame([(1, 1, [0.0], [0.0]), (1, 2, [0.0], [0.0])], "a int, b int, m array<double>, s array<double>")
+    drawn = [r.z for r in df.select(hashing.reparameterize("m", "s", ["a", "b"]).alias("z")).collect()]
+    assert drawn[0] != drawn[1]

@@ -147,6 +147,13 @@ def test_custom_scorer(spark):
         custom_scorer(lambda b: b.head(0).assign(total=0.0), "total double")(df, CONFIG).collect()
 
 
+def test_custom_scorer_keeps_large_ids_beside_nulls(spark):
+    rows = [(9007199254740993, 1, [1.0] * 64), (None, 1, [2.0] * 64)]
+    df = spark.createDataFrame(rows, "id bigint, y int, v array<float>").coalesce(1)
+    out = custom_scorer(lambda b: pd.DataFrame({"n": b["v"].map(len)}), "n bigint")(df, CONFIG)
+    assert [tuple(r) for r in out.collect()] == [(9007199254740993, 64), (None, 64)]
+
+
 def test_prediction_and_evaluation_of_a_dataset(spark, folder, tmp_path):
     source = spark.read.parquet(f"{folder}/embeddings.parquet")
     source.selectExpr("vec_id id", "label y", "embedding v").write.parquet(str(tmp_path / "train"))

@@ -118,6 +118,13 @@ def test_grouped_model(spark):
     assert np.allclose(m.weights, [0.4, 0.6]) and np.allclose(m.means, [[2], [7]]) and np.allclose(m.variances, [[1], [8 / 3]])
 
 
+def test_grouped_model_refuses_ragged_vectors(spark):
+    for bad in ([3.0], [1.0, None], None):
+        df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [2.0, 5.0]), ("a", bad)], "g string, v array<double>")
+        with pytest.raises(Exception, match="expected 2 values"):
+            grouped_model(df, "v", "g")
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
