@@ -22,10 +22,13 @@ from mixframe.session import scratch_path
 
 #: Rows of an Arrow batch. Rows hold whole texts, and executors keep their Python workers from stage to stage.
 BATCH_ROWS = "1000"
+#: Rows that a task decodes from Parquet at a time.
+READ_ROWS = "512"
 
 
 def _session(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     return spark
 
 
@@ -58,6 +61,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    _session(spark)
     return mixing.repeated(mixing.mix(docs, docs.columns), docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -123,6 +124,14 @@ def once(name: str, make: Callable[[], Any]) -> Any:
     return store.__dict__[name]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker process outlives its task, beside the JVM of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = once("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))
+    if trim is not None:
+        trim(0)
+
+
 def spans_of(lengths: np.ndarray, limit: int) -> Iterator[slice]:
     """Consecutive rows whose lengths add up to at most ``limit``; a longer row comes alone."""
     start, total = 0, 0

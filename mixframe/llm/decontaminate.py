@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixframe.llm.common import release
+
 SEED_WORDS = 3
 RUN = 4
 FACTOR = 10
@@ -95,6 +97,7 @@ def document_frequency(docs: DataFrame, block: Block) -> dict[int, int]:
                 grams = block.grams_of(block.numbers(text))
                 here = np.unique(grams[_found(grams, block.grams)])
                 total[np.searchsorted(block.grams, here)] += 1
+            release()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(block.grams[some]), pa.array(total[some])], names=["gram", "n"])
 
@@ -202,7 +205,9 @@ def _searcher(block: Block, threshold: float):  # noqa: ANN202
     entry = [("item", pa.int32()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("places", pa.int32())]
 
     def search(column: pa.Array) -> pa.Array:
-        return pa.array([matches(t, block, threshold) for t in column.to_pylist()], pa.list_(pa.struct(entry)))
+        found = pa.array([matches(t, block, threshold) for t in column.to_pylist()], pa.list_(pa.struct(entry)))
+        release()
+        return found
 
     # once: a filter on the matches must not search a second time
     return F.arrow_udf(search, HITS).asNondeterministic()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import once
+from mixframe.llm.common import once, release
 
 DIMENSION_BITS = 13
 DIMENSIONS = 1 << DIMENSION_BITS
@@ -92,6 +92,7 @@ def _frequencies(batches):  # noqa: ANN001, ANN202
         for text in batch.column(0).to_pylist():
             total += np.bincount(grams(text, letter), minlength=DIMENSIONS) > 0
             seen += 1
+        release()
     if seen:
         at = np.flatnonzero(total)
         # dimension -1 holds the number of texts
@@ -181,6 +182,7 @@ def predict(docs: DataFrame, model: LanguageModel, out: str = "language") -> Dat
         best, score, rejected = zip(*rows, strict=True) if rows else ((), (), ())
         named = [model.languages[model.of[b]] if b >= 0 else UNKNOWN for b in best]
         columns = [pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array([bool(r) for r in rejected], pa.bool_())]
+        release()
         return pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "rejected"])
 
     kind = "struct<lang_pred:string,score:double,rejected:boolean>"

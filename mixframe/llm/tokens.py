@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import once, spans_of, texts
+from mixframe.llm.common import once, release, spans_of, texts
 
 END_ID = 2
 #: Characters that are split into words at a time, and distinct words that a worker process remembers.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 CACHE_WORDS = 400_000
 PARTS = "part int, path string, rows bigint, nulls bigint, ids bigint, width int"
 LISTED = f"{PARTS}, base bigint"
@@ -148,6 +148,7 @@ def _writer(folder: str, path: str, end_id: int):  # noqa: ANN202
         for ending, values in (("doc", np.concatenate(ids)), ("len", np.concatenate(sizes).astype("<i8"))):
             with system.open_output_stream(f"{local}.{ending}") as file:
                 file.write(values.tobytes())
+        release()
         row = (part, name, rows, nulls, total, encoder.width)
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _types(PARTS), strict=True)], names=_names(PARTS))
 
@@ -212,6 +213,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [(d, s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, s, ids in read_documents(part)]
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_names(DIGESTS))
+            release()
 
 
 DIGESTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
