@@ -13,6 +13,12 @@ def _sequential(spark: SparkSession, folder: str) -> DataFrame:
     return batching.sequential_batches(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
 
 
+def _composite(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches in the order of a text and a number."""
+    customers = table(spark, folder, "customer").select("c_mktsegment", "c_custkey")
+    return batching.sequential_batches(customers, ["c_mktsegment", "c_custkey"], 128)
+
+
 def _shuffled(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id")
     return batching.shuffled_batches(events, "event_id", 512, epochs=2, seed=7)
@@ -46,6 +52,13 @@ QUERIES = [
         _sequential,
         """SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 512)::BIGINT AS batch_id
 FROM orders""",
+    ),
+    Query(
+        "sequential_batches_composite",
+        _composite,
+        """SELECT c_mktsegment, c_custkey,
+       floor((row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1) / 128)::BIGINT AS batch_id
+FROM customer""",
     ),
     Query(
         "shuffled_batches",

@@ -71,7 +71,7 @@ def _mixed(factor: float | None) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _scaled_sql(over: str) -> str:
+def scaled_sql(over: str) -> str:
     return f"(xhat - min(xhat) OVER ({over})) / (max(xhat) OVER ({over}) - min(xhat) OVER ({over}) + 1e-12) * 50"
 
 
@@ -101,14 +101,14 @@ QUERIES = [
         "sigmoid_recon_loss_scaled",
         _sigmoid(losses.LOGIT_RANGE),
         f"""WITH {RECONSTRUCTED},
-t AS (SELECT x, {_scaled_sql("")} AS l FROM r)
+t AS (SELECT x, {scaled_sql("")} AS l FROM r)
 SELECT round(avg({CROSS.format(l="l")}), 6) + 0.0 AS recon_loss FROM t""",
     ),
     Query(
         "sigmoid_recon_loss_batches",
         _sigmoid(losses.LOGIT_RANGE, batches=True),
         f"""WITH {RECONSTRUCTED},
-t AS (SELECT x, {_scaled_sql("PARTITION BY floor(vec_id / 128)")} AS l FROM r)
+t AS (SELECT x, {scaled_sql("PARTITION BY floor(vec_id / 128)")} AS l FROM r)
 SELECT round(avg({CROSS.format(l="l")}), 6) + 0.0 AS recon_loss FROM t""",
     ),
     Query("mse_recon_loss", _mse, f"WITH {TERMS}\nSELECT round(l4, 6) + 0.0 AS recon_loss FROM recon"),

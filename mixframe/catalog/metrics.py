@@ -23,8 +23,9 @@ from mixframe.catalog.base import (
     scored,
     table,
 )
-from mixframe.catalog.losses import TERMS
+from mixframe.catalog.losses import CROSS, TERMS, scaled_sql
 from mixframe.operators import metrics
+from mixframe.operators.losses import LOGIT_RANGE, SERIES_LATENT_SCALE
 from mixframe.sinks.predictions import scalar_rows
 
 BATCH = "floor(vec_id / 128)"
@@ -95,11 +96,12 @@ def _running(spark: SparkSession, folder: str) -> DataFrame:
     return weighted.select("batch_id", rounded("by_batch").alias("by_batch"), rounded("by_element").alias("by_element"))
 
 
-def _evaluate(batch_col: str | None) -> Run:
+def _evaluate(batch_col: str | None, latent_scale: float = 1.0, logits: str | None = None, logit_range: float | None = None) -> Run:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         rows, model = reconstructed(spark, folder, batch_col)
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        record = metrics.evaluate(rows, model, z_sigma="z_sigma", frame=(8, 8), batch_col=batch_col)
+        loss = {"latent_scale": latent_scale, "logits": logits, "logit_range": logit_range}
+        record = metrics.evaluate(rows, model, z_sigma="z_sigma", frame=(8, 8), batch_col=batch_col, **loss)
         return record.select(*[rounded(c).alias(c) for c in record.columns])
 
     return run
@@ -152,14 +154,22 @@ CH_EXACT = "between_ * (n - k) / (within_ * (k - 1))"
 CH_RUNNING = "avg(bm * (n - k) / (wm * (k - 1)))"
 
 
-def _evaluate_sql(silhouette: str, calinski: str, latent_loss: str) -> str:
+SQUARED = "64 * avg((x - xhat) * (x - xhat))"
+
+
+def _entropy(over: str) -> str:
+    """Sigmoid cross-entropy of the rescaled logits, as a scalar subquery."""
+    return f"(SELECT avg({CROSS.format(l='l')}) FROM (SELECT x, {scaled_sql(over)} AS l FROM r))"
+
+
+def _evaluate_sql(silhouette: str, calinski: str, latent_loss: str, recon: str = SQUARED) -> str:
     return f"""SELECT round(avg(abs(x - xhat)), 6) + 0.0 AS mean_absolute_error,
        round(avg((x - xhat) * (x - xhat)), 6) + 0.0 AS mean_squared_error,
        round(1 - avg(x * xhat), 6) + 0.0 AS mean_cosine_distance,
        round((SELECT separation FROM sep), 6) + 0.0 AS separation,
        round((SELECT s FROM {silhouette}), 6) + 0.0 AS simple_silhouette,
        round(({calinski}), 6) + 0.0 AS calinski_harabasz,
-       round(({latent_loss}) + 64 * avg((x - xhat) * (x - xhat)), 6) + 0.0 AS loss
+       round(({latent_loss}) + {recon}, 6) + 0.0 AS loss
 FROM r"""
 
 
@@ -255,6 +265,26 @@ FROM b""",
         f"WITH {_with_quality(BATCH_TERMS)}\n"
         + _evaluate_sql("sil_batch", f"SELECT {CH_RUNNING} FROM chr", "SELECT l2 FROM latent"),
     ),
+    Query(
+        "evaluate_series",
+        _evaluate(None, SERIES_LATENT_SCALE),
+        f"WITH {_with_quality(TERMS)}\n"
+        + _evaluate_sql("sil", f"SELECT {CH_EXACT} FROM ch", "SELECT 0.02 * l2 FROM latent"),
+    ),
+    Query(
+        "evaluate_sigmoid",
+        _evaluate(None, 1.0, "xhat", LOGIT_RANGE),
+        f"WITH {_with_quality(TERMS)}\n"
+        + _evaluate_sql("sil", f"SELECT {CH_EXACT} FROM ch", "SELECT l2 FROM latent", _entropy("")),
+    ),
+    Query(
+        "evaluate_sigmoid_batches",
+        _evaluate("batch_id", SERIES_LATENT_SCALE, "xhat", LOGIT_RANGE),
+        f"WITH {_with_quality(BATCH_TERMS)}\n"
+        + _evaluate_sql(
+            "sil_batch", f"SELECT {CH_RUNNING} FROM chr", "SELECT 0.02 * l2 FROM latent", _entropy(f"PARTITION BY {BATCH}")
+        ),
+    ),
     Query(
         "histogram",
         _histogram,

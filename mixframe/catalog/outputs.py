@@ -147,7 +147,6 @@ def _init_stream(spark: SparkSession, folder: str) -> DataFrame:
         init_steps=1,
         k=4,
         start=start_model(4, 64),
-        max_iter=3,
     )
     query.awaitTermination()
     return spark.read.parquet(model).select("k", "pi", F.size("mu").alias("dim"))

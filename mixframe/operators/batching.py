@@ -29,20 +29,26 @@ def _bucket_count(rows: int) -> int:
     return max(1, min(MAX_BUCKETS, math.ceil(rows / BUCKET_ROWS)))
 
 
-def _ranked(df: DataFrame, bucket: str, order: list[str | Column], out: str, expected: int) -> DataFrame:
+def _ranked(
+    df: DataFrame, bucket: str, order: list[str | Column], out: str, expected: int, epoch: tuple[int, int] | None = None
+) -> DataFrame:
     """Position of every row from 0, given a bucket column that is monotone in the order.
 
     Counting the buckets reads only the key columns and shuffles one row per bucket and task. The offsets are a window
     over that small table, and the rows themselves are shuffled once, by bucket. A bucket far above the ``expected``
-    size means that one key repeats; then the rows are sorted instead.
+    size means that one key repeats; then the rows are sorted instead. ``epoch``, the buckets and rows of one of several
+    equal passes, keeps the window to the buckets of a pass, however many passes there are.
     """
     counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
     largest = counts.agg(F.max("__n")).first()[0] or 0
     if largest > HOT_FACTOR * max(expected, BUCKET_ROWS):
         counts.unpersist()
         return sorted_rank(df, order, out)
-    earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(bucket, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    buckets, rows = epoch or (1, 0)
+    turn = F.floor(F.col(bucket) / F.lit(buckets)).cast("bigint") if epoch else F.lit(0).cast("bigint")
+    earlier = Window.partitionBy("__turn").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) + F.col("__turn") * F.lit(rows)
+    offsets = counts.withColumn("__turn", turn).select(bucket, before.alias("__offset"))
     within = Window.partitionBy(bucket).orderBy(*order)
     ranked = lookup_join(df, offsets, bucket, row_bytes=32)
     return ranked.withColumn(out, F.row_number().over(within) - 1 + F.col("__offset")).drop("__offset")
@@ -74,7 +80,7 @@ def global_rank(df: DataFrame, key: str, out: str = "rank", rows_per_bucket: int
     Buckets are cut at the key's approximate quantiles, so they stay even however the keys are spread.
     """
     if not isinstance(df.schema[key].dataType, T.NumericType):
-        raise TypeError(f"{key} must be numeric; use shuffled_batches for other ids")
+        raise TypeError(f"{key} must be numeric; use sorted_rank for other ids")
     rows = df.select(key).count()
     buckets = _bucket_count(rows) if rows_per_bucket is None else max(1, math.ceil(rows / rows_per_bucket))
     cuts: list[float] = []
@@ -98,11 +104,26 @@ def global_rank(df: DataFrame, key: str, out: str = "rank", rows_per_bucket: int
     return _ranked(bucketed, "__bucket", [key], out, rows // buckets).drop("__key", "__bucket")
 
 
+def id_rank(df: DataFrame, ids: list[str], out: str = "rank", rows_per_bucket: int | None = None) -> DataFrame:
+    """Position of every row, from 0, in the order of its ids; null comes first, rows of equal ids in any order.
+
+    A single numeric id is ranked by buckets of its quantiles; text and composite ids by a range sort. Without ids the rows
+    keep no order of their own: one is drawn and checkpointed.
+    """
+    if len(ids) == 1 and isinstance(df.schema[ids[0]].dataType, T.NumericType):
+        return global_rank(df, ids[0], out, rows_per_bucket)
+    return sorted_rank(df, list(ids), out)
+
+
 def sequential_batches(
-    df: DataFrame, id_col: str, size: int = DEFAULT_BATCH, out: str = "batch_id", rows_per_bucket: int | None = None
+    df: DataFrame,
+    id_col: str | list[str],
+    size: int = DEFAULT_BATCH,
+    out: str = "batch_id",
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """Consecutive batches of ``size`` rows in id order; only the last one may be short."""
-    ranked = global_rank(df, id_col, "__rank", rows_per_bucket)
+    """Consecutive batches of ``size`` rows in the order of one or several ids; only the last one may be short."""
+    ranked = id_rank(df, [id_col] if isinstance(id_col, str) else id_col, "__rank", rows_per_bucket)
     return ranked.withColumn(out, F.floor(F.col("__rank") / size).cast("bigint")).drop("__rank")
 
 
@@ -132,7 +153,8 @@ def shuffled_batches(
     bucketed = keyed.withColumn(
         "__bucket", F.col("epoch").cast("bigint") * F.lit(buckets) + F.floor(F.col("__hash") / F.lit(float(step)))
     )
-    ranked = _ranked(bucketed, "__bucket", ["epoch", "__hash", id_col], "__rank", per_epoch // buckets)
+    order = ["epoch", "__hash", id_col]
+    ranked = _ranked(bucketed, "__bucket", order, "__rank", per_epoch // buckets, (buckets, per_epoch))
     return ranked.withColumn(out, F.floor(F.col("__rank") / size).cast("bigint")).drop("__rank", "__hash", "__bucket")
 
 

@@ -26,13 +26,14 @@ from mixframe.session import cut
 
 Weights = dict[str, np.ndarray]
 MIXTURE_KEYS = ("pi", "mu", "var")
-# Locally updated mixture weights and variances are kept above this value.
-FLOOR = 1e-6
 
 
 @dataclass(frozen=True)
 class LatentFit:
-    """Sizes, rounds of each phase, and step settings."""
+    """Sizes, rounds of each phase, and step settings.
+
+    A step that makes a mixture weight or variance negative is an error, as in ``finetune_mixture``: nothing is clamped.
+    """
 
     code: int
     hidden: int
@@ -48,7 +49,8 @@ class LatentFit:
     noise: float = 1e-8
     optimizer: str = "Adam"
     seed: int = 0
-    max_iter: int = 100
+    max_iter: int = 10000
+    restarts: int = 10
 
     def rounds(self) -> list[tuple[str, float]]:
         """Phase and loss weight of every round."""
@@ -189,8 +191,8 @@ def _round(rows: DataFrame, col: str, id_col: str, w: Weights, phase: str, facto
                 noisy = x + s.noise * normals(ids + 1, x.shape[1]) if s.noise else x
                 loss, grad = loss_and_gradient(noisy, x, normals(ids, s.code), own, phase, factor)
                 own |= rule.update({key: own[key] for key in grad}, grad, s.rate)
-                if phase != "gamma":
-                    own |= {key: np.maximum(own[key], FLOOR) for key in ("pi", "var")}
+                if phase != "gamma" and not all(np.all(own[key] > 0) for key in ("pi", "var")):
+                    raise ValueError("a step made a mixture weight or variance negative; lower the rate")
                 count, total = count + len(x), total + loss * len(x)
         if count:
             sums = {key: count * value.ravel() for key, value in own.items()}
@@ -227,7 +229,7 @@ def fit_latent(df: DataFrame, col: str, id_col: str, settings: LatentFit) -> Fit
 def _initialise(rows: DataFrame, col: str, id_col: str, weights: Weights, s: LatentFit) -> Mixture:
     pool = init_sample(rows, id_col, s.init_steps, s.batch_size, s.seed)
     codes = cut(encode_dense(pool, col, weights).select("z_mu"))
-    centres = kmeans(codes, "z_mu", s.clusters, s.seed, restarts=3).centres
+    centres = kmeans(codes, "z_mu", s.clusters, s.seed, restarts=s.restarts).centres
     fit = diag_gmm(codes, "z_mu", centres, s.max_iter)
     start = Mixture(np.full(s.clusters, 1.0 / s.clusters), centres, np.ones(centres.shape))
     return momentum_update(start, centres, fit.model.variances, s.gamma)

@@ -10,6 +10,7 @@ from mixframe.functions.vectors import doubles, elements, exploded
 from mixframe.model import Mixture, ModelLike, as_mixture
 from mixframe.operators.batching import global_rank
 from mixframe.operators.lookup import lookup_join
+from mixframe.operators.losses import sigmoid_recon_loss
 
 # Rows of the small per-batch table that one task accumulates.
 PREFIX_CHUNK = 100_000
@@ -210,9 +211,16 @@ def evaluate(
     frame: tuple[int, int] = (1, 1),
     channels: int = 1,
     batch_col: str | None = None,
+    latent_scale: float = 1.0,
+    logits: str | None = None,
+    logit_range: float | None = None,
 ) -> DataFrame:
     """All metrics of a scored table in one record; with ``z_sigma`` also the reported loss.
 
+    The loss is the reconstruction loss plus ``latent_scale`` times the mixture loss. The reconstruction loss is the
+    squared error times the pixels, or with a ``logits`` column the sigmoid cross-entropy, whose logits ``logit_range``
+    first maps to [0, logit_range] by the range of their batch.
+
     ``df`` has assignments and, for the loss, gamma. The row-wise metrics share one scan, the dispersions take another.
     With ``batch_col`` the batch-dependent metrics are taken batch by batch. ``df`` is read once more for each scalar
     subquery, so persist it when scoring it is dear.
@@ -232,8 +240,12 @@ def evaluate(
         F.avg(_silhouette(F.col("q.own"), F.col("q.near"))).alias("simple_silhouette"),
     ]
     if z_sigma is not None:
-        record.append((squared * F.lit(float(frame[0] * frame[1])) + F.avg("latent")).alias("loss"))
+        recon = F.lit(0.0) if logits else squared * F.lit(float(frame[0] * frame[1]))
+        record.append((recon + F.avg("latent") * F.lit(float(latent_scale))).alias("loss"))
     found = rows.agg(*record)
+    if z_sigma is not None and logits is not None:
+        entropy = sigmoid_recon_loss(df, x, logits, logit_range, batch_col)
+        found = found.withColumn("loss", F.col("loss") + entropy.scalar())
     if batch_col is not None:
         by_batch = simplified_silhouette(df, m, "batch_min", batch_col, z_mu)
         found = found.withColumn("simple_silhouette", by_batch.scalar())

@@ -24,20 +24,29 @@ def evaluate_rows(
     interp: tuple[int, int] | None = None,
     batches: bool = False,
     decode_mean: bool = False,
+    tables: dict[str, DataFrame] | None = None,
+    latent_scale: float = 1.0,
 ) -> DataFrame:
     """The metrics record of declared rows.
 
     ``batches`` takes the batch-dependent metrics over batches of 512 rows in id order and averages them, else they
-    are exact over the table. ``decode_mean`` decodes the mean code instead of the drawn one, as in the warm-up. The
+    are exact over the table. ``decode_mean`` decodes the mean code instead of the drawn one, as in the warm-up.
+    ``tables`` has the vectors of hashed features, ``latent_scale`` weighs the mixture loss in the reported one. The
     scored rows are persisted, because several aggregates read them.
     """
     batch_col = "batch_id" if batches else None
-    rows = encoded(df, config, coder, frame, padding, interp).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = encoded(df, config, coder, frame, padding, interp, tables).persist(StorageLevel.MEMORY_AND_DISK)
     if batch_col:
-        rows = sequential_batches(rows, config.ids[0], DEFAULT_BATCH, batch_col)
+        rows = sequential_batches(rows, list(config.ids), DEFAULT_BATCH, batch_col)
     coded = decode(rows, coder, "z_mu" if decode_mean else "z")
     scored = score(coded, model, batch_col=batch_col).persist(StorageLevel.MEMORY_AND_DISK)
     height, width, channels = coder.spec.frame
     return evaluate(
-        scored, model, z_sigma="z_sigma", frame=(height, width), channels=channels, batch_col=batch_col
+        scored,
+        model,
+        z_sigma="z_sigma",
+        frame=(height, width),
+        channels=channels,
+        batch_col=batch_col,
+        latent_scale=latent_scale,
     )

@@ -13,7 +13,7 @@ from mixframe.operators.batching import DEFAULT_BATCH, sequential_batches
 from mixframe.operators.frames import to_cube
 from mixframe.operators.network import Coder, encode
 from mixframe.operators.scoring import predict
-from mixframe.sinks.predictions import declared_lengths, flatten_record, write_predictions, write_sample
+from mixframe.sinks.predictions import declared_lengths, flatten_record, with_index, write_predictions, write_sample
 from mixframe.sources import dataset_or_fallback, densify
 
 
@@ -60,14 +60,21 @@ def predict_dataset(
     codes = encoded(rows, config, coder, frame, padding, interp, tables).persist(StorageLevel.MEMORY_AND_DISK)
     if not batches:
         return predict(codes, model, list(config.ids))
-    batched = sequential_batches(codes, config.ids[0], DEFAULT_BATCH, "batch_id")
+    batched = sequential_batches(codes, list(config.ids), DEFAULT_BATCH, "batch_id")
     return predict(batched, model, list(config.ids), batch_col="batch_id")
 
 
-def write_run(predictions: DataFrame, config: TableConfig, folder: str, fmt: str, samples: int = 10) -> None:
-    """Prediction files and one sample file below ``folder``; arrays declared with one element become scalars."""
+def write_run(
+    predictions: DataFrame, config: TableConfig, folder: str, fmt: str, samples: int = 10, index: bool = False
+) -> None:
+    """Prediction files and one sample file below ``folder``; arrays declared with one element become scalars.
+
+    ``index`` adds the running position of every record, unless an id has that name.
+    """
     ids = list(config.ids)
     flat = flatten_record(predictions, ids, declared_lengths(config, 0, 0))
+    if index:
+        flat = with_index(flat, ids)
     write_predictions(flat, f"{folder}/prediction", fmt)
     if samples:
         write_sample(flat, f"{folder}/sample", ids, samples)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixframe.config import TableConfig
-from mixframe.operators.batching import global_rank
+from mixframe.operators.batching import id_rank
 
 # Rows of one prediction file, and the output formats.
 ROWS_PER_FILE = 100_000
@@ -42,11 +43,11 @@ def declared_lengths(config: TableConfig, code: int, clusters: int) -> dict[str,
     return {**ids, "z_mu": code, "z_sigma": code, "z": code, "gamma": clusters}
 
 
-def with_index(df: DataFrame, order: str, name: str = "index") -> DataFrame:
-    """The running position of every record in the order of a numeric id, first; an id of that name stays instead."""
+def with_index(df: DataFrame, order: str | list[str], name: str = "index") -> DataFrame:
+    """The running position of every record in the order of its ids, first; an id of that name stays instead."""
     if name in df.columns:
         return df
-    return global_rank(df, order, name).select(name, *df.columns)
+    return id_rank(df, [order] if isinstance(order, str) else order, name).select(name, *df.columns)
 
 
 def _text_arrays(df: DataFrame) -> DataFrame:
@@ -67,11 +68,15 @@ def write_predictions(
     """Prediction files of at most ``rows_per_file`` rows, written by all tasks at once.
 
     ``json``: one object a line. ``csv``: header, minimal quoting, arrays as JSON text. ``text``: one JSON record a
-    line in a single text column.
+    line in a single text column. Rows of fewer source files than files to write are dealt out first, because encoding
+    and compressing cost more than the shuffle; rows come in no particular order.
     """
     fmt = fmt.lower()
     if fmt not in FORMATS:
         raise ValueError(f"unsupported prediction format {fmt!r}")
+    files = math.ceil(df.count() / rows_per_file)
+    if files > max(1, len(df.inputFiles())):
+        df = df.repartition(files)
 
     def to(frame: DataFrame):
         writer = frame.write.mode(mode).option("maxRecordsPerFile", rows_per_file)

@@ -21,6 +21,9 @@ from mixframe.operators.scoring import predict
 
 Writer = Callable[[DataFrame, int], None]
 
+# Fixed value: rows of which a fraction below one is pooled.
+POOL_ROWS = 256
+
 
 def _start(stream: DataFrame, write: Writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -95,15 +98,21 @@ def init_stream(
     gamma: float = 0.0,
     z_mu: str = "z_mu",
     seed: int = 0,
-    max_iter: int = 100,
+    max_iter: int = 10000,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Pool the first micro-batches, then fit k-means and the mixture once and write the model table."""
+    """Pool the first micro-batches, then fit k-means and the mixture once and write the model table.
+
+    ``init_steps`` below one pools that share of ``POOL_ROWS`` rows, at least one, of the first micro-batch: the first in the
+    order of a hash of the code.
+    """
     last = math.ceil(init_steps) - 1
 
     def write(rows: DataFrame, batch_id: int) -> None:
         if batch_id > last:
             return
+        if init_steps < 1:
+            rows = rows.orderBy(F.xxhash64(z_mu, F.lit(seed))).limit(max(1, int(init_steps * POOL_ROWS)))
         rows.select(z_mu).write.mode("overwrite").parquet(_batch_path(pool_path, batch_id))
         if batch_id < last:
             return

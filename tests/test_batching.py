@@ -34,9 +34,23 @@ def test_ids_beyond_double_precision_stay_ordered(spark):
     assert {r.id: r.rank for r in out.collect()} == {v: i for i, v in enumerate(values)}
 
 
-def test_text_ids_are_refused(spark):
+def test_text_composite_and_no_ids(spark):
+    rows = [(w, i) for w in ("b", "a", "ab", "") for i in range(9)]
+    df = spark.createDataFrame([*rows, (None, 1)], "w string, i int").repartition(5)
+    out = batching.sequential_batches(df, ["w", "i"], 4).collect()
+    ordered = [(None, 1), *sorted(rows)]
+    assert {(r.w, r.i): r.batch_id for r in out} == {row: n // 4 for n, row in enumerate(ordered)}
+    by_text = batching.id_rank(df.dropDuplicates(["w"]), ["w"]).collect()
+    assert [r.w for r in sorted(by_text, key=lambda r: r["rank"])] == [None, "", "a", "ab", "b"]
+    assert sorted(r["rank"] for r in batching.id_rank(df, []).collect()) == list(range(37))
     with pytest.raises(TypeError):
-        batching.sequential_batches(spark.createDataFrame([("a",)], "id string"), "id")
+        batching.global_rank(df, "w")
+
+
+def test_ranks_of_many_epochs(spark):
+    out = batching.shuffled_batches(spark.range(50), "id", 1, epochs=7, seed=3, rows_per_bucket=4).collect()
+    assert sorted(r.batch_id for r in out) == list(range(350))
+    assert all(r.batch_id // 50 == r.epoch for r in out)
 
 
 def test_empty_table(spark):

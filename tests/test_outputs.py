@@ -48,6 +48,14 @@ def test_files_are_split_and_compressed(predicted, tmp_path):
         predictions.write_predictions(predicted, path, "json")
 
 
+def test_rows_of_one_task_are_dealt_out(predicted, tmp_path):
+    path = str(tmp_path / "dealt")
+    kept = predicted.coalesce(1)
+    predictions.write_predictions(kept, path, "json", rows_per_file=max(1, kept.count() // 4))
+    tasks = {os.path.basename(f).split("-")[1] for f in files(path, ".json.gz")}
+    assert len(tasks) >= 4 and predicted.sparkSession.read.json(path).count() == kept.count()
+
+
 def test_csv_and_text(spark, predicted, tmp_path):
     predictions.write_predictions(predicted, str(tmp_path / "c"), "csv", compression="none")
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c"))
@@ -118,6 +126,13 @@ def test_stream_metrics_equal_batch_metrics(spark, rows, tmp_path):
     assert np.allclose(list(found), list(metrics.reconstruction_metrics(both(rows)).first()))
 
 
+def test_stream_pools_a_fraction(spark, rows, tmp_path):
+    stream = stream_of(spark, rows, str(tmp_path / "in"), 1)
+    pool = str(tmp_path / "pool")
+    jobs.init_stream(stream, pool, str(tmp_path / "model"), str(tmp_path / "state"), 12 / 256, 2, start_model(2, 2)).awaitTermination()
+    assert spark.read.parquet(pool).count() == 12
+
+
 def test_stream_initialises_once(spark, rows, tmp_path):
     stream = stream_of(spark, rows, str(tmp_path / "in"), 4)
     model, pool = str(tmp_path / "model"), str(tmp_path / "pool")
