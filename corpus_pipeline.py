@@ -7,7 +7,7 @@ stage returns a row for each written document.
 
 Every stage takes (spark, docs, sf_dir) and works on all of ``docs``. All but the last return the columns of documents.
 Nulls, ties and empty tables are treated as the operators' modules say: a null or letterless text has no language and goes
-in the first stage; of rows that share an id as well as a group, one stays.
+in the first stage; of rows that share an id as well as a group, one stays, and groups without an id keep one too.
 """
 
 from __future__ import annotations
@@ -42,15 +42,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one whose id names the component.
 
-    Rows that repeat an id are told apart by a hash of the text and, if that is equal too, merged.
+    Rows that repeat an id are told apart by a hash of the text and, if that is equal too, merged. A null id is the last of
+    its group. Texts are moved only by the join with the kept rows, or not at all if those are few; only rows of
+    repeated id and text are grouped.
     """
     _session(spark)
     found = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), ["doc_id", "hash"])
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))).alias("f"))
-    kept = first.select(F.col("f.doc_id").alias("__id"), F.col("f.hash").alias("__hash"))
+    counted = found.groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "n")).alias("f")
+    kept = counted.groupBy("root").agg(first).select(F.col("f.doc_id").alias("__id"), F.col("f.hash").alias("__hash"), "f.n")
+    kept = stored(kept, "kept")
     rows = docs.withColumn("__row", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash"))
-    return rows.join(kept, same, "left_semi").drop("__row").dropDuplicates(["doc_id"])
+    out = rows.join(kept.where("n = 1"), same, "left_semi")
+    repeated = kept.where("n > 1")
+    if repeated.head(1):
+        out = out.unionAll(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__row"]))
+    return out.drop("__row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,7 +182,8 @@ def trie_links(prints: DataFrame, budget: int = MAX_BITS, node_rows: int = NODE_
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], budget: int = MAX_BITS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``keep`` columns of ``docs``, ``fp`` (the fingerprint as a long) and ``component_id`` (its smallest doc_id).
+    """``keep`` columns of ``docs``, ``fp`` (the fingerprint as a long), ``root`` (a fingerprint that names the component)
+    and ``component_id`` (its smallest doc_id, which components of a repeated id may share).
 
     ``docs`` has doc_id and text. Texts are read once; all joins are on fingerprints, equal ones combined.
     """
@@ -194,8 +195,8 @@ def near_duplicates(docs: DataFrame, keep: list[str], budget: int = MAX_BITS, wo
     member = stored(prints.join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left"), "members")
     member = member.withColumn("root", F.coalesce("root", "fp"))
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(smallest, "root").select("fp", "component_id")
-    return slim.join(named, "fp").select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "fp", "component_id")
+    named = member.join(smallest, "root").select("fp", "root", "component_id")
+    return slim.join(named, "fp").select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "fp", "root", "component_id")
 
 
 def hex_print(fp: str) -> F.Column:
