@@ -22,13 +22,19 @@ from mixframe.session import scratch_path
 
 #: Rows of an Arrow batch. Rows hold whole texts, and executors keep their Python workers from stage to stage.
 BATCH_ROWS = "1000"
+#: Bytes of an Arrow batch, which a few very long texts would else exceed.
+BATCH_BYTES = "8m"
 #: Rows that a task decodes from Parquet at a time.
 READ_ROWS = "512"
+#: Least size of a shuffle partition; the last two stages sort whole texts.
+SHUFFLE_BYTES = "16m"
 
 
 def _session(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHUFFLE_BYTES)
     return spark
 
 

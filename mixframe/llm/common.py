@@ -18,13 +18,15 @@ from mixframe.session import scratch_path
 #: White space of the contracts: space, and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 64 << 20
+#: Row groups of stored tables: a task that writes or reads whole texts holds one.
+ROW_GROUP_BYTES = 16 << 20
 PLACE_BITS = 33
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: computed once, with no lineage for a lost executor to redo."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import components, forest, stored
+from mixframe.llm.common import components, forest, release, stored
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -56,6 +56,7 @@ def with_fingerprint(docs: DataFrame, out: str, words: int = SHINGLE_WORDS, seed
 
     def prints(column: pa.Array) -> pa.Array:
         found = np.fromiter((fingerprint(t, words, seed) for t in column.to_pylist()), np.uint64, len(column))
+        release()
         return pa.array(found.view(np.int64))
 
     return docs.withColumn(out, F.arrow_udf(prints, "bigint")(F.col("text")))
