@@ -1,6 +1,6 @@
 """Fitting the mixture: pooled sample, k-means, diagonal expectation-maximisation and the momentum blend.
 
-Every round is one Spark job. A task reduces its rows to K * D sums, the sums are added by a DataFrame aggregate, and
+Every round is one Spark job. A task reduces its rows to K * D sums, the sums are added block by block after a shuffle, and
 only they reach the driver; the next round starts from literals, so the lineage never grows.
 """
 
@@ -33,7 +33,9 @@ VARIANCE_FLOOR = 1e-6
 FRACTION_ROWS = 256
 
 Sums = dict[str, np.ndarray]
-PARTS = "name string, parts array<double>"
+PARTS = "name string, block int, parts array<double>"
+#: Numbers in one row of a task's sums.
+BLOCK_NUMBERS = 4096
 
 
 def init_sample(
@@ -51,17 +53,21 @@ def init_sample(
 
 
 def parts_batch(arrays: Sums) -> pa.RecordBatch:
-    """Named flat arrays as rows ``(name, parts)``."""
-    names = pa.array(list(arrays), pa.string())
-    return pa.RecordBatch.from_arrays(
-        [names, pa.array(list(arrays.values()), pa.list_(pa.float64()))], names=["name", "parts"]
-    )
+    """Named flat arrays as rows ``(name, block, parts)`` of up to ``BLOCK_NUMBERS`` numbers."""
+    rows = [
+        (name, block, values[at : at + BLOCK_NUMBERS])
+        for name, values in arrays.items()
+        for block, at in enumerate(range(0, len(values), BLOCK_NUMBERS))
+    ]
+    names, blocks, parts = zip(*rows, strict=True) if rows else ((), (), ())
+    columns = [pa.array(names, pa.string()), pa.array(blocks, pa.int32()), pa.array(parts, pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["name", "block", "parts"])
 
 
 def partition_sums(df: DataFrame, columns: list[str], reduce: Callable[[list[pa.Array]], Sums]) -> Sums:
     """Sum named arrays over all rows: ``reduce`` turns one Arrow batch into arrays, tasks add theirs up first.
 
-    A task emits one row for each name, whatever its number of rows, so a hot partition costs no more to combine.
+    A task emits a few blocks for each name, whatever its number of rows, so a hot partition costs no more to combine.
     """
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,15 +82,42 @@ def partition_sums(df: DataFrame, columns: list[str], reduce: Callable[[list[pa.
     return added_parts(df.select(*columns).mapInArrow(reduced, PARTS))
 
 
+def _add_blocks(total: dict[tuple[str, int], np.ndarray], batch: pa.RecordBatch) -> None:
+    """Add the rows of ``PARTS`` to ``total``, which has one array for each name and block."""
+    parts = batch.column("parts")
+    flat = parts.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    for name, block, own in zip(
+        batch.column("name").to_pylist(), batch.column("block").to_pylist(), np.split(flat, ends[:-1]), strict=True
+    ):
+        key = (name, block)
+        if key in total:
+            total[key] += own
+        else:
+            total[key] = own.copy()
+
+
+def _added_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        if batch.num_rows:
+            _add_blocks(total, batch)
+    for (name, block), parts in total.items():
+        columns = [pa.array([name]), pa.array([block], pa.int32()), pa.array([parts], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["name", "block", "parts"])
+
+
 def added_parts(partial: DataFrame) -> Sums:
-    """Element-wise sums of rows ``(name, parts)`` by name; as many numbers reach the driver as one task emitted."""
-    summed = partial.select("name", F.posexplode("parts").alias("pos", "part")).groupBy("name", "pos")
-    found = summed.agg(F.sum("part").alias("total")).toArrow()
-    out: Sums = {}
-    for name in found["name"].unique().to_pylist():
-        own = found.filter(pc.equal(found["name"], name)).sort_by("pos")
-        out[name] = own["total"].to_numpy().copy()
-    return out
+    """Element-wise sums of rows ``(name, block, parts)``; as many numbers reach the driver as one task emitted.
+
+    Blocks meet by one shuffle and are added as they stream in: a reducer holds one array for each of its blocks.
+    """
+    total: dict[tuple[str, int], np.ndarray] = {}
+    for batch in partial.repartition("name", "block").mapInArrow(_added_blocks, PARTS).toArrow().to_batches():
+        if batch.num_rows:
+            _add_blocks(total, batch)
+    names = sorted({name for name, _ in total})
+    return {name: np.concatenate([total[key] for key in sorted(total) if key[0] == name]) for name in names}
 
 
 def _stored(df: DataFrame, vector: str, rounds: int) -> tuple[DataFrame, Callable[[], object]]:
@@ -113,12 +146,16 @@ def _cluster_sums(centres: np.ndarray, second: bool) -> Callable[[list[pa.Array]
     def reduce(columns: list[pa.Array]) -> Sums:
         x = arrow.matrix(columns[0], d)
         label, squared = nearest_centre(x, centres)
-        offsets = x - centres[label]
-        hot = np.zeros((k, len(x)))
-        hot[label, np.arange(len(x))] = 1.0
-        sums = {"n": hot.sum(axis=1), "s1": hot @ offsets, "cost": np.array([squared.sum()])}
+        order = np.argsort(label, kind="stable")
+        offsets = x[order] - centres[label[order]]
+        n = np.bincount(label, minlength=k)
+        used = np.flatnonzero(n)
+        starts = (np.cumsum(n) - n)[used]
+        sums = {"n": n.astype(np.float64), "s1": np.zeros((k, d)), "cost": np.array([squared.sum()])}
+        sums["s1"][used] = np.add.reduceat(offsets, starts, axis=0)
         if second:
-            sums["s2"] = hot @ (offsets * offsets)
+            sums["s2"] = np.zeros((k, d))
+            sums["s2"][used] = np.add.reduceat(offsets * offsets, starts, axis=0)
         return sums
 
     return reduce

@@ -203,3 +203,22 @@ def test_latent_fit_lowers_the_loss(df):
     assert out.model.k == 3 and out.model.dim == 2 and len(out.losses) == 7
     with pytest.raises(ValueError):
         initial_weights(10**6, LatentFit(2, 10**6, 3, 1, 1, 1, 1))
+
+
+def test_sums_of_many_blocks(spark):
+    """More numbers than a block holds, over several tasks; a task shuffles a row for each block and no more."""
+    k, d, n = 40, 2500, 24
+    centres = np.arange(k * d, dtype=float).reshape(k, d) * 1e-3
+    rng = np.random.default_rng(5)
+    x = centres[rng.integers(0, k, n)] + rng.normal(size=(n, d)) * 1e-4
+    df = spark.createDataFrame([(row.tolist(),) for row in x], "v array<double>").repartition(3)
+    sums = fitting.partition_sums(df, ["v"], fitting._cluster_sums(centres, second=True))
+    label = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    for name, power in (("s1", 1), ("s2", 2)):
+        want = np.zeros((k, d))
+        np.add.at(want, label, (x - centres[label]) ** power)
+        np.testing.assert_allclose(sums[name].reshape(k, d), want, atol=1e-12)
+    np.testing.assert_array_equal(sums["n"], np.bincount(label, minlength=k))
+    blocks = sum(-(-len(v) // fitting.BLOCK_NUMBERS) for v in sums.values())
+    assert fitting.parts_batch(sums).num_rows == blocks
+    assert fitting.partition_sums(df.limit(0), ["v"], fitting._cluster_sums(centres, second=True)) == {}
