@@ -26,7 +26,7 @@ BATCH_ROWS = "1000"
 BATCH_BYTES = "8m"
 #: Rows that a task decodes from Parquet at a time.
 READ_ROWS = "512"
-#: Least size of a shuffle partition; the last two stages sort whole texts.
+#: Size to which small shuffle partitions are merged; the last two stages sort whole texts.
 SHUFFLE_BYTES = "16m"
 
 
