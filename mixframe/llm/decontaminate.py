@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
-Every benchmark item is cut into overlapping n-grams of words. Their document frequencies are counted over the whole
-corpus, and in every run of neighbours those about as rare as the rarest are seeds. No frequency is too high to be a
-seed: where a passage fills a third of all documents its own n-grams are the rarest it has. A document that holds a seed is aligned with
+Every benchmark item is cut into overlapping n-grams of words, and all of them are seeds: whether a copy is found does not
+depend on how often its words occur elsewhere, nor on how many copies there are. A document that holds a seed is aligned with
 the item around that place (Smith-Waterman over words: match 2, mismatch -1, gap -1), so that edited and paraphrased copies
-score by how much of the item they keep. The score is a share of the item's best possible score.
+score by how much of the item they keep. The score is a share of the item's best possible score. Frequent n-grams cost
+little: a window is aligned only if an upper bound of its score reaches the threshold.
 
 Words are runs of letters, digits and underscores in lower case. Defined results: a null or empty text on either side
 matches nothing; an item of fewer words than a seed has none and matches nothing. A null item_id is kept. Equal items
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from mixframe.llm.common import release
 
 SEED_WORDS = 3
-RUN = 4
-FACTOR = 10
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Characters of benchmark text that the tasks hold at a time; a larger benchmark is worked through in blocks.
@@ -87,40 +85,26 @@ def _found(grams: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return at[wanted[index] == grams[at]]
 
 
-def document_frequency(docs: DataFrame, block: Block) -> dict[int, int]:
-    """In how many documents each n-gram of the block occurs, over all of ``docs``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.grams), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                grams = block.grams_of(block.numbers(text))
-                here = np.unique(grams[_found(grams, block.grams)])
-                total[np.searchsorted(block.grams, here)] += 1
-            release()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(block.grams[some]), pa.array(total[some])], names=["gram", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counted.collect()}
+def choose_seeds(block: Block, frequency: dict[int, int] | None = None) -> Block:
+    """The block with its seeds: every n-gram of every item, whatever its ``frequency`` in the corpus."""
+    chosen = [np.empty((0, 3), np.int64)]
+    for item, numbers in enumerate(block.items):
+        grams = block.grams_of(numbers)
+        chosen.append(np.stack([grams, np.full(len(grams), item), np.arange(len(grams))], axis=1))
+    rows = np.concatenate(chosen)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return Block(block.ids, block.words, block.items, block.grams, (rows[:, 0], rows[:, 1], rows[:, 2]))
 
 
-def choose_seeds(block: Block, frequency: dict[int, int], run: int = RUN, factor: int = FACTOR) -> Block:
-    """The block with its seeds: n-grams that in some run of ``run`` neighbours are about as rare as the rarest.
+def most(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A score that the alignment of ``item`` with each row of ``windows`` cannot exceed.
 
-    Within ``factor`` they count as equally rare: the copies themselves add to the frequencies, and most to those
-    n-grams that survive editing.
+    Every word of an aligned span is a match, which needs a word of the item, or costs a mismatch or a gap; so the score is
+    at most the best sum over a run of words, and at most that of the whole item.
     """
-    chosen = set()
-    for item, numbers in enumerate(block.items):
-        grams = block.grams_of(numbers)
-        often = np.array([frequency.get(int(g), 0) for g in grams])
-        for start in range(max(1, len(grams) - run + 1) if len(grams) else 0):
-            near = often[start : start + run]
-            for place in start + np.flatnonzero(near <= factor * (1 + near.min())):
-                chosen.add((int(grams[place]), item, int(place)))
-    rows = np.array(sorted(chosen), np.int64).reshape(-1, 3)
-    return Block(block.ids, block.words, block.items, block.grams, (rows[:, 0], rows[:, 1], rows[:, 2]))
+    gain = np.where(np.isin(windows, item), np.int32(MATCH), np.int32(max(MISMATCH, GAP)))
+    total = np.concatenate([np.zeros((len(windows), 1), np.int32), np.cumsum(gain, axis=1, dtype=np.int32)], axis=1)
+    return np.minimum((total - np.minimum.accumulate(total, axis=1)).max(axis=1), MATCH * len(item))
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +128,7 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def best_alignments(item: np.ndarray, text: np.ndarray, starts: np.ndarray, least: float = 1) -> tuple[int, int, int]:
     """Best score over windows of ``text`` around the item's expected ``starts``, with the span of words that reach it.
 
-    Zero if no window can reach ``least``: a window scores at most a match for each of its words that the item has.
+    Zero if no window can reach ``least``.
     """
     slack = len(item) // 4 + 2
     width = len(item) + 4 * slack
@@ -154,7 +138,7 @@ def best_alignments(item: np.ndarray, text: np.ndarray, starts: np.ndarray, leas
     for at in range(0, len(starts), step):
         place = starts[at : at + step, None] + np.arange(width)
         windows = np.where(place < len(text), text[np.minimum(place, len(text) - 1)], -1)
-        able = np.minimum(np.isin(windows, item).sum(axis=1), len(item)) * MATCH >= least
+        able = most(item, windows) >= least
         if not able.any():
             continue
         score, end = np.zeros(len(windows), np.int32), np.zeros(len(windows), np.int64)
@@ -224,12 +208,12 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """``docs`` with an array ``out`` of the benchmark items that ``text`` holds: item_id, score, start, end, places.
 
     start and end are word positions of the best alignment, end exclusive. No document is moved; a block of the
-    benchmark costs two passes over the texts, one to count and one to align.
+    benchmark costs one pass over the texts.
     """
     id_type = benchmark.schema["item_id"].dataType.simpleString()
     parts, columns = [], docs.columns
     for number, block in enumerate(_blocks(benchmark, block_chars)):
-        chosen = choose_seeds(block, document_frequency(docs, block))
+        chosen = choose_seeds(block)
         docs = docs.withColumn(f"__block{number}", _searcher(chosen, threshold)(F.col("text")))
         parts.append(_named(F.col(f"__block{number}"), F.array(*[F.lit(i).cast(id_type) for i in chosen.ids])))
     none = F.array().cast(f"array<struct<item_id:{id_type},score:double,start:int,end:int,places:int>>")

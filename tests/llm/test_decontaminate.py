@@ -85,3 +85,19 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     assert [tuple(r) for r in d.with_matches(some, bench).collect()] == [(1, "a b c", [])]
     assert d.with_matches(none, spark.createDataFrame(BENCH, "item_id bigint, text string")).collect() == []
+
+
+@pytest.mark.parametrize("copies", [11, 1000])
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_many_edited_copies_are_found(spark, copies, every):
+    broken = " ".join("x" if i % every == every - 1 else w for i, w in enumerate(ITEMS[1]))
+    docs = spark.createDataFrame([(n, broken) for n in range(copies)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(ITEMS[1]))], "item_id bigint, text string")
+    found = d.with_matches(docs, bench).collect()
+    assert len(found) == copies and all([m.item_id for m in r.leaks] == [1] for r in found)
+
+
+def test_bound_holds():
+    rng = np.random.default_rng(3)
+    item, windows = rng.integers(1, 30, 12), rng.integers(0, 60, (200, 30))
+    assert (d.most(item, windows) >= d.align(item, windows)[0]).all()
