@@ -2,8 +2,10 @@
 
 A text becomes counts of its letter n-grams (one to three letters, words set off by spaces) in hashed dimensions, damped,
 weighted by inverse document frequency and scaled to length one. Frequencies come from all training texts. The centroids
-of a language are spherical k-means clusters of a bounded, hash-chosen sample of its training texts. A text belongs to
-the language of the nearest centroid, and is rejected if that is further than ``reject`` allows for the language.
+of a language are spherical k-means clusters of its ``SAMPLE`` distinct training texts of the smallest hashes, however often
+each is repeated. A text belongs to the language of the nearest centroid, and is rejected if its cosine is below a limit for
+that language and the text's length. Limits come from training texts that the k-means did not see, whole and cut to windows
+of many lengths, as short texts score lower.
 
 Defined results: a null text, and a text without a letter, is ``und`` with score 0 and rejected. Rows with a null language
 or id teach nothing. Without training rows every text is ``und``. The same text always gets the same answer: nothing but
@@ -13,7 +15,9 @@ they are.
 
 from __future__ import annotations
 
+import math
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,16 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import once, release
+from mixframe.llm.common import once, release, stored
 
 DIMENSION_BITS = 13
 DIMENSIONS = 1 << DIMENSION_BITS
 GRAMS = (1, 2, 3)
 CENTROIDS = 3
-#: Expected number of training texts of a language whose vectors the k-means sees.
-SAMPLE = 300
-#: A text is rejected below this share of the cosine that the given quantile of its language's sample reaches.
-REJECT_SHARE, REJECT_QUANTILE = 0.3, 0.01
+#: Distinct training texts of a language whose vectors the k-means sees, and further ones that give the limits (at most a
+#: third of the language's texts).
+SAMPLE, UNSEEN = 300, 500
+#: A text is rejected below this share of the cosine that the given quantile of unseen texts of its length reaches. A low
+#: quantile would be that of the junk among few texts.
+REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.25
+#: The share where a language has too few texts to leave one out, so that its limits come from the texts it was learnt from.
+SEEN_SHARE = 0.3
+#: Characters of the windows that unseen texts are cut to, and the number of lengths (powers of two of n-grams) with limits;
+#: longer texts share the last.
+WINDOWS = tuple(16 << i for i in range(10))
+LEVELS = 14
 UNKNOWN = "und"
 SPACE = 0x20
 #: Odd multipliers of the n-gram hash: one for each place, and the last to mix.
@@ -39,7 +51,8 @@ _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uin
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Inverse document frequencies, centroids (columns of length one), the language of each, and the least cosine of each."""
+    """Inverse document frequencies, centroids (columns of length one), the language of each, and the least cosine by language
+    and level of length."""
 
     languages: list[str]
     idf: np.ndarray
@@ -120,14 +133,81 @@ def spherical_kmeans(rows: np.ndarray, clusters: int, rounds: int = 50) -> np.nd
     return centre
 
 
-def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> LanguageModel:
+def chosen(rows: DataFrame, most: int) -> dict[str, list[int]]:
+    """The ``most`` smallest hashes of the distinct texts of each language, in order.
+
+    Distinct hashes below a bound that lets through a little more than that are collected; a bound that proves too low for
+    a language is raised.
+    """
+    hashed = rows.select("lang", F.xxhash64("text").alias("hash"))
+    counted = hashed.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()
+    room = 1.2 * most + 10 * math.sqrt(most)
+    share = {r["lang"]: min(1.0, room / max(1, r["n"])) for r in counted}
+    found: dict[str, list[int]] = {lang: [] for lang in share}
+    left = list(share)
+    while left:
+        bound = F.lit(None).cast("bigint")
+        for lang in left:
+            bound = F.when(F.col("lang") == lang, F.lit(min((1 << 63) - 1, int(share[lang] * (1 << 64)) - (1 << 63)))).otherwise(bound)
+        for lang in left:
+            found[lang] = []
+        for r in hashed.where(F.col("hash") <= bound).distinct().collect():
+            found[r["lang"]].append(r["hash"])
+        left = [lang for lang in left if len(found[lang]) < most and share[lang] < 1]
+        share |= {lang: min(1.0, share[lang] * 4) for lang in left}
+    return {lang: sorted(hashes)[:most] for lang, hashes in found.items()}
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose first two columns no earlier row of the task has."""
+    seen = set()
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+        yield batch.take(pa.array(new, pa.int64()))
+
+
+def level(found: np.ndarray) -> int:
+    """The level of length of a text with the given n-grams."""
+    return min(len(found).bit_length(), LEVELS) - 1
+
+
+def _cosines(idf: np.ndarray, centres: dict[str, np.ndarray]):  # noqa: ANN202
+    """Arrow function: level and cosine of a text and of windows of it, with the nearest centroid of its own language."""
+
+    def measure(text: pa.Array, lang: pa.Array) -> pa.Array:
+        letter, out = letters(), []
+        for said, name in zip(text.to_pylist(), lang.to_pylist(), strict=True):
+            cuts = [said] + [said[(len(said) - n) // 2 :][:n] for n in WINDOWS if n < len(said)]
+            cut = [g for g in (grams(c, letter) for c in cuts) if len(g)]
+            near = []
+            for g in cut if name in centres else []:
+                at, values = weighted(g, idf)
+                near.append({"level": level(g), "cosine": float((centres[name][:, at] @ values).max())})
+            out.append(near)
+        release()
+        return pa.array(out, pa.list_(pa.struct([("level", pa.int32()), ("cosine", pa.float64())])))
+
+    return F.arrow_udf(measure, "array<struct<level:int,cosine:double>>")
+
+
+def limits(cosines: list[tuple[int, float]], share: float) -> np.ndarray:
+    """The least cosine by level; a level without cosines takes the limit of the one below, the first ones none."""
+    least = np.zeros(LEVELS)
+    for k in range(LEVELS):
+        here = [c for at, c in cosines if at == k]
+        least[k] = share * np.quantile(here, REJECT_QUANTILE) if here else least[k - 1] if k else 0
+    return least
+
+
+def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE, unseen: int = UNSEEN) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of ``training``; rows without a language are left out.
 
-    Document frequencies are counted over all texts. About ``sample`` texts of each language, chosen by a hash of the
-    text, give the centroids: the driver sees that many sparse vectors, a language at a time, and no texts.
+    Document frequencies are counted over all texts. ``sample`` distinct texts of each language, those of the smallest
+    hashes, give the centroids: the driver sees that many sparse vectors, a language at a time, and no texts. The next
+    ``unseen`` hashes, or a third of the language's texts if that is less, give the limits.
     """
     rows = training.select("text", "lang").where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = rows.select("text").mapInArrow(_frequencies, "d bigint, n bigint").groupBy("d").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(DIMENSIONS)
     total = sum(r["n"] for r in found if r["d"] < 0)
@@ -135,30 +215,36 @@ def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -
         if r["d"] >= 0:
             frequency[r["d"]] = r["n"]
     idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float32)
-    kept_centres, of, least = [], [], []
-    languages = sorted(sizes)
-    bound = F.lit(0.0)
-    for lang, n in sizes.items():
-        bound = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(bound)
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(chance < bound).select("lang", F.arrow_udf(_listed, "array<int>")("text").alias("grams"))
-    by_language: dict[str, list[np.ndarray]] = {lang: [] for lang in languages}
-    for r in picked.toLocalIterator():
-        if r["grams"]:
-            at, values = weighted(np.array(r["grams"]), idf)
-            by_language[r["lang"]].append(np.zeros(DIMENSIONS, np.float32))
-            by_language[r["lang"]][-1][at] = values
-    for k, lang in enumerate(languages):
-        if not by_language[lang]:
-            continue
-        known = np.stack(sorted(by_language[lang], key=lambda v: v.tobytes()))
-        centre = spherical_kmeans(known, centroids)
-        low = REJECT_SHARE * float(np.quantile((known @ centre.T).max(axis=1), REJECT_QUANTILE))
-        kept_centres.append(centre)
-        of += [k] * len(centre)
-        least += [low] * len(centre)
-    stack = np.concatenate(kept_centres) if kept_centres else np.empty((0, DIMENSIONS))
-    return LanguageModel(languages, idf, np.ascontiguousarray(stack.T, np.float64), np.array(of, np.int64), np.array(least))
+    lettered = rows.where(F.col("text").rlike(r"\p{L}"))
+    hashes = chosen(lettered, sample + unseen)
+    parts = []
+    for lang, some in hashes.items():
+        fitted = min(sample, len(some) - min(unseen, len(some) // 3))
+        parts += [(lang, h, i < fitted) for i, h in enumerate(some)]
+    languages = sorted(hashes)
+    keys = F.broadcast(training.sparkSession.createDataFrame(parts, "lang string, hash bigint, fitted boolean"))
+    picked = lettered.withColumn("hash", F.xxhash64("text")).join(keys, ["lang", "hash"])
+    picked = picked.select("lang", "hash", "text", "fitted").mapInArrow(_first_of_each, "lang string, hash bigint, text string, fitted boolean")
+    picked = stored(picked.dropDuplicates(["lang", "hash"]), "language_sample")
+    centres: dict[str, np.ndarray] = {}
+    for lang in languages:
+        known = []
+        for r in picked.where(F.col("fitted") & (F.col("lang") == lang)).select(F.arrow_udf(_listed, "array<int>")("text").alias("grams")).collect():
+            if r["grams"]:
+                at, values = weighted(np.array(r["grams"]), idf)
+                known.append(np.zeros(DIMENSIONS, np.float32))
+                known[-1][at] = values
+        if known:
+            centres[lang] = spherical_kmeans(np.stack(sorted(known, key=lambda v: v.tobytes())), centroids)
+    measured = picked.select("lang", "fitted", F.inline(_cosines(idf, centres)("text", "lang")))
+    near: dict[str, list[tuple[int, float]]] = {}
+    alone = [lang for lang in languages if all(f for of, _, f in parts if of == lang)]
+    for r in measured.where(~F.col("fitted") | F.col("lang").isin(alone)).toLocalIterator():
+        near.setdefault(r["lang"], []).append((r["level"], r["cosine"]))
+    least = [limits(near.get(lang, []), SEEN_SHARE if lang in alone else REJECT_SHARE) for lang in languages]
+    of = [k for k, lang in enumerate(languages) for _ in centres.get(lang, ())]
+    stack = np.concatenate([centres[x] for x in languages if x in centres]) if centres else np.empty((0, DIMENSIONS))
+    return LanguageModel(languages, idf, np.ascontiguousarray(stack.T, np.float64), np.array(of, np.int64), np.reshape(least, (-1, LEVELS)))
 
 
 def nearest(text: str | None, model: LanguageModel, letter: np.ndarray) -> tuple[int, float, bool]:
@@ -170,7 +256,7 @@ def nearest(text: str | None, model: LanguageModel, letter: np.ndarray) -> tuple
     near = values @ model.centroids[at]
     best = int(np.argmax(near))
     score = min(max(float(near[best]), 0.0), 1.0)
-    return best, score, score < model.least[best]
+    return best, score, score < model.least[model.of[best], level(found)]
 
 
 def predict(docs: DataFrame, model: LanguageModel, out: str = "language") -> DataFrame:

@@ -41,3 +41,12 @@ def test_nothing_to_learn_from(spark):
     assert model.languages == []
     assert [tuple(r.language) for r in language.predict(none, model).collect()] == [("und", 0.0, True)] * 2
     assert language.predict(none.where(F.lit(False)), model).collect() == []
+
+
+def test_a_language_nobody_taught_is_rejected(spark, folder):
+    docs = spark.read.parquet(folder.replace("0.001", "0.01") + "/documents.parquet")
+    model = language.fit(language.training_rows(docs.where("lang <> 'fr'")))
+    found = language.predict(docs, model).select("lang", "language.rejected").collect()
+    foreign, known = ([r.rejected for r in found if (r.lang == "fr") == f] for f in (True, False))
+    assert len(foreign) > 100 and sum(foreign) >= 0.95 * len(foreign)
+    assert sum(known) <= 0.01 * len(known)
