@@ -50,3 +50,17 @@ def test_a_language_nobody_taught_is_rejected(spark, folder):
     foreign, known = ([r.rejected for r in found if (r.lang == "fr") == f] for f in (True, False))
     assert len(foreign) > 100 and sum(foreign) >= 0.95 * len(foreign)
     assert sum(known) <= 0.01 * len(known)
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    random.seed(4)
+    said = {lang: [" ".join(random.choice(words) for _ in range(40)) for _ in range(60)]
+            for lang, words in {"xx": ["bolo", "kuma", "tiru", "naso", "weki"], "yy": ["strengt", "plicht", "grumf", "zwecks"]}.items()}
+    rows = [(lang, t) for lang, texts in said.items() for t in texts] + [("xx", None)] * 20_000 + [("xx", said["xx"][0] + " kuma")] * 20_000
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    model = language.fit(docs, sample=20, unseen=10)
+    assert {lang: len(h) for lang, h in language.chosen(docs.where("text IS NOT NULL"), 30).items()} == {"xx": 30, "yy": 30}
+    wanted = docs.where("text IS NOT NULL").distinct()
+    answers = language.predict(wanted, model).collect()
+    assert all(r.language.lang_pred == r.lang for r in answers)
+    assert sum(r.language.rejected for r in answers) <= 2
