@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixframe.llm import chat, decontaminate, embeddings, language, mixing, quality, secrets, simhash, tokens, urls
+from mixframe.llm import chat, decontaminate, embeddings, language, mixing, phrases, quality, secrets, simhash, tokens, urls
 from mixframe.session import scratch_path
 
 #: Rules of the URL query, and hosts whose pages make up its list of blocked URLs.
@@ -97,10 +97,18 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], digest, secrets.span_list([r.kind for r in secrets.RULES]).alias("spans"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first collocations of each language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat, op2_decontaminate, op3_embedding_dedup, op4_language, op5_mix, op6_simhash, op7_tokens, op8_quality, op9_urls, op10_secrets)
-}
+    for f in (
+        op1_chat, op2_decontaminate, op3_embedding_dedup, op4_language, op5_mix, op6_simhash, op7_tokens, op8_quality, op9_urls,
+        op10_secrets, op11_phrases,
+    )
+}
 
 _HOST = f"translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}')"
 _FITS = " ".join(
@@ -125,4 +133,4 @@ SELECT page_id, host, path, substr(ruled, 7) AS rule,
   coalesce(substr(ruled, 1, 5), CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM canon"""
 
-SQL = {"op1_chat": chat.oracle(), "op5_mix": mixing.oracle(), "op9_urls": URL_SQL}
+SQL = {"op1_chat": chat.oracle(), "op5_mix": mixing.oracle(), "op9_urls": URL_SQL, "op11_phrases": phrases.oracle()}
