@@ -1,15 +1,17 @@
 """Phrase collocation mining over sorted count streams.
 
 Texts are lower-cased in A-Z, cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and these into words ``[^\\x20\\x09]+``. Everything
-is counted per language. Three passes of decreasing size:
+is counted per language, in three passes over the texts:
 
 1. ``word_counts``: occurrences of every word, and of all words of a language.
-2. ``windows``: one row for each place where a phrase may start, with up to ``order`` words. A word below the threshold is
-   in no candidate, so it ends a window; such words are told by a bit filter of bounded size, whose false positives
-   only make windows longer. Each task adds up equal windows before they are shuffled.
-3. ``phrase_counts``: the windows in prefix order. Phrases of every length are runs of equal prefixes in that one stream,
-   so lengths 2 to ``order`` are counted in one scan that holds one open run for each length. Only a run that touches
-   the edge of a part is added up with its neighbour's.
+2. ``pair_counts``: occurrences of every pair of words that are frequent themselves.
+3. ``phrase_counts``: one window for each place where a longer phrase may start, with up to ``order`` words. A pair below
+   the threshold is in no candidate, so it ends a window. The windows are put in prefix order. Phrases of every length
+   are runs of equal prefixes in that one stream, so lengths 3 to ``order`` are counted in one scan that holds one open
+   run for each length. Only a run that touches the edge of a part is added up with its neighbour's.
+
+Each task adds up equal words, pairs and windows before they are shuffled. Frequent words and pairs are told by a bit
+filter of bounded size, whose false positives only make more rows and never change a count.
 
 The counts are then laid out twice, in prefix order (words from the first) and in suffix order (words from the last). In
 such an order a phrase comes right after the shorter phrases that begin it, so a walk that keeps one open phrase for each
@@ -44,7 +46,7 @@ TOP = 2000
 NO_LANG = "und"
 #: Words that a task counts, and window places that it adds up, before it hands them on.
 WORD_LIMIT = 400_000
-PLACE_LIMIT = 1_000_000
+PLACE_LIMIT = 2_000_000
 #: Bits of the filter for each frequent word, and the most bits it may have (8 MB).
 BITS_PER_WORD = 16
 FILTER_BITS = 1 << 26
@@ -75,19 +77,15 @@ def _rows(langs: list[str], phrases: list[bytes], counts: np.ndarray) -> Iterato
 
 
 class _Numbers(dict):
-    """Numbers of words from 1 on; empty words are -1, the ends of pieces and all words that are not ``wanted`` 0."""
+    """Numbers of words from 1 on; an empty word is -1, the end of a piece 0."""
 
-    def __init__(self, wanted: Callable[[bytes], bool] | None = None) -> None:
+    def __init__(self) -> None:
         super().__init__({b"": -1, END: 0})
         self.words: list[bytes | None] = [None]
-        self.wanted = wanted
 
     def __missing__(self, word: bytes) -> int:
-        number = 0
-        if self.wanted is None or self.wanted(word):
-            number = len(self.words)
-            self.words.append(word)
-        self[word] = number
+        self[word] = number = len(self.words)
+        self.words.append(word)
         return number
 
 
@@ -130,63 +128,92 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def _enough(counted: DataFrame, min_count: int, name: str) -> DataFrame:
+    """The sums of a task's counts that are large enough, and those of no phrase, stored."""
+    found = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return stored(found.where(F.col("phrase").isNull() | (F.col("n") >= min_count)), name)
+
+
 def word_counts(texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Words of ``texts`` (lang, text) that occur often enough, and with a null phrase the number of all words of a language."""
-    found = texts.mapInArrow(_count_words, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return stored(found.where(F.col("phrase").isNull() | (F.col("n") >= min_count)), "words")
+    return _enough(texts.mapInArrow(_count_words, COUNTS), min_count, "words")
 
 
-def _places(lang: str, bits: int) -> Callable[[bytes], tuple[int, int]]:
-    """The two places of a word of a language in a filter of ``bits`` bits, a power of two."""
+def _hash(lang: str) -> Callable[[bytes], int]:
+    """64-bit hash of the words of a language."""
     from xxhash import xxh64_intdigest
 
-    seed, mask = xxh64_intdigest(lang.encode()), bits - 1
+    seed = xxh64_intdigest(lang.encode())
+    return lambda word: xxh64_intdigest(word, seed)
+
+
+def _pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hash of a pair from those of its words."""
+    h = one * np.uint64(0x9E3779B97F4A7C15) + two  # an odd factor: the golden ratio's digits
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bits(h: np.ndarray, bits: int) -> np.ndarray:
+    """The two places of each hash in a filter of ``bits`` bits, a power of two."""
+    return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
 
-    def places(word: bytes) -> tuple[int, int]:
-        h = xxh64_intdigest(word, seed)
-        return h & mask, h >> 32 & mask
 
-    return places
+def _in_filter(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _bits(h, 8 * len(held))
+    return ((held[at >> 3] >> (at & 7)) & 1).all(axis=0)
 
 
-def frequent_filter(words: DataFrame) -> bytes:
-    """A bit filter that holds every frequent word, of at most ``FILTER_BITS`` bits however many they are."""
-    frequent = words.where("phrase is not null").select("lang", "phrase")
+def frequent_filter(counts: DataFrame) -> np.ndarray:
+    """Bytes of a bit filter that holds every phrase of ``counts``, of at most ``FILTER_BITS`` bits however many they are."""
+    frequent = counts.where("phrase is not null").select("lang", "phrase")
     bits, wanted = 1 << 10, min(FILTER_BITS, frequent.count() * BITS_PER_WORD)
     while bits < wanted:
         bits *= 2
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = {lang: _places(lang, bits) for lang in batch.column(0).unique().to_pylist()}
-            at = np.array([places[lang](word) for lang, word in _texts(batch)], np.int64).ravel()
+            hashes = {lang: _hash(lang) for lang in batch.column(0).unique().to_pylist()}
+            parts = [[hashes[lang](w) for w in phrase.split(JOINT)] for lang, phrase in _texts(batch)]
+            one = np.array([p[0] for p in parts], np.uint64)
+            two = np.array([p[-1] for p in parts], np.uint64)
+            h = np.where([len(p) == 1 for p in parts], one, _pair_hash(one, two))
+            at = _bits(h, bits).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], names=["place", "mask"])
 
     masks = frequent.mapInArrow(set_bits, "place bigint, mask bigint").groupBy("place").agg(F.bit_or("mask").alias("mask"))
     found = masks.toArrow()  # at most FILTER_BITS / 32 rows
     table = np.zeros(bits // 32, "<u4")
     table[found.column("place").to_numpy()] = found.column("mask").to_numpy()
-    return table.tobytes()
+    return table.view(np.uint8)
 
 
-def _added_windows(lang: str, numbers: _Numbers, said: list[np.ndarray], order: int) -> Iterator[pa.RecordBatch]:
-    """Distinct windows of two words or more, joined, with their counts."""
+def _added_windows(lang: str, numbers: _Frequent, said: list[np.ndarray], order: int) -> Iterator[pa.RecordBatch]:
+    """Distinct windows of two words or more (three or more of a longer ``order``), joined and sorted, with their counts."""
     seq = np.concatenate([*said, np.zeros(order, np.int64)])
+    meets = (seq[:-1] > 0) & (seq[1:] > 0)
+    if order > 2:
+        h = np.array(numbers.hashes, np.uint64)
+        both = np.flatnonzero(meets)
+        meets[both] = _in_filter(numbers.held, _pair_hash(h[seq[both]], h[seq[both + 1]]))
     size = len(seq) - order
+    goes_on = meets[:size].copy()
     columns = [seq[:size]]
     for i in range(1, order):
-        columns.append(np.where(columns[-1] > 0, seq[i : i + size], 0))
-    starts = np.flatnonzero(columns[1] > 0)
+        columns.append(np.where(goes_on, seq[i : i + size], 0))
+        goes_on &= meets[i : i + size]
+    starts = np.flatnonzero(columns[min(2, order - 1)] > 0)
     if not len(starts):
         return
+    words = pa.array(numbers.words, pa.binary())
+    rank = np.empty(len(words), np.int64)  # numbers in the order of the words; none first
+    rank[pc.sort_indices(words, null_placement="at_start").to_numpy()] = np.arange(len(words))
     columns = [c[starts] for c in columns]
-    by = np.lexsort(columns[::-1])
+    by = np.lexsort([rank[c] for c in reversed(columns)])
     columns = [c[by] for c in columns]
     first = np.ones(len(by), bool)
     first[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     place = np.flatnonzero(first)
     counts = np.diff(place, append=len(by))
-    words = pa.array(numbers.words, pa.binary())
     joint = pa.scalar(JOINT, pa.binary())
     for start in range(0, len(place), OUT_ROWS):
         cut = place[start : start + OUT_ROWS]
@@ -196,26 +223,35 @@ def _added_windows(lang: str, numbers: _Numbers, said: list[np.ndarray], order:
         yield pa.RecordBatch.from_arrays([langs, phrase, pa.array(counts[start : start + OUT_ROWS])], names=["lang", "phrase", "n"])
 
 
-def _windows(held: bytes, order: int):  # noqa: ANN202
-    """Windows of the task's texts, equal ones added up; ``held`` is the filter of frequent words."""
+class _Frequent(_Numbers):
+    """Numbers of the words that the filter ``held`` has, with their hashes."""
+
+    def __init__(self, lang: str, held: np.ndarray) -> None:
+        super().__init__()
+        self.hash, self.held, self.bytes, self.mask = _hash(lang), held, held.tobytes(), 8 * len(held) - 1
+        self.hashes = [0]
 
-    def wanted(lang: str) -> Callable[[bytes], bool]:
-        places = _places(lang, 8 * len(held))
+    def __missing__(self, word: bytes) -> int:
+        h = self.hash(word)
+        one, two = h & self.mask, h >> 32 & self.mask
+        if not self.bytes[one >> 3] >> (one & 7) & self.bytes[two >> 3] >> (two & 7) & 1:
+            self[word] = 0
+            return 0
+        self.hashes.append(h)
+        return super().__missing__(word)
 
-        def asked(word: bytes) -> bool:
-            one, two = places(word)
-            return bool(held[one >> 3] >> (one & 7) & held[two >> 3] >> (two & 7) & 1)
 
-        return asked
+def _windows(held: np.ndarray, order: int):  # noqa: ANN202
+    """Windows of the task's texts, equal ones added up; ``held`` is the filter of frequent words and pairs."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, _Numbers] = {}
+        known: dict[str, _Frequent] = {}
         said: dict[str, list[np.ndarray]] = {}
         places, kept = 0, 0
         for batch in batches:
             for lang, text in _texts(batch):
                 if lang not in known:
-                    known[lang] = _Numbers(wanted(lang))
+                    known[lang] = _Frequent(lang, held)
                 numbers = known[lang]
                 words, before = [*_pieces(text), END], len(numbers)
                 found = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
@@ -236,6 +272,11 @@ def _windows(held: bytes, order: int):  # noqa: ANN202
     return windows
 
 
+def pair_counts(texts: DataFrame, words: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """Pairs of words that occur often enough: lang, phrase, n."""
+    return _enough(texts.mapInArrow(_windows(frequent_filter(words), 2), COUNTS), min_count, "pairs")
+
+
 class _Runs:
     """Sums of runs of equal prefixes of one length, over the batches of a sorted stream."""
 
@@ -261,7 +302,7 @@ class _Runs:
 
 def _prefix_runs(order: int, least: int):  # noqa: ANN202
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = [_Runs(k, least) for k in range(2, order + 1)]
+        lengths = [_Runs(k, least) for k in range(3, order + 1)]
         for batch in batches:
             rows: list[tuple[str, bytes, int]] = []
             size = batch.num_rows
@@ -307,11 +348,15 @@ def _prefix_runs(order: int, least: int):  # noqa: ANN202
 
 def phrase_counts(texts: DataFrame, words: DataFrame, min_count: int = MIN_COUNT, order: int = ORDER) -> DataFrame:
     """All phrases of 1 to ``order`` words that occur often enough: lang, phrase, n; every phrase once."""
-    added = stored(texts.mapInArrow(_windows(frequent_filter(words), order), COUNTS), "windows")
+    short = words.where("phrase is not null")
+    if order > 1:
+        short = short.unionByName(pair_counts(texts, words, min_count))
+    if order < 3:
+        return short
+    added = stored(texts.mapInArrow(_windows(frequent_filter(short), order), COUNTS), "windows")
     stream = added.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
     runs = stream.mapInArrow(_prefix_runs(order, min_count), COUNTS)
-    longer = runs.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    return stored(words.where("phrase is not null").unionByName(longer), "phrases")
+    return short.unionByName(_enough(runs, min_count, "longer"))
 
 
 def turned(phrase: Column) -> Column:
