@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixframe.llm import chat, decontaminate, embeddings, language, mixing, phrases, quality, secrets, simhash, tokens, urls
+from mixframe.llm import chat, codes, decontaminate, embeddings, language, mixing, phrases, quality, secrets, sharding, simhash, tokens, urls
 from mixframe.session import scratch_path
 
 #: Rules of the URL query, and hosts whose pages make up its list of blocked URLs.
@@ -102,11 +102,30 @@ def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
 
+def op12_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all documents as shards along the curve, read the files back, digest them."""
+    place = scratch_path(spark, "shards")
+    sharding.write_shards(table(spark, folder, "documents"), place, sharding.document_dimensions())
+    rows = sharding.read_shards(spark, place)
+    digest = F.crc32(F.coalesce("text", F.lit(""))).cast("bigint").alias("text_crc32")
+    layout, none = F.col(sharding.LAYOUT), F.lit(None).cast("int").alias("grown_shard")
+    size = sharding.size_of(F.col("text")).alias("size")
+    return rows.select("doc_id", size, digest, F.lit("rows").alias("law"), layout["shard"].alias("shard"), layout["slot"].alias("slot"), none)
+
+
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """The code of every vector, its error, and the codebooks' digest."""
+    coded, books = codes.compress(table(spark, folder, "embeddings"), ["vec_id", "label"])
+    summed = codes.with_group_error(coded, "label", "label_error")
+    digest = F.lit(codes.books_digest(books)).alias("codebooks_sha256")
+    return summed.select("vec_id", codes.code_text(F.col("code")).alias("code"), "error", "label_error", digest)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat, op2_decontaminate, op3_embedding_dedup, op4_language, op5_mix, op6_simhash, op7_tokens, op8_quality, op9_urls,
-        op10_secrets, op11_phrases,
+        op10_secrets, op11_phrases, op12_shards, op13_codes,
     )
 }
 
@@ -133,4 +152,4 @@ SELECT page_id, host, path, substr(ruled, 7) AS rule,
   coalesce(substr(ruled, 1, 5), CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM canon"""
 
-SQL = {"op1_chat": chat.oracle(), "op5_mix": mixing.oracle(), "op9_urls": URL_SQL, "op11_phrases": phrases.oracle()}
+SQL = {"op1_chat": chat.oracle(), "op5_mix": mixing.oracle(), "op9_urls": URL_SQL, "op11_phrases": phrases.oracle(), "op12_shards": sharding.oracle(), "op13_codes": codes.oracle()}
