@@ -96,13 +96,19 @@ def _rows(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield index, values[starts[index][:, None] + np.arange(width)]
 
 
+def _bounded(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, which is exact, so that the largest component is about 1: no sum of squares over- or underflows."""
+    _, exponent = np.frexp(np.abs(rows).max(axis=1))
+    return np.ldexp(rows, -exponent[:, None])
+
+
 def _hasher(parts: int, tables: int, seed: int):  # noqa: ANN202
     """Arrow function: the buckets of each vector, home ones first."""
 
     def hashed(column: pa.Array) -> pa.Array:
         out = np.zeros((len(column), 2 * tables), np.int64)
         for index, rows in _rows(column):
-            home, second = bucket_keys(rows, parts, tables, seed)
+            home, second = bucket_keys(_bounded(rows), parts, tables, seed)
             out[index] = np.concatenate([home, second], axis=1).view(np.int64)
         offsets = np.arange(len(column) + 1, dtype=np.int32) * np.int32(2 * tables)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
@@ -127,6 +133,7 @@ def _compare(parts: int, tables: int, seed: int, threshold: float):  # noqa: ANN
     """Task function over rows sorted by unit: link counts and spanning forests of the verified pairs."""
 
     def unit_pairs(unit, home, block, two, nodes, copies, bucket, rows):  # noqa: ANN001, ANN202
+        rows = _bounded(rows)
         length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
         left, right = [], []
         for i, j in _meetings(unit, block, two):
@@ -212,7 +219,10 @@ def linked_vectors(
     block_rows: int = BLOCK_ROWS,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row for each vector: its id, ``n_links`` (other vectors at ``threshold`` or above) and ``component_id``."""
+    """One row for each vector: its id, ``n_links`` (other vectors at ``threshold`` or above), ``component_id`` and ``kept``.
+
+    ``kept`` marks the vector that names its component; one without an id is kept if no other of its component has one.
+    """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
     usable = rows.where(F.coalesce(_usable("vector"), F.lit(False)))
     # -0.0 and 0.0 are one number
@@ -246,8 +256,10 @@ def linked_vectors(
     same = F.transform("vector", lambda v: F.when(v == 0, F.abs(v)).otherwise(v))
     key = F.when(F.coalesce(_usable("vector"), F.lit(False)), same)
     joined = rows.select("id", key.alias("vector")).join(answer, "vector", "left")
+    component = F.when(F.col("vector").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return joined.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.when(F.col("vector").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        component.alias("component_id"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )

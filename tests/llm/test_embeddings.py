@@ -10,12 +10,13 @@ def plain(rows):
     usable = {}
     for i, v in enumerate(rows):
         if v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            usable[i] = np.array(v, float) / np.linalg.norm(np.array(v, float))
+            unit = np.array(v, float) / np.abs(v).max()
+            usable[i] = unit / np.linalg.norm(unit)
     links = [(i, j) for i in usable for j in usable if i < j and len(usable[i]) == len(usable[j]) and usable[i] @ usable[j] >= 0.95]
     root, degree = groups(list(range(len(rows))), links), np.zeros(len(rows), int)
     for i, j in links:
         degree[[i, j]] += 1
-    return [(i, int(degree[i]), root[i]) for i in range(len(rows))]
+    return [(i, int(degree[i]), root[i], root[i] == i) for i in range(len(rows))]
 
 
 def test_links_match_all_pairs(spark):
@@ -28,6 +29,7 @@ def test_links_match_all_pairs(spark):
     rows += [(hot + 0.02 * rng.normal(size=32)).tolist() for _ in range(150)]  # a crowd, cut into blocks
     rows += [rows[3], rows[3], [2 * x for x in rows[3]], None, [], [0.0] * 32, [-0.0] * 32, [float("nan")] * 32, [None] * 32]
     rows += [[float("inf")] + [1.0] * 31, [1.0, 2.0], [1.0, 2.01], [3.0], [-3.0], [5.0]]
+    rows += [[1e200, 1e200, 0.0], [2e200, 2e200, 0.0], [1e-200, 0.0, 0.0], [1.0, 1.0, 0.0], [1e308, -1e308, 1e308], [1.0, -1.0, 1.0]]
     table = spark.createDataFrame([(i, v, "x", 0) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>, n_links string, node int")
     found = embeddings.linked_vectors(table, block_rows=32).collect()
     assert sorted(map(tuple, found)) == plain(rows)
@@ -37,7 +39,7 @@ def test_unnamed_and_empty(spark):
     kind = "vec_id bigint, embedding array<float>"
     rows = [(None, [1.0, 0.0]), (4, [1.0, 0.0]), (None, None), (7, None), (None, [0.0, 1.0])]
     found = {tuple(r) for r in embeddings.linked_vectors(spark.createDataFrame(rows, kind)).collect()}
-    assert found == {(None, 1, 4), (4, 1, 4), (None, 0, None), (7, 0, 7)}
+    assert found == {(None, 1, 4, False), (4, 1, 4, True), (None, 0, None, True), (7, 0, 7, True)}
     assert embeddings.linked_vectors(spark.createDataFrame([], kind)).collect() == []
 
 
@@ -46,5 +48,5 @@ def test_recall_on_the_supplied_vectors_with_noise(spark, folder):
     rng = np.random.default_rng(0)
     rows += [(10_000 + i, (np.array(v) + rng.normal(size=len(v)) * 0.02).tolist()) for i, v in rows]
     found = embeddings.linked_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
-    total = sum(n for _, n, _ in plain([v for _, v in rows]))
+    total = sum(r[1] for r in plain([v for _, v in rows]))
     assert 0.999 * total <= sum(r.n_links for r in found) <= total and total > 0
