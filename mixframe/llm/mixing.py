@@ -64,6 +64,19 @@ def offset_of(seed: int, source: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def copies_at(position: Column, share: Column, offset: Column) -> Column:
+    """Integers that the prefix sum crosses at a position (from 0) when every document adds ``share`` in units of 2**-32.
+
+    Whole copies are apart, and the prefix sum is kept modulo 2**32 with the position in two halves, so that no product
+    passes 49 bits however many documents a source has.
+    """
+    low = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    part = low(share, 32)
+    upper = F.shiftleft(low(low(F.shiftright(position, 16), 16) * part, 16), 16)
+    before = low(upper + low(position, 16) * part + offset, 32)
+    return F.shiftright(share, 32) + F.shiftright(before + part, 32)
+
+
 def mix(
     docs: DataFrame,
     keep: list[str],
@@ -94,8 +107,7 @@ def mix(
                         offset_of(seed, F.col("__source")).alias("__offset"))
     offsets = stored(chunks(placed, "__key").join(plan, "__key"), "offsets")
     located = placed.join(small(offsets, OFFSET_BYTES), ["__part", "__key"])
-    upto = (F.col("__place") - F.col("__first") + F.col("__before") + 1) * F.col("__share") + F.col("__offset")
-    copies = F.shiftright(upto, 32) - F.shiftright(upto - F.col("__share"), 32)
+    copies = copies_at(F.col("__place") - F.col("__first") + F.col("__before"), F.col("__share"), F.col("__offset"))
     return located.select(
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
         F.col("__size").alias("size"),

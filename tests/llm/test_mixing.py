@@ -5,6 +5,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from mixframe.llm import mixing
 
@@ -67,3 +68,15 @@ def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], KIND), ["doc_id"]).collect() == []
     blank = mixing.mix(spark.createDataFrame([(1, None, "s"), (2, " ", None)], KIND), ["doc_id"]).collect()
     assert [(r.size, r.target, r.taken) for r in blank] == [(0, 0.0, 0)] * 2
+
+
+def test_copies_far_along_a_source(spark):
+    """Positions that would make the prefix sum pass 64 bits."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(1 << bits), rng.randrange(3 << 32), rng.randrange(1 << 32)) for bits in (1, 20, 33, 34, 50) for _ in range(40)]
+    rows += [(10**10, 3 << 32, (1 << 32) - 1), (8 * 10**8, 3 << 32, 0), (0, 0, 0)]
+    frame = spark.createDataFrame(rows, "p bigint, s bigint, o bigint")
+    for r in frame.withColumn("copies", mixing.copies_at(F.col("p"), F.col("s"), F.col("o"))).collect():
+        assert r.copies == (((r.p + 1) * r.s + r.o) >> 32) - ((r.p * r.s + r.o) >> 32)
