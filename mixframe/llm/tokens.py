@@ -16,14 +16,15 @@ from __future__ import annotations
 import io
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 from typing import Any
+from unicodedata import is_normalized
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,11 @@ from mixframe.llm.common import once, release, spans_of, texts
 
 END_ID = 2
 #: Characters that are split into words at a time, and distinct words that a worker process remembers.
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 2_000_000
 CACHE_WORDS = 400_000
+#: Words of letters that are encoded at a time, and marks that are looked up apart from the word before them.
+JOINED_WORDS = 1000
+MARKS = b".,;:!?"
 PARTS = "part int, path string, rows bigint, nulls bigint, ids bigint, width int"
 LISTED = f"{PARTS}, base bigint"
 
@@ -54,10 +58,10 @@ class Known(dict):
     """Numbers of words; a word that has none gets the next and is noted in ``new``."""
 
     def __init__(self) -> None:
-        super().__init__({None: 0, "": 1})  # None: the end of a document
-        self.new: list[str] = []
+        super().__init__({None: 0, b"": 1})  # None: the end of a document
+        self.new: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
         self.new.append(word)
         return number
@@ -66,40 +70,95 @@ class Known(dict):
 class Encoder:
     """Ids of whole texts, with the ids of every distinct word looked up once.
 
-    The vocabulary's pre-tokenizer never joins what a space (0x20) or line feed separates and drops both, so the ids of a
-    text are those of its pieces between them, in order. Words are remembered up to ``limit``, then all are forgotten.
+    The vocabulary's normalizer lower-cases and its pre-tokenizer never joins what a space (0x20) or line feed separates and
+    drops both, so the ids of a text are those of its pieces between them, in order, lower-cased in A-Z. A run of letters
+    is one pre-token, and so is a run of punctuation after it: a word of letters that ends in punctuation is looked up in two
+    parts, and words of letters alone are encoded many at a time, told apart by the number of their pre-token. Other words
+    are encoded one by one. Words are remembered up to ``limit``, then all are forgotten; parts of words are kept in two
+    generations, and those not met for a generation are forgotten.
     """
 
     def __init__(self, path: str, end_id: int, limit: int = CACHE_WORDS) -> None:
         self.tokenizer, self.end_id, self.limit = tokenizer(path), end_id, limit
         self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
+        # ids as bytes: a hundred thousand lists of numbers would be walked by every garbage collection
+        self.parts: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.known = Known()
-        self.ids, self.lengths = array("I", [self.end_id]), array("q", [1, 0])
+        self.ids = np.array([self.end_id], f"<u{self.width}")
+        self.lengths, self.starts = np.array([1, 0]), np.array([0, 1])
+
+    def _encode_parts(self, parts: list[bytes]) -> None:
+        """Look up what parts of words have not been met."""
+        letters, others = [], []
+        for part in parts:
+            text = part.decode()
+            # lower-casing one letter may give two characters, and composing may join two
+            plain = text.isascii() and text.isalpha() or text.lower().isalpha() and text.isalpha() and is_normalized("NFC", text)
+            (letters if plain else others).append((part, text))
+        for start in range(0, len(letters), JOINED_WORDS):
+            some = letters[start : start + JOINED_WORDS]
+            encoding = self.tokenizer.encode(" ".join(text for _, text in some), add_special_tokens=False)
+            numbers = np.array(encoding.word_ids)
+            if len(numbers) == 0 or numbers[-1] != len(some) - 1:
+                others.extend(some)
+                continue
+            ids = np.array(encoding.ids, f"<u{self.width}").tobytes()
+            ends = (self.width * np.searchsorted(numbers, np.arange(len(some)), "right")).tolist()
+            first = 0
+            for (part, _), end in zip(some, ends, strict=True):
+                self.parts[part] = ids[first:end]
+                first = end
+        for (part, _), encoding in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
+            self.parts[part] = np.array(encoding.ids, f"<u{self.width}").tobytes()
+
+    def _learn(self) -> None:
+        """Ids of the new words."""
+        cut: list[tuple[bytes, bytes]] = []
+        missing: dict[bytes, None] = {}
+        for word in self.known.new:
+            core = word.rstrip(MARKS)
+            if len(core) == len(word) or not core or not (core.isalpha() or core.decode().isalpha()):
+                core, tail = word, b""
+            else:
+                tail = word[len(core) :]
+            cut.append((core, tail))
+            for part in (core, tail):
+                if part and part not in self.parts:
+                    if part in self.older:
+                        self.parts[part] = self.older[part]
+                    else:
+                        missing[part] = None
+        self._encode_parts(list(missing))
+        found = [self.parts[core] + self.parts[tail] if tail else self.parts[core] for core, tail in cut]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        ids = np.frombuffer(b"".join(found), f"<u{self.width}")
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+        self.known.new.clear()
+        if len(self.parts) > self.limit:
+            self.parts, self.older = {}, self.parts
 
     def encode(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each with its end id, and the number of ids of each."""
         if len(self.known) > self.limit:
             self._reset()
-        words = [d.replace("\n", " ").split(" ") for d in documents]
-        for said in words:
-            said.append(None)
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
+        lowered = pc.replace_substring(pc.ascii_lower(pa.array(documents, pa.large_string())), "\n", " ")
+        words = pc.split_pattern(lowered, " ")
+        said = pc.cast(words.flatten(), pa.large_binary()).dictionary_encode()
+        numbers = np.fromiter(map(self.known.__getitem__, said.dictionary.to_pylist()), np.int64, len(said.dictionary))
+        ends = words.offsets.to_numpy()[1:]
+        which = np.insert(numbers[said.indices.to_numpy()], ends, 0)  # the end of each document
         if self.known.new:
-            for encoding in self.tokenizer.encode_batch_fast(self.known.new, add_special_tokens=False):
-                ids = encoding.ids
-                self.ids.extend(ids)
-                self.lengths.append(len(ids))
-            self.known.new.clear()
-        flat, sizes = np.array(self.ids, f"<u{self.width}"), np.array(self.lengths)
-        starts = np.cumsum(sizes) - sizes
-        size = sizes[which]
+            self._learn()
+        size = self.lengths[which]
         before = np.cumsum(size)
-        ids = flat[np.arange(before[-1]) + np.repeat(starts[which] - before + size, size)]
-        ends = np.cumsum([len(said) for said in words])
-        return ids, np.diff(before[ends - 1], prepend=0)
+        ids = self.ids[np.arange(before[-1]) + np.repeat(self.starts[which] - before + size, size)]
+        return ids, np.diff(before[ends + np.arange(len(ends))], prepend=0)
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
