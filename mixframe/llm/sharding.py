@@ -81,6 +81,11 @@ def curve_of(rows: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -
     return stored(table.join(small(points, VALUE_BYTES), cells).select("values", "curve"), "curve")
 
 
+def _packed(names: list[str]) -> Column:
+    """A row's columns as one, whatever they are called."""
+    return F.struct(*[F.col("`" + name.replace("`", "``") + "`").alias(name) for name in names]).alias("row")
+
+
 def write_shards(
     docs: DataFrame, folder: str, dimensions: dict[str, Column], text: str = "text", key: str = "doc_id", shards: int = SHARDS, bits: int = BITS
 ) -> None:
@@ -94,7 +99,7 @@ def write_shards(
         raise ValueError(f"the name {LAYOUT} is reserved")
     curve = curve_of(docs, dimensions, bits)
     # the row is packed, so that its columns may have any names
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*[c.alias(n) for n, c in dimensions.items()]).alias("values"))
+    packed = docs.select(_packed(docs.columns), F.struct(*[c.alias(n) for n, c in dimensions.items()]).alias("values"))
     located = lookup_join(packed, curve, "values", VALUE_BYTES)
     said = F.substring(F.md5(F.col("row")[text]), 1, 16)
     order = [F.col("curve"), said.asc_nulls_first(), F.col("row")[key].asc_nulls_first()]
@@ -138,7 +143,7 @@ def read_shards(spark: SparkSession, folder: str, shard: int | None = None) -> D
     rows = spark.read.parquet(f"{folder}/rows") if shard is None else _files(spark, folder, runs.where(F.col("shard") == shard))
     parts = small(runs.select("part", "before", "shards", "total").distinct(), PART_BYTES)
     place = F.col(LAYOUT)["place"]
-    packed = rows.select(F.struct(*[c for c in rows.columns if c != LAYOUT]).alias("row"), LAYOUT, F.shiftright(place, PLACE_BITS).alias("part"))
+    packed = rows.select(_packed([c for c in rows.columns if c != LAYOUT]), LAYOUT, F.shiftright(place, PLACE_BITS).alias("part"))
     met = packed.join(parts, "part")
     rank = F.col("before") + place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     count = F.col("shards").cast("bigint")
