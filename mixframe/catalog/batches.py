@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mixframe.catalog.base import Query, table
-from mixframe.operators import batching
+from mixframe.functions.permutation import place_sql
+from mixframe.operators import batching, file_batches
 from mixframe.operators.fitting import init_sample
+from mixframe.session import scratch_path
+
+FILES = 8
 
 
 def _sequential(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +43,39 @@ def _fraction(spark: SparkSession, folder: str) -> DataFrame:
     return init_sample(orders, "o_orderkey", 0.5, 1024, seed=3)
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """A copy of the orders in several files, sorted by key, so that SQL can tell the order of the files."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    path = scratch_path(spark, "orders")
+    orders.repartitionByRange(FILES, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _file_order(spark: SparkSession, folder: str) -> DataFrame:
+    return file_batches.sequential_batches_file_order(_files(spark, folder).select("o_orderkey", "o_custkey"))
+
+
+def _permuted(spark: SparkSession, folder: str) -> DataFrame:
+    return file_batches.shuffled_file_batches(_files(spark, folder).select("o_orderkey"), 512, epochs=3, seed=7)
+
+
+def _permuted_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for a table without files of its own: ranked once by its id."""
+    events = table(spark, folder, "events").select("event_id")
+    ranked = batching.global_rank(events, "event_id", "rank")
+    return file_batches.permuted_batches(ranked, "rank", events.count(), 512, epochs=2, seed=1).drop("rank")
+
+
+def _first_permuted(spark: SparkSession, folder: str) -> DataFrame:
+    return file_batches.first_shuffled_file_batches(_files(spark, folder), 3, 100, epochs=2, seed=7)
+
+
+def permuted_sql(source: str, key: str, epochs: int, seed: int) -> str:
+    """CTE ``placed``: the rows of every epoch with their place in it."""
+    numbered = f"numbered AS (SELECT *, (row_number() OVER (ORDER BY {key}) - 1)::BIGINT AS rank FROM {source})"
+    return f"{numbered},\n{place_sql('numbered', 'rank', seed, epochs)}"
+
+
 def shuffled_sql(source: str, key: str, epochs: int, seed: int) -> str:
     digest = f"md5({key}::VARCHAR || ':' || epoch::VARCHAR || ':{seed}')"
     return f"""shuffled AS (
@@ -65,6 +102,31 @@ FROM customer""",
         _shuffled,
         f"""WITH {shuffled_sql("events", "event_id", 2, 7)}
 SELECT event_id, epoch, floor(rank / 512)::BIGINT AS batch_id FROM shuffled""",
+    ),
+    Query(
+        "sequential_batches_file_order",
+        _file_order,
+        """SELECT o_orderkey, o_custkey, floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 512)::BIGINT AS batch_id
+FROM orders""",
+    ),
+    Query(
+        "shuffled_file_batches",
+        _permuted,
+        f"""WITH RECURSIVE {permuted_sql("orders", "o_orderkey", 3, 7)}
+SELECT o_orderkey, epoch, ((epoch * rows + place) // 512)::BIGINT AS batch_id FROM placed""",
+    ),
+    Query(
+        "permuted_batches",
+        _permuted_ranks,
+        f"""WITH RECURSIVE {permuted_sql("events", "event_id", 2, 1)}
+SELECT event_id, epoch, ((epoch * rows + place) // 512)::BIGINT AS batch_id FROM placed""",
+    ),
+    Query(
+        "first_shuffled_file_batches",
+        _first_permuted,
+        f"""WITH RECURSIVE {permuted_sql("orders", "o_orderkey", 2, 7)}
+SELECT o_orderkey, o_custkey, o_totalprice, epoch, ((epoch * rows + place) // 100)::BIGINT AS batch_id FROM placed
+WHERE (epoch * rows + place) < 300""",
     ),
     Query(
         "take_batches",
