@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from mixframe.functions import arrow, mixture
 from mixframe.model import Mixture
+from mixframe.operators.batch_store import BatchStore
 from mixframe.operators.fitting import Sums, partition_sums
+from mixframe.sinks.step_log import StepLog
 
 # Constants of the four update rules.
 ADAM_BETA_1, ADAM_BETA_2, ADAM_EPSILON = 0.9, 0.999, 1e-8
@@ -171,7 +173,7 @@ def latent_loss_gradient(
 
 
 def finetune_mixture(
-    df: DataFrame,
+    df: DataFrame | BatchStore,
     model: Mixture,
     weights: list[float],
     rates: list[float],
@@ -180,24 +182,33 @@ def finetune_mixture(
     z_sigma: str = "z_sigma",
     through_gamma: bool = True,
     batch_col: str | None = None,
+    log: StepLog | None = None,
 ) -> tuple[Mixture, list[float]]:
     """One gradient step for each entry of ``weights`` (the loss weight: anneal factor, or 1) and ``rates``.
 
     A step uses the whole table, or with ``batch_col`` the next of its consecutive batch ids. Persist ``df`` when
-    there are several steps. Returns the model and the unweighted loss before each step.
+    there are several steps. A ``BatchStore`` in place of the table gives each step its batch without a scan of the others.
+    Returns the model and the unweighted loss before each step; ``log`` gets loss, weight and rate of each step.
     """
     if len(weights) != len(rates):
         raise ValueError("one loss weight and one learning rate are needed for each step")
     rule = Optimizer(optimizer) if isinstance(optimizer, str) else optimizer
     batches = None
-    if batch_col is not None:
+    if batch_col is not None and not isinstance(df, BatchStore):
         batches = int(df.agg(F.max(batch_col)).first()[0]) + 1
     history: list[float] = []
     for step, (weight, rate) in enumerate(zip(weights, rates, strict=True)):
-        rows = df if batches is None else df.filter(F.col(batch_col) == step % batches)
+        if isinstance(df, BatchStore):
+            rows = df.step(step)
+        else:
+            rows = df if batches is None else df.filter(F.col(batch_col) == step % batches)
         loss, gradient = latent_loss_gradient(rows, model, z_mu, z_sigma, through_gamma)
         history.append(loss)
+        if log is not None:
+            log.add(step, latent_loss=loss, anneal_factor=weight, anneal_loss=weight * loss, learning_rate=rate)
         values = {"pi": model.weights, "mu": model.means, "var": model.variances}
         updated = rule.update(values, {key: weight * g for key, g in gradient.items()}, rate)
         model = Mixture(updated["pi"], updated["mu"], updated["var"])
+    if log is not None:
+        log.flush()
     return model, history

@@ -23,6 +23,7 @@ from mixframe.operators.finetune import Optimizer, responsibility
 from mixframe.operators.fitting import PARTS, added_parts, diag_gmm, init_sample, kmeans, momentum_update, parts_batch
 from mixframe.operators.network import MAX_WEIGHTS, elu
 from mixframe.session import cut
+from mixframe.sinks.step_log import StepLog
 
 Weights = dict[str, np.ndarray]
 MIXTURE_KEYS = ("pi", "mu", "var")
@@ -207,8 +208,11 @@ def _round(rows: DataFrame, col: str, id_col: str, w: Weights, phase: str, facto
     return {key: (value / n).reshape(w[key].shape) for key, value in sums.items()} | {"loss": np.array(loss)}
 
 
-def fit_latent(df: DataFrame, col: str, id_col: str, settings: LatentFit) -> FittedLatent:
-    """Warm-up rounds, mixture initialisation on a pooled sample of codes, then annealed and static rounds."""
+def fit_latent(df: DataFrame, col: str, id_col: str, settings: LatentFit, log: StepLog | None = None) -> FittedLatent:
+    """Warm-up rounds, mixture initialisation on a pooled sample of codes, then annealed and static rounds.
+
+    ``log`` gets loss, loss weight and rate of every round, from the round's own job.
+    """
     rows = df.select(id_col, col).persist(StorageLevel.MEMORY_AND_DISK)
     weights = initial_weights(vector_width(rows, col), settings)
     losses: list[float] = []
@@ -219,6 +223,10 @@ def fit_latent(df: DataFrame, col: str, id_col: str, settings: LatentFit) -> Fit
             weights |= {"pi": model.weights, "mu": model.means, "var": model.variances}
         weights = _round(rows, col, id_col, weights, phase, factor, index, settings)
         losses.append(float(weights.pop("loss")))
+        if log is not None:
+            log.add(index, loss=losses[-1], anneal_factor=factor, learning_rate=settings.rate)
+    if log is not None:
+        log.flush()
     model = model or _initialise(rows, col, id_col, weights, settings)
     rows.unpersist()
     if "pi" in weights:

@@ -10,9 +10,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from mixframe.model import Mixture, vector_width
+from mixframe.operators.batch_store import BatchStore, store_batches
+from mixframe.operators.batching import id_rank
+from mixframe.operators.file_batches import permuted_batches
 from mixframe.operators.finetune import Optimizer, finetune_mixture
 from mixframe.operators.fitting import diag_gmm, init_sample, kmeans, momentum_update
 from mixframe.session import cut
+from mixframe.sinks.step_log import StepLog
 
 
 @dataclass(frozen=True, eq=False)
@@ -67,6 +71,18 @@ def anneal_weights(beta_steps: int, static_steps: int, gamma: float) -> list[flo
     return [(step / beta_steps) ** 3 + gamma for step in range(1, beta_steps + 1)] + [1.0] * static_steps
 
 
+def shuffled_store(codes: DataFrame, id_col: str, batch_size: int, steps: int, seed: int = 0) -> BatchStore:
+    """The batches of one shuffled pass, as far as ``steps`` steps need them.
+
+    The rows are ranked once; the batch of a row follows from its rank by a permutation.
+    """
+    rows = codes.count()
+    batches = min(steps, max(1, math.ceil(rows / batch_size)))
+    ranked = id_rank(codes, [id_col], "__rank")
+    batched = permuted_batches(ranked, "__rank", rows, batch_size, 1, seed, "batch_id", first=batches)
+    return store_batches(batched.drop("__rank", "epoch"), "batch_id", batches, batch_size)
+
+
 def train_mixture(
     df: DataFrame,
     id_col: str,
@@ -86,10 +102,13 @@ def train_mixture(
     direct: bool = False,
     seed: int = 0,
     max_iter: int = 10000,
+    mini_batches: bool = False,
+    log: StepLog | None = None,
 ) -> Training:
     """Initialise a mixture on codes that are already encoded, then run annealed and static gradient steps.
 
-    A gradient step is two jobs over the whole table, so steps count passes and not mini-batches.
+    A gradient step is two jobs over the whole table; with ``mini_batches`` over the next batch of a shuffled pass, which is stored
+    by batches so that a step reads at most one partition of them. ``log`` gets the scalars of every step.
     """
     codes = df.select(id_col, z_mu, z_sigma).persist(StorageLevel.MEMORY_AND_DISK)
     dim = vector_width(codes, z_mu)
@@ -99,6 +118,7 @@ def train_mixture(
     weights = anneal_weights(beta_steps, static_steps, gamma) * cycles
     every, factor = decay or (1, 1.0)
     rates = [max(rate * math.pow(factor, step / every), minimum_rate) for step in range(len(weights))]
-    model, losses = finetune_mixture(codes, start, weights, rates, Optimizer(optimizer), z_mu, z_sigma)
+    source = shuffled_store(codes, id_col, batch_size, len(weights), seed) if mini_batches and weights else codes
+    model, losses = finetune_mixture(source, start, weights, rates, Optimizer(optimizer), z_mu, z_sigma, log=log)
     codes.unpersist()
     return Training(model, start.means, losses)
