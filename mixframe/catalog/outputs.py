@@ -26,6 +26,8 @@ from mixframe.config import TableConfig
 from mixframe.operators import metrics, scoring
 from mixframe.operators.custom import custom_scorer
 from mixframe.operators.latent_fit import LatentFit, fit_latent
+from mixframe.operators.network import encode
+from mixframe.plans.latent import read_latent, train_latent
 from mixframe.plans.training import start_model
 from mixframe.session import scratch_path
 from mixframe.sinks import predictions
@@ -175,6 +177,16 @@ def _line_scorer(spark: SparkSession, folder: str) -> DataFrame:
     return run(table(spark, folder, "lineitem"), _batch_scorer_config()).select(*LINE_IDS, rounded("net", 6).alias("net"))
 
 
+def _trained_latent(spark: SparkSession, folder: str) -> DataFrame:
+    """Train on all embeddings, publish, read back, and predict with what was published."""
+    settings = LatentFit(code=4, hidden=16, clusters=4, gamma_rounds=2, init_steps=2, beta_rounds=2, static_rounds=1)
+    rows, models = table(spark, folder, "embeddings").select("vec_id", "embedding"), scratch_path(spark, "models")
+    version = train_latent(rows, "embedding", "vec_id", settings, models, (8, 8, 1))
+    coder, model = read_latent(spark, models, version)
+    scored = scoring.predict(encode(rows, coder, "embedding"), model, ["vec_id"], z=None)
+    return scored.select("vec_id", "assignments", F.size("gamma").alias("components"), F.size("z_mu").alias("code"))
+
+
 def _fit_latent(spark: SparkSession, folder: str) -> DataFrame:
     settings = LatentFit(code=4, hidden=16, clusters=4, gamma_rounds=2, init_steps=2, beta_rounds=2, static_rounds=1)
     result = fit_latent(table(spark, folder, "embeddings"), "embedding", "vec_id", settings)
@@ -233,5 +245,6 @@ FROM events""",
         f"""SELECT {", ".join(LINE_IDS)}, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) + 0.0 AS net
 FROM lineitem""",
     ),
+    Query("trained_latent", _trained_latent),
     Query("fit_latent", _fit_latent),
 ]

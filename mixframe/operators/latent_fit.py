@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from mixframe.functions import arrow, mixture
 from mixframe.functions.hashing import normals, row_seed
 from mixframe.model import Mixture, vector_width
+from mixframe.operators.dense import DenseCoder
 from mixframe.operators.finetune import Optimizer, responsibility
 from mixframe.operators.fitting import PARTS, added_parts, diag_gmm, init_sample, kmeans, momentum_update, parts_batch
 from mixframe.operators.network import MAX_WEIGHTS, elu
@@ -108,6 +109,11 @@ def encode_dense(df: DataFrame, col: str, weights: Weights) -> DataFrame:
     return coded.select(*kept, "__latent.z_mu", "__latent.z_sigma")
 
 
+def trained_coder(fit: FittedLatent, frame: tuple[int, int, int] | None = None) -> DenseCoder:
+    """The trained network for ``encode``, ``decode`` and the plans; without a frame its input is one row of pixels."""
+    return DenseCoder(fit.weights, frame or (1, fit.weights["enc_w"].shape[0], 1))
+
+
 def mixture_gradient(z: np.ndarray, log_variance: np.ndarray, model: Mixture) -> tuple[float, Weights]:
     """Mixture latent loss of one mini-batch and its gradient by codes (``z``, ``s``) and by the mixture."""
     rows = len(z)

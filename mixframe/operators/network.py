@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 from functools import reduce as fold
 from operator import mul
 
@@ -151,6 +152,23 @@ class Coder:
         rows = [(n, list(w.shape), [float(v) for v in w.ravel()]) for n, w in self.weights.items()]
         return spark.createDataFrame(rows, WEIGHT_SCHEMA)
 
+    @property
+    def frame(self) -> tuple[int, int, int]:
+        return self.spec.frame
+
+    @property
+    def inputs(self) -> int:
+        return int(np.prod(self.spec.frame))
+
+    @property
+    def code(self) -> int:
+        return self.spec.code
+
+    @property
+    def working(self) -> int:
+        """Numbers that a row takes while it is coded."""
+        return self.inputs * max(max(self.spec.kernels) ** 2, *self.spec.filters)
+
     def encode_rows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         activate = ACTIVATIONS[self.spec.activation]
         h = x.reshape(len(x), *self.spec.frame)
@@ -172,15 +190,26 @@ class Coder:
         return h.reshape(len(code), int(np.prod(h.shape[1:])))
 
 
-def encode(df: DataFrame, coder: Coder, frame: str = "x") -> DataFrame:
+class AnyCoder(Protocol):
+    """What a network must offer to encode and decode rows: shapes, and two functions of whole matrices."""
+
+    frame: tuple[int, int, int]
+    inputs: int
+    code: int
+    working: int
+
+    def encode_rows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]: ...
+
+    def decode_rows(self, code: np.ndarray) -> np.ndarray: ...
+
+
+def encode(df: DataFrame, coder: AnyCoder, frame: str = "x") -> DataFrame:
     """``df`` with ``z_mu`` and ``z_sigma``; a narrow pass over Arrow batches."""
-    spec = coder.spec
-    inputs = int(np.prod(spec.frame))
-    working = inputs * max(spec.kernels) ** 2
+    inputs, width, working = coder.inputs, coder.code, coder.working
 
     def both(values: pa.Array) -> pa.Array:
         x = arrow.matrix(values, inputs)
-        mu, sigma = np.empty((len(x), spec.code)), np.empty((len(x), spec.code))
+        mu, sigma = np.empty((len(x), width)), np.empty((len(x), width))
         for part in arrow.blocks(len(x), working):
             mu[part], sigma[part] = coder.encode_rows(x[part])
         return pa.StructArray.from_arrays([arrow.lists(mu), arrow.lists(sigma)], names=["z_mu", "z_sigma"])
@@ -190,17 +219,15 @@ def encode(df: DataFrame, coder: Coder, frame: str = "x") -> DataFrame:
     return df.withColumn("__latent", latent).select(*kept, "__latent.z_mu", "__latent.z_sigma")
 
 
-def decode(df: DataFrame, coder: Coder, code: str = "z_mu", out: str = "xhat") -> DataFrame:
+def decode(df: DataFrame, coder: AnyCoder, code: str = "z_mu", out: str = "xhat") -> DataFrame:
     """``df`` with the reconstruction of the chosen code column.
 
     Warm-up and initialisation decode ``z_mu``; afterwards the drawn ``z`` is decoded.
     """
-    spec = coder.spec
-    outputs = int(np.prod(spec.frame))
-    working = outputs * max(spec.filters)
+    outputs, width, working = coder.inputs, coder.code, coder.working
 
     def reconstruct(values: pa.Array) -> pa.Array:
-        z = arrow.matrix(values, spec.code)
+        z = arrow.matrix(values, width)
         x = np.empty((len(z), outputs))
         for part in arrow.blocks(len(z), working):
             x[part] = coder.decode_rows(z[part])

@@ -9,7 +9,7 @@ from mixframe.config import TableConfig
 from mixframe.model import Mixture
 from mixframe.operators.batching import DEFAULT_BATCH, sequential_batches
 from mixframe.operators.metrics import evaluate
-from mixframe.operators.network import Coder, decode
+from mixframe.operators.network import AnyCoder, decode
 from mixframe.operators.scoring import score
 from mixframe.plans.prediction import encoded
 
@@ -17,7 +17,7 @@ from mixframe.plans.prediction import encoded
 def evaluate_rows(
     df: DataFrame,
     config: TableConfig,
-    coder: Coder,
+    coder: AnyCoder,
     model: Mixture,
     frame: tuple[int, int],
     padding: tuple[int, int] = (0, 0),
@@ -26,13 +26,16 @@ def evaluate_rows(
     decode_mean: bool = False,
     tables: dict[str, DataFrame] | None = None,
     latent_scale: float = 1.0,
+    sigmoid: bool = False,
+    logit_range: float | None = None,
 ) -> DataFrame:
     """The metrics record of declared rows.
 
     ``batches`` takes the batch-dependent metrics over batches of 512 rows in id order and averages them, else they
     are exact over the table. ``decode_mean`` decodes the mean code instead of the drawn one, as in the warm-up.
-    ``tables`` has the vectors of hashed features, ``latent_scale`` weighs the mixture loss in the reported one. The
-    scored rows are persisted, because several aggregates read them.
+    ``tables`` has the vectors of hashed features, ``latent_scale`` weighs the mixture loss in the reported one. ``sigmoid``
+    takes the decoder's output as logits of a sigmoid reconstruction, which ``logit_range`` first maps to [0, logit_range] by the range
+    of their batch. The scored rows are persisted, because several aggregates read them.
     """
     batch_col = "batch_id" if batches else None
     rows = encoded(df, config, coder, frame, padding, interp, tables).persist(StorageLevel.MEMORY_AND_DISK)
@@ -40,7 +43,7 @@ def evaluate_rows(
         rows = sequential_batches(rows, list(config.ids), DEFAULT_BATCH, batch_col)
     coded = decode(rows, coder, "z_mu" if decode_mean else "z")
     scored = score(coded, model, batch_col=batch_col).persist(StorageLevel.MEMORY_AND_DISK)
-    height, width, channels = coder.spec.frame
+    height, width, channels = coder.frame
     return evaluate(
         scored,
         model,
@@ -49,4 +52,6 @@ def evaluate_rows(
         channels=channels,
         batch_col=batch_col,
         latent_scale=latent_scale,
+        logits="xhat" if sigmoid else None,
+        logit_range=logit_range,
     )

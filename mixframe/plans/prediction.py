@@ -11,7 +11,7 @@ from mixframe.functions.hashing import reparameterize
 from mixframe.model import ModelLike
 from mixframe.operators.batching import DEFAULT_BATCH, sequential_batches
 from mixframe.operators.frames import to_cube
-from mixframe.operators.network import Coder, encode
+from mixframe.operators.network import AnyCoder, encode
 from mixframe.operators.scoring import predict
 from mixframe.sinks.predictions import declared_lengths, flatten_record, with_index, write_predictions, write_sample
 from mixframe.sources import dataset_or_fallback, densify
@@ -20,7 +20,7 @@ from mixframe.sources import dataset_or_fallback, densify
 def encoded(
     df: DataFrame,
     config: TableConfig,
-    coder: Coder,
+    coder: AnyCoder,
     frame: tuple[int, int],
     padding: tuple[int, int] = (0, 0),
     interp: tuple[int, int] | None = None,
@@ -40,7 +40,7 @@ def encoded(
 def predict_dataset(
     spark: SparkSession,
     config: TableConfig,
-    coder: Coder,
+    coder: AnyCoder,
     model: ModelLike,
     frame: tuple[int, int],
     padding: tuple[int, int] = (0, 0),
