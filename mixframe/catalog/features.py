@@ -89,11 +89,11 @@ def roles_config() -> TableConfig:
 
 
 def _roles(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The first two roles of every conversation, and the vectors of their buckets."""
+    """All roles of every conversation, and the vectors of their buckets."""
     turns = table(spark, folder, "conversations")
     said = F.array_sort(F.collect_list(F.struct("turn", "role")).alias("t"))
-    first = turns.filter("turn < 2").groupBy("conv_id").agg(said.alias("t")).select("conv_id", F.col("t.role").alias("roles"))
-    return first, {"roles": bucket_vectors(turns.select(hashing.hash_bucket("role", 50).alias("bucket")).distinct())}
+    whole = turns.groupBy("conv_id").agg(said.alias("t")).select("conv_id", F.col("t.role").alias("roles"))
+    return whole, {"roles": bucket_vectors(turns.select(hashing.hash_bucket("role", 50).alias("bucket")).distinct())}
 
 
 def _assemble_list(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +107,7 @@ def _cube_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ROLE_MEANS = f"""SELECT conv_id, d, round(avg(sin({BUCKET.format("role", 50)} + d)), 5) + 0.0 AS value
-FROM conversations CROSS JOIN (SELECT unnest(range(8)) AS d) WHERE turn < 2 GROUP BY conv_id, d"""
+FROM conversations CROSS JOIN (SELECT unnest(range(8)) AS d) GROUP BY conv_id, d"""
 
 
 def cube_config() -> TableConfig:

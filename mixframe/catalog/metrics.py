@@ -290,16 +290,17 @@ FROM b""",
         _histogram,
         f"""WITH {ELEMENTS},
 span AS (SELECT min(x) AS low, (max(x) - min(x)) / 16 AS width FROM e),
-b AS (SELECT least(greatest(floor((x - low) / width), 0), 15)::INTEGER AS bin, low, width FROM e, span)
-SELECT bin, round(any_value(low + bin * width), 6) + 0.0 AS lower, round(any_value(low + (bin + 1) * width), 6) + 0.0 AS upper,
-       count(*) AS n
-FROM b GROUP BY bin""",
+b AS (SELECT least(greatest(floor((x - low) / width), 0), 15)::INTEGER AS bin, count(*) AS n FROM e, span GROUP BY 1)
+SELECT r.bin::INTEGER AS bin, round(low + r.bin * width, 6) + 0.0 AS lower, round(low + (r.bin + 1) * width, 6) + 0.0 AS upper,
+       coalesce(n, 0)::BIGINT AS n
+FROM span CROSS JOIN range(16) AS r(bin) LEFT JOIN b ON b.bin = r.bin""",
     ),
     Query(
         "histogram_assignments",
         _assignment_histogram,
         f"""WITH {SCORED}
-SELECT a::INTEGER AS bin, a - 0.5::DOUBLE AS lower, a + 0.5::DOUBLE AS upper, count(*) AS n FROM assigned GROUP BY a""",
+SELECT r.bin::INTEGER AS bin, r.bin - 0.5::DOUBLE AS lower, r.bin + 0.5::DOUBLE AS upper, count(a)::BIGINT AS n
+FROM range(10) AS r(bin) LEFT JOIN assigned ON a = r.bin GROUP BY r.bin""",
     ),
     Query(
         "scalar_log",

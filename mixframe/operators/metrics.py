@@ -179,25 +179,28 @@ def histogram(df: DataFrame, col: str, bins: int = 30, low: float | None = None,
     """Equal-width histogram of a scalar or of all elements of an array column: bin, lower edge, upper edge, n.
 
     Without limits the range of the data is used. The last bin is closed; values outside the limits count in the
-    outermost bins; NaN and null are left out.
+    outermost bins; NaN and null are left out. Empty bins count 0; a table
+    without values has no bins unless both limits are given.
     """
     is_array = df.schema[col].dataType.typeName() == "array"
+    empty = False
     values = exploded(df, [], doubles(col), "d", "v") if is_array else df.select(F.col(col).cast("double").alias("v"))
     values = values.filter(F.col("v").isNotNull() & ~F.isnan("v"))
     if low is None or high is None:
         found = values.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
         if found["low"] is None:
-            found = {"low": 0.0, "high": 0.0}
+            found, empty = {"low": 0.0, "high": 0.0}, True
         low = found["low"] if low is None else low
         high = found["high"] if high is None else high
     width = (high - low) / bins or 1.0
     index = F.least(F.greatest(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(bins - 1))
     counted = values.groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
+    every = df.sparkSession.range(0 if empty else bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(F.broadcast(counted), "bin", "left").select(
         "bin",
         (F.lit(low) + F.col("bin") * F.lit(width)).alias("lower"),
         (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("upper"),
-        "n",
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
     )
 
 

@@ -123,6 +123,9 @@ def test_histogram_edges(spark):
     found = {r.bin: r.n for r in metrics.histogram(df, "v", 4, 0.0, 2.0).collect()}
     assert found == {0: 1, 1: 1, 2: 1, 3: 2}
     assert metrics.histogram(df.filter("v < 0"), "v").count() == 0
+    wide = metrics.histogram(df, "v", 6, -1.0, 5.0).orderBy("bin").collect()
+    assert [r.n for r in wide] == [0, 2, 1, 1, 0, 1] and [r.lower for r in wide] == [-1.0, 0.0, 1.0, 2.0, 3.0, 4.0]
+    assert [r.n for r in metrics.histogram(df.filter("v < 0"), "v", 2, 0.0, 1.0).collect()] == [0, 0]
     assert metrics.histogram(df.filter("v = 2"), "v").first().n == 1
 
 
