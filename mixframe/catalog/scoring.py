@@ -24,6 +24,7 @@ from mixframe.catalog.base import (
     scored,
 )
 from mixframe.operators import scoring
+from mixframe.operators.runs import aligned_batches
 
 BATCH = "floor(vec_id / 128)"
 
@@ -83,6 +84,14 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*LINE_IDS, "assignments", rounded(F.array_max("gamma")).alias("confidence"))
 
 
+def _lines_by_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """All line items in batches of 100 order keys, whose ranges come from a window."""
+    batched = lines(spark, folder).withColumn("batch_id", F.floor(F.col("l_orderkey") / 100).cast("bigint"))
+    aligned = aligned_batches(batched, "batch_id")
+    out = scoring.predict(batched, line_model(spark, folder), LINE_IDS, z_sigma=None, z=None, batch_col="batch_id", aligned=aligned)
+    return out.select(*LINE_IDS, "assignments", rounded(F.array_max("gamma")).alias("confidence"))
+
+
 def _line_summary(spark: SparkSession, folder: str) -> DataFrame:
     ids = ["l_returnflag"]
     rows = scoring.predict(lines(spark, folder), line_model(spark, folder), ids, z_sigma=None, z=None)
@@ -97,6 +106,8 @@ scored AS (
   SELECT row_id, {", ".join(LINE_IDS)}, l_returnflag, arg_max(k, (j, -k))::INTEGER AS assignments, max(exp(p)) / sum(exp(p)) AS confidence
   FROM p GROUP BY ALL)"""
 
+LINE_BATCH = "OVER (PARTITION BY floor(l_orderkey / 100))"
+
 QUERIES = [
     Query(
         "label_model",
@@ -154,6 +165,12 @@ FROM top JOIN assigned USING (vec_id) GROUP BY a""",
         "predict_lines",
         _lines,
         f"""WITH {LINE_SCORED}
+SELECT {", ".join(LINE_IDS)}, assignments, round(confidence, 6) + 0.0 AS confidence FROM scored""",
+    ),
+    Query(
+        "predict_lines_batches",
+        _lines_by_batch,
+        f"""WITH {LINE_JOINT}{LINE_SCORED[len(LINE_JOINT):].replace("OVER ()", LINE_BATCH)}
 SELECT {", ".join(LINE_IDS)}, assignments, round(confidence, 6) + 0.0 AS confidence FROM scored""",
     ),
     Query(

@@ -9,6 +9,7 @@ from mixframe.functions import mixture
 from mixframe.functions.vectors import elements
 from mixframe.model import ModelLike, as_mixture
 from mixframe.operators.lookup import lookup_join
+from mixframe.operators.runs import Aligned, by_batch
 
 # The series variant scales its logits to [0, 50], and its mixture loss by 0.02.
 LOGIT_RANGE = 50.0
@@ -48,16 +49,24 @@ def sigmoid_recon_loss(
     scale_to: float | None = None,
     batch_col: str | None = None,
     out: str = "recon_loss",
+    aligned: Aligned | None = None,
 ) -> DataFrame:
     """Mean sigmoid cross-entropy over all elements.
 
     With ``scale_to`` the logits are first mapped to [0, scale_to] by the range of their batch (the whole table
-    without ``batch_col``).
+    without ``batch_col``); ``aligned`` batches take it from a window.
     """
     if scale_to is None:
         return elements(df, x, logits).agg(F.avg(_cross_entropy(F.col(x), F.col(logits))).alias(out))
-    low, high = F.min(F.array_min(logits)).alias("__low"), F.max(F.array_max(logits)).alias("__high")
-    if batch_col is None:
+    least, greatest = F.min(F.array_min(logits)), F.max(F.array_max(logits))
+    low, high = least.alias("__low"), greatest.alias("__high")
+    if aligned is not None:
+        ranged = df.select(aligned.batch, x, logits).select(
+            x, logits, by_batch(least, aligned).alias("__low"), by_batch(greatest, aligned).alias("__high")
+        )
+        long = elements(ranged, x, logits, keep=("__low", "__high"))
+        lo, hi = F.col("__low"), F.col("__high")
+    elif batch_col is None:
         long = elements(df, x, logits).withColumn("__span", df.select(F.struct(low, high)).scalar())
         lo, hi = F.col("__span.__low"), F.col("__span.__high")
     else:

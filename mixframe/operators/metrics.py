@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from mixframe.model import Mixture, ModelLike, as_mixture
 from mixframe.operators.batching import global_rank
 from mixframe.operators.lookup import lookup_join
 from mixframe.operators.losses import sigmoid_recon_loss
+from mixframe.operators.runs import Aligned, by_batch
 
 # Rows of the small per-batch table that one task accumulates.
 PREFIX_CHUNK = 100_000
@@ -75,21 +77,25 @@ def simplified_silhouette(
     z_mu: str = "z_mu",
     label: str = "assignments",
     out: str = "silhouette",
+    aligned: Aligned | None = None,
 ) -> DataFrame:
     """Mean of (b - a) / max(a, b) with a = distance to the own model centre.
 
     ``per_sample``: b is the row's nearest other centre. ``batch_min``: b is one number for the batch, the smallest
-    positive distance of any of its rows to a centre other than its own. Null for a single centre.
+    positive distance of any of its rows to a centre other than its own. Null for a single centre. ``aligned`` batches
+    take it from a window over two numbers a row.
     """
     if mode not in ("per_sample", "batch_min"):
         raise ValueError(f"unknown silhouette mode {mode!r}")
-    batch = [batch_col] if batch_col else []
+    batch = [aligned.batch] if aligned else [batch_col] if batch_col else []
     quality = mixture.own_and_near(z_mu, label, as_mixture(model), positive_only=mode == "batch_min")
     own, near = F.col("__q.own").alias("__own"), F.col("__q.near").alias("__near")
     rows = df.select(*batch, quality.alias("__q")).select(*batch, own, near)
     if mode == "batch_min":
         least = F.min("__near").alias("__near")
-        if batch_col is None:
+        if aligned is not None:
+            rows = rows.select("__own", by_batch(F.min("__near"), aligned).alias("__near"))
+        elif batch_col is None:
             rows = rows.select("__own", rows.select(least).scalar().alias("__near"))
         else:
             rows = lookup_join(rows.drop("__near"), rows.groupBy(batch_col).agg(least), batch_col, row_bytes=32)
@@ -141,7 +147,8 @@ def calinski_harabasz(
         return _dispersions(df, z, label, []).select(_ratio(F.col("__between"), F.col("__within")).alias(out))
     if mode != "running" or batch_col is None:
         raise ValueError("mode is exact, or running with a batch column")
-    batches = _dispersions(df, z, label, [batch_col])
+    # one row for each batch: kept, because the ids' range, the totals and the rows all read it
+    batches = _dispersions(df, z, label, [batch_col]).persist(StorageLevel.MEMORY_AND_DISK)
     running = running_mean(batches, batch_col, {"__between": "__mb", "__within": "__mw"})
     return running.agg(F.avg(_ratio(F.col("__mb"), F.col("__mw"))).alias(out))
 
@@ -217,6 +224,7 @@ def evaluate(
     latent_scale: float = 1.0,
     logits: str | None = None,
     logit_range: float | None = None,
+    aligned: Aligned | None = None,
 ) -> DataFrame:
     """All metrics of a scored table in one record; with ``z_sigma`` also the reported loss.
 
@@ -225,10 +233,12 @@ def evaluate(
     first maps to [0, logit_range] by the range of their batch.
 
     ``df`` has assignments and, for the loss, gamma. The row-wise metrics share one scan, the dispersions take another.
-    With ``batch_col`` the batch-dependent metrics are taken batch by batch. ``df`` is read once more for each scalar
+    With ``batch_col`` the batch-dependent metrics are taken batch by batch, for ``aligned`` batches
+    by windows instead of joins. ``df`` is read once more for each scalar
     subquery, so persist it when scoring it is dear.
     """
     m = as_mixture(model)
+    batch_col = aligned.batch if aligned else batch_col
     rows = df.select(
         F.size(x).alias("n"),
         mixture.error_sums(x, xhat).alias("e"),
@@ -247,10 +257,10 @@ def evaluate(
         record.append((recon + F.avg("latent") * F.lit(float(latent_scale))).alias("loss"))
     found = rows.agg(*record)
     if z_sigma is not None and logits is not None:
-        entropy = sigmoid_recon_loss(df, x, logits, logit_range, batch_col)
+        entropy = sigmoid_recon_loss(df, x, logits, logit_range, batch_col, aligned=aligned)
         found = found.withColumn("loss", F.col("loss") + entropy.scalar())
     if batch_col is not None:
-        by_batch = simplified_silhouette(df, m, "batch_min", batch_col, z_mu)
+        by_batch = simplified_silhouette(df, m, "batch_min", batch_col, z_mu, aligned=aligned)
         found = found.withColumn("simple_silhouette", by_batch.scalar())
     mode = "exact" if batch_col is None else "running"
     dispersion = calinski_harabasz(df, z_mu, mode=mode, batch_col=batch_col)

@@ -10,6 +10,7 @@ from mixframe.model import Mixture
 from mixframe.operators.batching import DEFAULT_BATCH, sequential_batches
 from mixframe.operators.metrics import evaluate
 from mixframe.operators.network import AnyCoder, decode
+from mixframe.operators.runs import Aligned
 from mixframe.operators.scoring import score
 from mixframe.plans.prediction import encoded
 
@@ -37,12 +38,13 @@ def evaluate_rows(
     takes the decoder's output as logits of a sigmoid reconstruction, which ``logit_range`` first maps to [0, logit_range] by the range
     of their batch. The scored rows are persisted, because several aggregates read them.
     """
-    batch_col = "batch_id" if batches else None
+    batch_col, aligned = ("batch_id" if batches else None), None
     rows = encoded(df, config, coder, frame, padding, interp, tables).persist(StorageLevel.MEMORY_AND_DISK)
     if batch_col:
         rows = sequential_batches(rows, list(config.ids), DEFAULT_BATCH, batch_col)
+        aligned = Aligned(batch_col)
     coded = decode(rows, coder, "z_mu" if decode_mean else "z")
-    scored = score(coded, model, batch_col=batch_col).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = score(coded, model, aligned=aligned).persist(StorageLevel.MEMORY_AND_DISK)
     height, width, channels = coder.frame
     return evaluate(
         scored,
@@ -50,7 +52,7 @@ def evaluate_rows(
         z_sigma="z_sigma",
         frame=(height, width),
         channels=channels,
-        batch_col=batch_col,
+        aligned=aligned,
         latent_scale=latent_scale,
         logits="xhat" if sigmoid else None,
         logit_range=logit_range,

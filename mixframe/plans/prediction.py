@@ -12,6 +12,7 @@ from mixframe.model import ModelLike
 from mixframe.operators.batching import DEFAULT_BATCH, sequential_batches
 from mixframe.operators.frames import to_cube
 from mixframe.operators.network import AnyCoder, encode
+from mixframe.operators.runs import Aligned
 from mixframe.operators.scoring import predict
 from mixframe.sinks.predictions import declared_lengths, flatten_record, with_index, write_predictions, write_sample
 from mixframe.sources import dataset_or_fallback, densify
@@ -61,7 +62,7 @@ def predict_dataset(
     if not batches:
         return predict(codes, model, list(config.ids))
     batched = sequential_batches(codes, list(config.ids), DEFAULT_BATCH, "batch_id")
-    return predict(batched, model, list(config.ids), batch_col="batch_id")
+    return predict(batched, model, list(config.ids), aligned=Aligned("batch_id"))
 
 
 def write_run(
