@@ -18,7 +18,7 @@ from mixframe.catalog.base import (
     table,
 )
 from mixframe.model import Mixture, vector_literal
-from mixframe.operators import finetune, fitting
+from mixframe.operators import finetune, fitting, seeding
 from mixframe.operators.scoring import joint_log_prob
 from mixframe.plans.training import train_mixture
 
@@ -70,6 +70,27 @@ def _kmeans(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(spark, model).select("k", "d", "mu")
 
 
+def _bounded(spark: SparkSession, folder: str) -> DataFrame:
+    """The rounds of ``lloyd``, with bounds kept beside each row."""
+    rows = table(spark, folder, "embeddings")
+    found = seeding.lloyd_bounded(rows, "embedding", start_centres(spark, folder), ROUNDS).clustering
+    flat = _flat(spark, Mixture(np.full(CLUSTERS, 1.0 / CLUSTERS), found.centres, np.ones(found.centres.shape)))
+    return flat.select("k", "d", "mu")
+
+
+def _seeding(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates of two restarts after two passes over all embeddings, with the rows nearest to each."""
+    rows = table(spark, folder, "embeddings")
+    found, weights = seeding.candidates(rows, "vec_id", "embedding", CLUSTERS, [0, 1], passes=2)
+    flat = [
+        (r, i, int(w), v.tolist()) for r in range(2) for i, (v, w) in enumerate(zip(found[r], weights[r], strict=True))
+    ]
+    listed = spark.createDataFrame(flat, "restart int, candidate int, n bigint, v array<double>")
+    return listed.select("restart", "candidate", "n", F.posexplode("v").alias("d", "x")).select(
+        "restart", "candidate", "n", "d", rounded("x").alias("x")
+    )
+
+
 def _gmm(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(spark, _fitted(spark, folder)[1].model)
 
@@ -176,6 +197,40 @@ g{i + 1} AS (
     return ",\n".join(parts)
 
 
+def seeding_sql(passes: int) -> str:
+    """CTEs of the candidates (restart r, vec_id, turn) after each pass, and the last ones numbered with their nearest rows."""
+
+    def draw(turn: int) -> str:
+        return f"('0x' || substr(md5(vec_id || ':{turn}:' || r), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+    def cost(turn: int) -> str:
+        return f"""SELECT r, a.vec_id, c.vec_id AS other, round(sum((a.x - b.x) * (a.x - b.x)), 9) AS dist
+  FROM e a JOIN e b USING (d) JOIN c{turn} c ON c.vec_id = b.vec_id GROUP BY ALL"""
+
+    parts = [
+        "e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x FROM embeddings)",
+        f"""c0 AS (
+  SELECT r, arg_min(vec_id, ({draw(0)}, vec_id)) AS vec_id, 0 AS turn
+  FROM embeddings, (SELECT unnest([0, 1]) AS r) GROUP BY r)""",
+    ]
+    for turn in range(1, passes + 1):
+        parts.append(
+            f"""d{turn} AS (SELECT r, vec_id, min(dist) AS cost FROM ({cost(turn - 1)}) GROUP BY r, vec_id),
+c{turn} AS (
+  SELECT * FROM c{turn - 1} UNION ALL
+  SELECT r, vec_id, {turn} FROM (SELECT *, sum(cost) OVER (PARTITION BY r) AS total FROM d{turn})
+  WHERE {draw(turn)} * total < {2.0 * CLUSTERS} * cost)"""
+        )
+    parts.append(
+        f"""listed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY turn, vec_id) - 1 AS i FROM c{passes}),
+owner AS (
+  SELECT t.r, t.vec_id, min(s).i AS i
+  FROM (SELECT t.r, t.vec_id, {{'dist': dist, 'i': i}} AS s FROM ({cost(passes)}) t
+        JOIN listed l ON l.r = t.r AND l.vec_id = t.other) t GROUP BY t.r, t.vec_id)"""
+    )
+    return ",\n".join(parts)
+
+
 LLOYD = lloyd_sql()
 GMM = f"{LLOYD},\n{em_sql('c2', 'n2', 'e', 'vec_id', 64)}"
 FLAT = """SELECT k::INTEGER AS k, d::INTEGER AS d, round(w, 6) + 0.0 AS pi, round(mu, 6) + 0.0 AS mu,
@@ -228,6 +283,19 @@ QUERIES = [
         _lloyd,
         f"""WITH {LLOYD}, sizes AS (SELECT k, count(*) AS n FROM n2 GROUP BY k)
 SELECT k::INTEGER AS k, n, d::INTEGER AS d, round(mu, 6) + 0.0 AS mu FROM c2 JOIN sizes USING (k)""",
+    ),
+    Query(
+        "lloyd_bounded",
+        _bounded,
+        f"WITH {LLOYD}\nSELECT k::INTEGER AS k, d::INTEGER AS d, round(mu, 6) + 0.0 AS mu FROM c2",
+    ),
+    Query(
+        "kmeans_seeding",
+        _seeding,
+        f"""WITH {seeding_sql(2)}
+SELECT l.r::INTEGER AS restart, l.i::INTEGER AS candidate, coalesce(o.n, 0)::BIGINT AS n, e.d::INTEGER AS d, round(e.x, 6) + 0.0 AS x
+FROM listed l JOIN e USING (vec_id)
+LEFT JOIN (SELECT r, i, count(*) AS n FROM owner GROUP BY r, i) o ON o.r = l.r AND o.i = l.i""",
     ),
     Query("kmeans", _kmeans),
     Query("diag_gmm", _gmm, f"WITH {GMM}\n{FLAT} FROM g2"),
