@@ -24,7 +24,7 @@ from mixframe.catalog.base import (
     table,
 )
 from mixframe.catalog.losses import CROSS, TERMS, scaled_sql
-from mixframe.operators import metrics
+from mixframe.operators import histograms, metrics
 from mixframe.operators.losses import LOGIT_RANGE, SERIES_LATENT_SCALE
 from mixframe.sinks.predictions import scalar_rows
 
@@ -112,6 +112,12 @@ def _histogram(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("bin", rounded("lower").alias("lower"), rounded("upper").alias("upper"), "n")
 
 
+def _histograms(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes, responsibilities, log-variances and the model's arrays, in one pass."""
+    rows, model = scored(spark, folder)
+    return histograms.histograms(rows, ["z_mu", "z_sigma", "p"], model).select("name", "bin", "lower", "upper", "n")
+
+
 def _assignment_histogram(spark: SparkSession, folder: str) -> DataFrame:
     rows, _ = scored(spark, folder)
     return metrics.histogram(rows, "assignments", 10, -0.5, 9.5)
@@ -181,6 +187,20 @@ def _with_quality(terms: str) -> str:
     return terms + QUALITY[len(SCORED) :]
 
 
+# sign, power of two and quarter of the octave; numbers below 2 ** -40 count as zero
+STEP_BINS = """bins AS (
+  SELECT name, CASE WHEN v = 0 OR abs(v) < pow(2, -40) THEN 0
+    ELSE sign(v) * ((floor(log2(abs(v))) + 40) * 4 + floor((abs(v) / pow(2, floor(log2(abs(v)))) - 1) * 4) + 1) END::INTEGER AS bin
+  FROM tensors WHERE v IS NOT NULL AND NOT isnan(v)),
+used AS (SELECT name, min(bin) AS low, max(bin) AS high FROM bins GROUP BY name),
+every AS (SELECT name, unnest(range(low, high + 1))::INTEGER AS bin FROM used),
+ends AS (
+  SELECT name, bin, pow(2, (abs(bin) - 1) // 4 - 40) * (1 + (abs(bin) - 1) % 4 / 4) AS near, pow(2, abs(bin) // 4 - 40) * (1 + abs(bin) % 4 / 4) AS far
+  FROM every)
+SELECT name, bin, CASE WHEN bin = 0 THEN -pow(2, -40) WHEN bin < 0 THEN -far ELSE near END AS lower,
+       CASE WHEN bin = 0 THEN pow(2, -40) WHEN bin < 0 THEN -near ELSE far END AS upper,
+       (SELECT count(*) FROM bins b WHERE b.name = ends.name AND b.bin = ends.bin) AS n FROM ends"""
+
 QUERIES = [
     Query(
         "mean_absolute_error",
@@ -227,6 +247,15 @@ FROM e JOIN model USING (d) GROUP BY vec_id, k""",
         _silhouette("batch_min", "batch_id"),
         f"WITH {QUALITY}\nSELECT round(s, 6) + 0.0 AS silhouette FROM sil_batch",
     ),
+    Query(
+        "histograms",
+        _histograms,
+        f"""WITH {SCORED},
+tensors AS (
+  SELECT 'z_mu' AS name, x AS v FROM e UNION ALL SELECT 'z_sigma', ln(0.01 + x * x) FROM e UNION ALL SELECT 'p', p FROM p
+  UNION ALL SELECT 'pi', any_value(w) FROM model GROUP BY k UNION ALL SELECT 'mu', mu FROM model UNION ALL SELECT 'var', var FROM model),
+{STEP_BINS}""",
+    ),
     Query("calinski_harabasz", _calinski("exact", None), f"WITH {QUALITY}\n" + CH.format(e=CH_EXACT, t="ch")),
     Query(
         "calinski_harabasz_running",
