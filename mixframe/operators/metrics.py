@@ -102,6 +102,14 @@ def simplified_silhouette(
     return rows.agg(F.avg(_silhouette(F.col("__own"), F.col("__near"))).alias(out))
 
 
+def silhouette_sums(df: DataFrame, model: ModelLike, z_mu: str = "z_mu", label: str = "assignments") -> DataFrame:
+    """Sum and number of the ``batch_min`` silhouettes of one batch."""
+    quality = mixture.own_and_near(z_mu, label, as_mixture(model), positive_only=True)
+    rows = df.select(quality.alias("__q")).select("__q.own", "__q.near")
+    value = _silhouette(F.col("own"), rows.select(F.min("near")).scalar())
+    return rows.select(value.alias("v")).agg(F.sum("v").alias("silhouette"), F.count("v").alias("silhouettes"))
+
+
 def _dispersions(df: DataFrame, z: str, label: str, batch: list[str]) -> DataFrame:
     """For each batch: rows, labels present, between-cluster and within-cluster dispersion.
 
@@ -124,8 +132,18 @@ def _dispersions(df: DataFrame, z: str, label: str, batch: list[str]) -> DataFra
     )
 
 
+def batch_dispersions(df: DataFrame, z: str = "z_mu", label: str = "assignments") -> DataFrame:
+    """Rows, labels present, and between- and within-cluster dispersion of one batch."""
+    found = _dispersions(df, z, label, [])
+    return found.select(*[F.col(f"__{c}").alias(c) for c in ("rows", "labels", "between", "within")])
+
+
 def _ratio(between: Column, within: Column) -> Column:
-    n, k = F.col("__rows"), F.col("__labels")
+    return dispersion_ratio(F.col("__rows"), F.col("__labels"), between, within)
+
+
+def dispersion_ratio(n: Column, k: Column, between: Column, within: Column) -> Column:
+    """B (n - k) / (W (k - 1)); one where the denominator is zero."""
     denominator = within * (k - 1)
     return F.when(denominator == 0, F.lit(1.0)).otherwise(between * (n - k) / F.nullif(denominator, F.lit(0.0)))
 
