@@ -20,6 +20,7 @@ from mixframe.catalog.base import (
     rounded,
     table,
 )
+from mixframe.catalog.metrics import CH_EXACT, QUALITY
 from mixframe.catalog.scoring import LINE_SCORED
 from mixframe.catalog.tables import column, events_config
 from mixframe.config import TableConfig
@@ -30,7 +31,7 @@ from mixframe.operators.network import encode
 from mixframe.plans.latent import read_latent, train_latent
 from mixframe.plans.training import start_model
 from mixframe.session import scratch_path
-from mixframe.sinks import predictions
+from mixframe.sinks import addressed, predictions
 from mixframe.streaming import jobs
 
 RECORD = "vec_id bigint, z_mu array<double>, gamma array<double>, assignments int"
@@ -87,6 +88,16 @@ def _lines_written(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _addressed(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders in files of 1,000, read back with the position of the file that each lies in."""
+    path = scratch_path(spark, "orders-by-position")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    addressed.write_addressed(orders, path, ["o_orderkey"], "json", rows_per_file=1000)
+    back = spark.read.schema("o_orderkey bigint, o_custkey bigint, o_orderpriority string, file_number bigint").json(path)
+    files = addressed.manifest(spark, path)
+    return back.join(F.broadcast(files), "file_number").select("o_orderkey", "o_custkey", "o_orderpriority", "first", "last")
+
+
 def _sample(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "sample")
     predictions.write_sample(_predictions(spark, folder), path, ["vec_id"], 10)
@@ -139,19 +150,21 @@ def _metrics_stream(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(*[rounded(c).alias(c) for c in found.columns])
 
 
+def _cluster_stream(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "stream-clusters")
+    state = scratch_path(spark, "stream-state")
+    jobs.cluster_metrics_stream(_stream(spark, folder), label_model(spark, folder), out, state).awaitTermination()
+    found = jobs.running_cluster_metrics(spark, out)
+    return found.select("rows", *[rounded(c).alias(c) for c in ("simple_silhouette", "calinski_harabasz")])
+
+
 def _init_stream(spark: SparkSession, folder: str) -> DataFrame:
-    model = scratch_path(spark, "stream-model")
+    model, pool = scratch_path(spark, "stream-model"), scratch_path(spark, "stream-pool")
     query = jobs.init_stream(
-        _stream(spark, folder),
-        scratch_path(spark, "stream-pool"),
-        model,
-        scratch_path(spark, "stream-state"),
-        init_steps=1,
-        k=4,
-        start=start_model(4, 64),
+        _stream(spark, folder), pool, model, scratch_path(spark, "stream-state"), init_steps=1, k=4, start=start_model(4, 64)
     )
-    query.awaitTermination()
-    return spark.read.parquet(model).select("k", "pi", F.size("mu").alias("dim"))
+    fitted = jobs.await_model(query, spark, pool, model, 1).to_table(spark)
+    return fitted.select("k", "pi", F.size("mu").alias("dim"))
 
 
 def _scorer(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,6 +234,12 @@ FROM orders""",
         _lines_written,
         f"""WITH {LINE_SCORED}
 SELECT assignments, count(*) AS n, round(avg(confidence), 6) + 0.0 AS mean_confidence FROM scored GROUP BY 1""",
+    ),
+    Query(
+        "write_addressed",
+        _addressed,
+        """WITH p AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, o_custkey, o_orderpriority, (i // 1000) * 1000 AS first, least((i // 1000 + 1) * 1000, n) - 1 AS last FROM p""",
     ),
     Query("write_sample", _sample, f"{TOP} ORDER BY vec_id LIMIT 10"),
     Query("write_metrics", _metrics, RECON),
@@ -231,6 +250,13 @@ SELECT assignments, count(*) AS n, round(avg(confidence), 6) + 0.0 AS mean_confi
     ),
     Query("score_stream", _score_stream, TOP),
     Query("metrics_stream", _metrics_stream, RECON),
+    Query(
+        "cluster_metrics_stream",
+        _cluster_stream,
+        f"""WITH {QUALITY}
+SELECT n AS rows, round((SELECT s FROM sil_whole), 6) + 0.0 AS simple_silhouette, round({CH_EXACT}, 6) + 0.0 AS calinski_harabasz
+FROM ch""",
+    ),
     Query("init_stream", _init_stream),
     Query(
         "custom_scorer",

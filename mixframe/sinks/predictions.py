@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,12 @@ def _text_arrays(df: DataFrame) -> DataFrame:
     )
 
 
+def checked_format(fmt: str) -> str:
+    if fmt.lower() not in FORMATS:
+        raise ValueError(f"unsupported prediction format {fmt!r}")
+    return fmt.lower()
+
+
 def write_predictions(
     df: DataFrame,
     path: str,
@@ -71,23 +77,28 @@ def write_predictions(
     line in a single text column. Rows of fewer source files than files to write are dealt out first, because encoding
     and compressing cost more than the shuffle; rows come in no particular order.
     """
-    fmt = fmt.lower()
-    if fmt not in FORMATS:
-        raise ValueError(f"unsupported prediction format {fmt!r}")
+    fmt = checked_format(fmt)
     files = math.ceil(df.count() / rows_per_file)
     if files > max(1, len(df.inputFiles())):
         df = df.repartition(files)
 
-    def to(frame: DataFrame):
-        writer = frame.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
-        return writer.option("compression", compression)
+    save(df, path, fmt, mode, {"maxRecordsPerFile": rows_per_file, "compression": compression})
+
+
+def save(df: DataFrame, path: str, fmt: str, mode: str, options: dict[str, object], by: str | None = None) -> None:
+    """``df`` as files of one of ``FORMATS``, in a folder for each value of ``by``."""
+
+    def to(frame: DataFrame) -> DataFrameWriter:
+        writer = frame.write.mode(mode).options(**options)
+        return writer.partitionBy(by) if by else writer
 
     if fmt == "json":
         to(df).option("ignoreNullFields", False).json(path)
     elif fmt == "csv":
         to(_text_arrays(df)).option("header", True).option("escape", '"').csv(path)
     else:
-        to(df.select(F.to_json(F.struct("*")).alias("value"))).text(path)
+        record = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != by])).alias("value")
+        to(df.select(record, *([by] if by else []))).text(path)
 
 
 def sample(df: DataFrame, ids: list[str], n: int = 10) -> DataFrame:
