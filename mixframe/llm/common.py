@@ -30,6 +30,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or where a column has it already (in any case), ``name`` with as many underscores after it as it takes."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept(keep: list[str]) -> list[Column]:
+    """Columns to keep, under names that no operator uses; ``answer`` names them back."""
+    return [quoted(c).alias(f"__k{i}") for i, c in enumerate(keep)]
+
+
+def answer(rows: DataFrame, keep: list[str], results: dict[str, Column]) -> DataFrame:
+    """The kept columns under their own names, then the results, under ``free_name`` where a kept column has the name."""
+    own = [F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)]
+    return rows.select(*own, *[column.alias(free_name(name, keep)) for name, column in results.items()])
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its counted rows of ``row_bytes`` bytes fit; otherwise as it is, for a shuffle join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import release
+from mixframe.llm.common import free_name, quoted, release
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
@@ -208,13 +208,14 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """``docs`` with an array ``out`` of the benchmark items that ``text`` holds: item_id, score, start, end, places.
 
     start and end are word positions of the best alignment, end exclusive. No document is moved; a block of the
-    benchmark costs one pass over the texts.
+    benchmark costs one pass over the texts. Where ``docs`` has a column of the name ``out``, an underscore comes after it.
     """
     id_type = benchmark.schema["item_id"].dataType.simpleString()
     parts, columns = [], docs.columns
+    out = free_name(out, columns)
     for number, block in enumerate(_blocks(benchmark, block_chars)):
         chosen = choose_seeds(block)
         docs = docs.withColumn(f"__block{number}", _searcher(chosen, threshold)(F.col("text")))
         parts.append(_named(F.col(f"__block{number}"), F.array(*[F.lit(i).cast(id_type) for i in chosen.ids])))
     none = F.array().cast(f"array<struct<item_id:{id_type},score:double,start:int,end:int,places:int>>")
-    return docs.select(*[F.col(f"`{c}`") for c in columns], (reduce(lambda a, b: F.concat(a, b), parts) if parts else none).alias(out))
+    return docs.select(*[quoted(c) for c in columns], (reduce(lambda a, b: F.concat(a, b), parts) if parts else none).alias(out))

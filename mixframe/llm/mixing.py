@@ -9,7 +9,7 @@ and the words taken come close to the target. Numbers are fixed point with 32 bi
 Defined results: a null text has size 0; a document of size 0 is sampled like any other and adds nothing. A source of
 size 0 has target 0 and no copies. Rows that agree in source, size, id and text are told apart by their place only, so it
 does not matter which of them is copied. An empty table gives no row. Columns may have any names but the helper's, which
-begin with two underscores.
+begin with two underscores; a result whose name a kept column has gets an underscore after it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import chunks, ordered, small, stored
+from mixframe.llm.common import answer, chunks, free_name, kept, ordered, quoted, small, stored
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -95,7 +95,7 @@ def mix(
         words_of(F.col("text")).alias("__size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__tie"),
         F.xxhash64("doc_id", "text").alias("__text"),
-        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)],
+        *kept(keep),
     )
     table = targets(sized.select("__source", "__size"), weights, max_copies)
     order = [F.col("__source").asc_nulls_last(), F.col("__size"), F.col("__tie"), F.col("__text")]
@@ -108,20 +108,16 @@ def mix(
     offsets = stored(chunks(placed, "__key").join(plan, "__key"), "offsets")
     located = placed.join(small(offsets, OFFSET_BYTES), ["__part", "__key"])
     copies = copies_at(F.col("__place") - F.col("__first") + F.col("__before"), F.col("__share"), F.col("__offset"))
-    return located.select(
-        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
-        F.col("__size").alias("size"),
-        "source_size",
-        "target",
-        copies.alias("copies"),
-        (copies * F.col("__size")).alias("taken"),
-    )
+    size = F.col("__size")
+    found = {"size": size, "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": copies * size}
+    return answer(located, keep, found)
 
 
 def repeated(mixed: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of a mix, every row as often as its ``copies``."""
-    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("__copy")
-    return mixed.where("copies > 0").select(*keep, times).drop("__copy")
+    """The ``keep`` columns that ``mix`` was given, every row as often as its copies."""
+    copies = F.col(free_name("copies", keep))
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("__copy")
+    return mixed.where(copies > 0).select(*[quoted(c) for c in keep], times).drop("__copy")
 
 
 def oracle(seed: int = SEED) -> str:

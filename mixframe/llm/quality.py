@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import small, stored
+from mixframe.llm.common import answer, kept, small, stored
 
 ORDER = 4
 #: Bytes put before a text, so that its first bytes have a context; it does not occur in UTF-8.
@@ -409,18 +409,17 @@ def classify(docs: DataFrame, trusted: DataFrame, held_out: Column, keep: list[s
 
     ``docs`` has doc_id, text and lang; ``trusted`` has the distinct doc_id of texts to trust; ``held_out`` is a condition
     on doc_id that keeps trusted rows for the thresholds. Texts are read where they are, twice, and never shuffled, but
-    for a list of trusted ids that is too large to broadcast.
+    for a list of trusted ids that is too large to broadcast. A result whose name a kept column has gets an underscore after it.
     """
     ids = small(trusted.select(F.col("doc_id").alias("__trusted")).where("__trusted IS NOT NULL").distinct(), 16)
     texts = docs.join(ids, F.col("doc_id") == F.col("__trusted"), "left_semi")
     models = train(texts.where(~held_out).select("text"))
-    kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
     key = F.xxhash64("doc_id", "text").alias("key")
     scores = stored(log_perplexity(docs.select(key, "text"), models, shard_rows), "scores")
     scores = scores.withColumn("log_perplexity", -F.col("logp") / F.col("bytes"))
     lang = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("")).alias("lang")  # null is a language
     length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
-    rows = stored(docs.select(*kept, F.col("doc_id").alias("__id"), held_out.alias("__held"), lang, key, length), "rows")
+    rows = stored(docs.select(*kept(keep), F.col("doc_id").alias("__id"), held_out.alias("__held"), lang, key, length), "rows")
     rows = rows.join(scores, "key", "left")
     held = rows.where("__held").join(ids, F.col("__id") == F.col("__trusted"), "left_semi").where("log_perplexity IS NOT NULL")
     held = stored(held.select("lang", "log_perplexity"), "held")
@@ -430,10 +429,6 @@ def classify(docs: DataFrame, trusted: DataFrame, held_out: Column, keep: list[s
     judged = rows.join(small(stored(by_lang, "thresholds"), 64), "lang", "left")
     judged = judged.withColumn("threshold", F.coalesce("threshold", common))
     under = F.col("threshold").isNull() | (F.ceil(F.col("log_perplexity") / BIN) * BIN <= F.col("threshold"))
-    return judged.select(
-        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
-        "n_bytes",
-        F.exp("log_perplexity").alias("perplexity"),
-        F.exp("threshold").alias("threshold"),
-        (F.col("log_perplexity").isNotNull() & under).alias("passes"),
-    )
+    passes = F.col("log_perplexity").isNotNull() & under
+    results = {"n_bytes": F.col("n_bytes"), "perplexity": F.exp("log_perplexity"), "threshold": F.exp("threshold"), "passes": passes}
+    return answer(judged, keep, results)

@@ -19,6 +19,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixframe.llm.common import answer, kept
+
 SCANS = "array<struct<kind:string,version:int,spans:array<struct<start:bigint,end:bigint>>>>"
 #: A row for each blob and run that scanned it, with the pairs of that run; nested, a blob's address is moved once.
 LEDGER = f"blob string, scans {SCANS}"
@@ -116,14 +118,17 @@ def scan_new(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES)
 
 
 def findings(docs: DataFrame, ledger_path: str, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``blob`` and, for each rule, its spans in a column named after its kind."""
+    """``keep`` columns of ``docs`` with ``blob`` and, for each rule, its spans in a column named after its kind.
+
+    A result whose name a kept column has gets an underscore after it.
+    """
     ledger = read_ledger(docs.sparkSession, ledger_path)
     whole = ledger.groupBy("blob").agg(F.flatten(F.collect_list("scans")).alias("scans"))
     by_blob = whole.select("blob", *[F.get(_scan_of(r), F.lit(0))["spans"].alias(r.kind) for r in rules])
-    paths = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], blobs(docs).alias("blob"))
+    paths = docs.select(*kept(keep), blobs(docs).alias("blob"))
     # rows of one blob may be a third of the table: the adaptive skew join splits them
     joined = paths.join(by_blob, "blob", "left")
-    return joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "blob", *[r.kind for r in rules])
+    return answer(joined, keep, {c: F.col(c) for c in ("blob", *[r.kind for r in rules])})
 
 
 def span_list(kinds: list[str]) -> Column:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import components, forest, release, stored
+from mixframe.llm.common import answer, components, forest, kept, release, stored
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -186,10 +186,9 @@ def near_duplicates(docs: DataFrame, keep: list[str], budget: int = MAX_BITS, wo
     """``keep`` columns of ``docs``, ``fp`` (the fingerprint as a long), ``root`` (a fingerprint that names the component)
     and ``component_id`` (its smallest doc_id, which components of a repeated id may share).
 
-    ``docs`` has doc_id and text. Texts are read once; all joins are on fingerprints, equal ones combined.
+    A result whose name a kept column has gets an underscore after it. ``docs`` has doc_id and text. Texts are read once; all joins are on fingerprints, equal ones combined.
     """
-    kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
-    slim = with_fingerprint(docs, "__fp", words).select(*kept, F.col("doc_id").alias("__id"), F.col("__fp").alias("fp"))
+    slim = with_fingerprint(docs, "__fp", words).select(*kept(keep), F.col("doc_id").alias("__id"), F.col("__fp").alias("fp"))
     slim = stored(slim, "fingerprints")
     prints = stored(slim.groupBy("fp").agg(F.min("__id").alias("first")), "prints")
     groups = components(trie_links(prints.select("fp"), budget))
@@ -197,7 +196,7 @@ def near_duplicates(docs: DataFrame, keep: list[str], budget: int = MAX_BITS, wo
     member = member.withColumn("root", F.coalesce("root", "fp"))
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = member.join(smallest, "root").select("fp", "root", "component_id")
-    return slim.join(named, "fp").select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "fp", "root", "component_id")
+    return answer(slim.join(named, "fp"), keep, {c: F.col(c) for c in ("fp", "root", "component_id")})
 
 
 def hex_print(fp: str) -> F.Column:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixframe.llm.common import BROADCAST_BYTES
+from mixframe.llm.common import BROADCAST_BYTES, answer, kept
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 4  # a block is four words of 63 bits
@@ -95,12 +95,13 @@ def judge(urls: DataFrame, listed: DataFrame, rules: list[Rule], keep: list[str]
 
     ``urls`` has ``url``; ``listed`` has the blocked URLs as ``canonical``. The filter is broadcast if its counted size
     allows it, else its blocks, which hash evenly, are joined by shuffle. Only possible hits are joined with the list;
-    a URL that many rows share is split there by the adaptive skew join.
+    a URL that many rows share is split there by the adaptive skew join. A result whose name a kept column has gets an
+    underscore after it.
     """
     listed = listed.select("canonical").where(F.length("canonical") > 0).distinct()
     blocks_table, blocks = bloom_filter(listed)
     part = parts_of(F.col("url"))
-    rows = urls.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], *[c.alias(n) for n, c in part.items()])
+    rows = urls.select(*kept(keep), *[c.alias(n) for n, c in part.items()])
     name, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"canonical": canonical(F.col("host"), F.col("path"), F.col("query")), "rule": name, "__rule": verdict})
     block, words = _bits(F.col("canonical"), blocks)
@@ -117,6 +118,6 @@ def judge(urls: DataFrame, listed: DataFrame, rules: list[Rule], keep: list[str]
     out = found.select(*rows.columns, "possible", "listed").unionAll(
         probed.where(~F.col("possible")).select(*rows.columns, "possible", F.lit(False).alias("listed"))
     )
-    judged = F.coalesce("__rule", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")
-    kept = [F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)]
-    return out.select(*kept, "host", "path", "canonical", "rule", "possible", "listed", judged)
+    judged = F.coalesce("__rule", F.when(F.col("listed"), "block").otherwise("allow"))
+    results = {c: F.col(c) for c in ("host", "path", "canonical", "rule", "possible", "listed")}
+    return answer(out, keep, {**results, "verdict": judged})
