@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixframe.llm import catalog, decontaminate, language, mixing, simhash, tokens
-from mixframe.llm.common import stored
+from mixframe.llm.common import quoted, stored
 from mixframe.session import scratch_path
 
 
@@ -42,7 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     _session(spark)
     model = language.fit(language.training_rows(docs))
-    return language.predict(docs, model, "__language").where(~F.col("__language.rejected")).select(*docs.columns)
+    return language.predict(docs, model, "__language").where(~F.col("__language.rejected")).select(*[quoted(c) for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = catalog.table(_session(spark), sf_dir, "benchmark")
-    return decontaminate.with_matches(docs, benchmark, out="__leaks").where(F.size("__leaks") == 0).select(*docs.columns)
+    return decontaminate.with_matches(docs, benchmark, out="__leaks").where(F.size("__leaks") == 0).select(*[quoted(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
