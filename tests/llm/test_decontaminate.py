@@ -51,12 +51,12 @@ def plain(rows, bench):
     return out
 
 
-@pytest.mark.parametrize("block_chars", [d.BLOCK_CHARS, 200])
-def test_matches_plain_alignment(spark, block_chars):
+@pytest.mark.parametrize("bits", [d.FILTER_BITS, 64])
+def test_matches_plain_alignment(spark, bits):
     rows = docs()
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, item_id int, leaks string").repartition(4)
     bench = spark.createDataFrame([(*b, 2) for b in BENCH], "item_id bigint, text string, score int")
-    found = d.with_matches(table.drop("leaks"), bench, block_chars=block_chars)
+    found = d.with_matches(table.drop("leaks"), bench, filter_bits=bits)
     got = {(r.doc_id, m.item_id): m.score for r in found.collect() for m in r.leaks}
     small = [(i, t) for i, t in rows if t is None or len(t) < 3000]
     want = plain(small, BENCH)
@@ -65,11 +65,28 @@ def test_matches_plain_alignment(spark, block_chars):
     assert found.count() == len(rows) and found.columns == ["doc_id", "text", "item_id", "leaks"]
 
 
-def test_spans_point_at_the_copy():
-    block = d.choose_seeds(d.block_of([(1, " ".join(ITEMS[1]))]), {})
-    before = words(70, 1)
-    (hit,) = d.matches(" ".join(before + ITEMS[1] + words(9, 2)), block)
-    assert (hit["start"], hit["end"], hit["score"]) == (70, 70 + len(ITEMS[1]), 1.0)
+def test_spans_point_at_the_copy(spark):
+    text = " ".join(words(70, 1) + ITEMS[1] + words(9, 2))
+    bench = spark.createDataFrame([(None, " ".join(ITEMS[1])), (3, " ".join(ITEMS[1]))], "item_id bigint, text string")
+    (row,) = d.with_matches(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), bench).collect()
+    assert [tuple(m) for m in row.leaks] == [(i, 1.0, 70, 70 + len(ITEMS[1]), 1) for i in (None, 3)]
+
+
+def test_rarest_of_each_stretch(spark):
+    seeds = spark.createDataFrame([(1, 1, 100 + i, i) for i in range(10)], "one bigint, two bigint, gram bigint, place int")
+    counts = spark.createDataFrame([(100 + i, n) for i, n in enumerate([9, 2, 2, 7, 5, 6, 7, 8, 90])], "gram bigint, n bigint")
+    found = {r.gram: r.rare for r in d.with_rarity(seeds, counts, 4).collect()}
+    assert found == {100 + i: i in (1, 2, 4, 8) for i in range(9)}  # the last n-gram is held by no text
+
+
+def test_frequent_ngrams_alone_make_no_pair(spark):
+    item = " ".join(ITEMS[0][:8])
+    bench = spark.createDataFrame([(5, 6, item)], "one bigint, two bigint, text string")
+    common, rare, two = " ".join(ITEMS[0][:3]), " ".join(ITEMS[0][1:4]), " ".join(ITEMS[0][4:8])
+    texts = [(i, 0, f"{common} n{i}") for i in range(5)] + [(10, 0, f"z {rare}"), (11, 0, f"y y {two}")] + [(12, 0, item)] * 3
+    docs = spark.createDataFrame(texts, "one bigint, two bigint, text string")
+    found = {r.one: sorted(r.starts) for r in d.shared_places(docs, bench, stretch=2).collect()}
+    assert found == {10: [0], 11: [-2], 12: [0]}
 
 
 def test_align_matches_plain():
