@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from mixframe.llm.common import components, forest, small, stored
 
 THRESHOLD = 0.95
-TABLES = 10
+#: Least number of tables, and the share of pairs at the threshold that may meet in none of them.
+TABLES, MISS = 10, 0.005
 BLOCK_ROWS = 512
 SEED = 11
 #: Rows that are hashed or compared at a time.
@@ -86,6 +87,21 @@ def bucket_keys(rows: np.ndarray, parts: int, tables: int = TABLES, seed: int =
     return home, second
 
 
+def tables_for(width: int, parts: int, threshold: float = THRESHOLD, seed: int = SEED, pairs: int = 1000) -> int:
+    """Tables that it takes for pairs of cosine ``threshold`` to be missed at most as often as ``MISS`` says, ``TABLES`` at least.
+
+    How often such a pair meets in one table is tried on random pairs, which rotations make alike to any others.
+    """
+    one, other = np.random.default_rng([seed, width]).normal(size=(2, pairs, max(2, width)))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (one * other).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = threshold * one + math.sqrt(max(0.0, 1 - threshold**2)) * other
+    (home, second), (home2, second2) = (bucket_keys(rows, parts, 2, seed) for rows in (one, near))
+    met = ((home == home2) | (home == second2) | (second == home2)).mean()
+    return TABLES if met >= 1 else max(TABLES, math.ceil(math.log(MISS) / math.log1p(-max(met, 1 / pairs))))
+
+
 def _rows(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indexes and double matrix of the vectors of each length."""
     lengths = np.diff(column.offsets.to_numpy())
@@ -215,7 +231,7 @@ def linked_vectors(
     id_col: str = "vec_id",
     vector: str = "embedding",
     threshold: float = THRESHOLD,
-    tables: int = TABLES,
+    tables: int | None = None,
     block_rows: int = BLOCK_ROWS,
     seed: int = SEED,
 ) -> DataFrame:
@@ -232,6 +248,8 @@ def linked_vectors(
     count, width = classes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     # as many parts as it takes for unrelated vectors to be few in a bucket
     parts = max(1, round(math.log(max(2, count) / BUCKET_ROWS) / math.log(2 * (1 << max(1, (width or 1) - 1).bit_length()))))
+    # the more parts, the more tables, so that recall does not fall as the table grows
+    tables = tables or tables_for(width or 1, parts, threshold, seed)
     keys = _hasher(parts, tables, seed)("vector")
     placed = classes.withColumn("keys", keys).select("node", "copies", "vector", F.posexplode("keys").alias("k", "bucket"))
     # a second bucket equal to a home one would pair a vector with itself; pairs with others meet at home anyway

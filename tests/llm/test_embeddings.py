@@ -50,3 +50,16 @@ def test_recall_on_the_supplied_vectors_with_noise(spark, folder):
     found = embeddings.linked_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
     total = sum(r[1] for r in plain([v for _, v in rows]))
     assert 0.999 * total <= sum(r.n_links for r in found) <= total and total > 0
+
+
+def test_tables_rise_with_parts():
+    for width, parts in ((64, 1), (64, 2), (64, 4), (256, 3)):
+        tables = embeddings.tables_for(width, parts)
+        rng = np.random.default_rng(9)
+        one, other = rng.normal(size=(2, 400, width))
+        one /= np.linalg.norm(one, axis=1, keepdims=True)
+        other -= (one * other).sum(axis=1, keepdims=True) * one
+        near = 0.951 * one + np.sqrt(1 - 0.951**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+        (home, second), (home2, second2) = (embeddings.bucket_keys(x, parts, tables) for x in (one, near))
+        assert ((home == home2) | (home == second2) | (second == home2)).any(axis=1).mean() >= 0.985
+        assert (tables == embeddings.TABLES) == (parts <= 2)
