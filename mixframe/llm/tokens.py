@@ -14,7 +14,10 @@ file that the list of parts does not name.
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -24,7 +27,6 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +35,11 @@ from pyspark.sql import functions as F
 from mixframe.llm.common import once, release, spans_of, texts
 
 END_ID = 2
-#: Characters that are split into words at a time, and distinct words that a worker process remembers.
+#: Characters that are cut at a time, and distinct pieces that a worker process remembers.
 BLOCK_CHARS = 2_000_000
 CACHE_WORDS = 400_000
-#: Words of letters that are encoded at a time, and marks that are looked up apart from the word before them.
+#: Pieces of one pre-token each that are encoded at a time.
 JOINED_WORDS = 1000
-MARKS = b".,;:!?"
 PARTS = "part int, path string, rows bigint, nulls bigint, ids bigint, width int"
 LISTED = f"{PARTS}, base bigint"
 
@@ -54,111 +55,190 @@ def tokenizer(path: str) -> Any:
     return once(f"tokenizer {path}", load)
 
 
+#: What a tokenizer file must say for its texts to be cut as ``Encoder`` does.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": RUNS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+ADDED_FLAGS = ("single_word", "lstrip", "rstrip", "normalized")
+#: Kinds of bytes, and whether a text is cut between a byte of one kind and the next: what is not plain stays with its neighbours.
+SPACE, LETTER, MARK, DIGIT, OTHER = range(5)
+CUT = np.ones((5, 5), bool)
+CUT[[LETTER, MARK], [LETTER, MARK]] = CUT[OTHER, 1:] = CUT[1:, OTHER] = False
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+UPPER = LOWER != np.arange(256)
+
+
+def _is_letter(c: str) -> bool:
+    return c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha() and is_normalized("NFC", c)
+
+
+#: Whether the characters below U+0530, the Latin, Greek and Cyrillic ones, are letters that lower-case and compose to one letter.
+LETTERS = np.array([_is_letter(chr(c)) for c in range(0x530)])
+
+
 class Known(dict):
-    """Numbers of words; a word that has none gets the next and is noted in ``new``."""
+    """Numbers of pieces; a piece that has none gets the next and is noted in ``new``."""
 
     def __init__(self) -> None:
-        super().__init__({None: 0, b"": 1})  # None: the end of a document
+        super().__init__({None: 0})  # the end of a document
         self.new: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
         return number
 
 
 class Encoder:
-    """Ids of whole texts, with the ids of every distinct word looked up once.
-
-    The vocabulary's normalizer lower-cases and its pre-tokenizer never joins what a space (0x20) or line feed separates and
-    drops both, so the ids of a text are those of its pieces between them, in order, lower-cased in A-Z. A run of letters
-    is one pre-token, and so is a run of punctuation after it: a word of letters that ends in punctuation is looked up in two
-    parts, and words of letters alone are encoded many at a time, told apart by the number of their pre-token. Other words
-    are encoded one by one. Words are remembered up to ``limit``, then all are forgotten; parts of words are kept in two
-    generations, and those not met for a generation are forgotten.
+    """Ids of whole texts, with the ids of every distinct piece looked up once.
+
+    A vocabulary that lower-cases and takes runs of letters, single digits and runs of marks as pre-tokens gives a text the
+    ids of its pieces, in order, if it is cut only where pre-tokens end whatever is around: at white space, which it drops,
+    and between plain letters, ASCII digits and ASCII marks. Apostrophes (contractions), what occurs in added tokens and
+    characters that may compose with others are not cut from their neighbours. A-Z is lower-cased before pieces are told
+    apart, but not in an added token, which keeps its case, nor before a character that may compose with it.
+
+    A piece without such characters is one pre-token; many are encoded at a time, told apart by the suffix that ends a word.
+    Other pieces are encoded one by one. Of more than ``limit`` pieces the half of the limit that was met most is kept.
+    A vocabulary of any other form gets every text whole.
     """
 
     def __init__(self, path: str, end_id: int, limit: int = CACHE_WORDS) -> None:
         self.tokenizer, self.end_id, self.limit = tokenizer(path), end_id, limit
         self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
-        # ids as bytes: a hundred thousand lists of numbers would be walked by every garbage collection
-        self.parts: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self.known = Known()
-        self.ids = np.array([self.end_id], f"<u{self.width}")
-        self.lengths, self.starts = np.array([1, 0]), np.array([0, 1])
-
-    def _encode_parts(self, parts: list[bytes]) -> None:
-        """Look up what parts of words have not been met."""
-        letters, others = [], []
-        for part in parts:
-            text = part.decode()
-            # lower-casing one letter may give two characters, and composing may join two
-            plain = text.isascii() and text.isalpha() or text.lower().isalpha() and text.isalpha() and is_normalized("NFC", text)
-            (letters if plain else others).append((part, text))
-        for start in range(0, len(letters), JOINED_WORDS):
-            some = letters[start : start + JOINED_WORDS]
-            encoding = self.tokenizer.encode(" ".join(text for _, text in some), add_special_tokens=False)
-            numbers = np.array(encoding.word_ids)
-            if len(numbers) == 0 or numbers[-1] != len(some) - 1:
-                others.extend(some)
+        self.ids = np.array([end_id], f"<u{self.width}")
+        self.lengths, self.starts, self.met = np.array([1]), np.array([0]), np.array([0])
+        form = json.loads(self.tokenizer.to_str())
+        added = [token["content"] for token in form["added_tokens"]]
+        self.cuts = (
+            form["normalizer"] == NORMALIZER
+            and form["pre_tokenizer"] == PRE_TOKENIZER
+            and form["model"].get("end_of_word_suffix")
+            and not any(form["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix"))
+            and not any(token[flag] for token in form["added_tokens"] for flag in ADDED_FLAGS)
+            and not any(content.isalpha() or any(map(str.isspace, content)) for content in added)
+            and not (form["truncation"] or form["padding"])
+        )
+        if not self.cuts:
+            return
+        self.ends = np.zeros(max(form["model"]["vocab"].values(), default=0) + 1 + len(added), bool)
+        self.ends[[n for token, n in form["model"]["vocab"].items() if token.endswith(form["model"]["end_of_word_suffix"])]] = True
+        self.kinds = np.full(256, OTHER, np.uint8)
+        for kind, plain in ((LETTER, string.ascii_letters), (MARK, string.punctuation), (DIGIT, string.digits)):
+            apart = "'" + "".join(added) if kind != LETTER else ""
+            self.kinds[[ord(c) for c in plain if c not in apart]] = kind
+        self.kinds[[ord(c) for c in " \t\n\r"]] = SPACE
+        # what comes before an added token's first letter is cheap to look for
+        self.heads = {re.match(rb"[^a-z]*", a.encode().lower())[0] for a in added}
+        self.added = re.compile(b"|".join(re.escape(a.encode()) for a in added), re.IGNORECASE)
+
+    def _batch(self, some: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _learn(self, odd: np.ndarray) -> None:
+        """Ids of the new pieces, of which some are not known to be one pre-token."""
+        new = self.known.new
+        found: list[np.ndarray] = []
+        sizes = np.zeros(len(new), np.int64)
+        plain, others = np.flatnonzero(~odd), [np.flatnonzero(odd)]
+        for start in range(0, len(plain), JOINED_WORDS):
+            some = plain[start : start + JOINED_WORDS]
+            ids = np.array(self._batch([b" ".join([new[i] for i in some.tolist()]).decode()])[0], np.int64)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != len(some):
+                others.append(some)
                 continue
-            ids = np.array(encoding.ids, f"<u{self.width}").tobytes()
-            ends = (self.width * np.searchsorted(numbers, np.arange(len(some)), "right")).tolist()
-            first = 0
-            for (part, _), end in zip(some, ends, strict=True):
-                self.parts[part] = ids[first:end]
-                first = end
-        for (part, _), encoding in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(encoding.ids, f"<u{self.width}").tobytes()
-
-    def _learn(self) -> None:
-        """Ids of the new words."""
-        cut: list[tuple[bytes, bytes]] = []
-        missing: dict[bytes, None] = {}
-        for word in self.known.new:
-            core = word.rstrip(MARKS)
-            if len(core) == len(word) or not core or not (core.isalpha() or core.decode().isalpha()):
-                core, tail = word, b""
-            else:
-                tail = word[len(core) :]
-            cut.append((core, tail))
-            for part in (core, tail):
-                if part and part not in self.parts:
-                    if part in self.older:
-                        self.parts[part] = self.older[part]
-                    else:
-                        missing[part] = None
-        self._encode_parts(list(missing))
-        found = [self.parts[core] + self.parts[tail] if tail else self.parts[core] for core, tail in cut]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
-        ids = np.frombuffer(b"".join(found), f"<u{self.width}")
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.lengths = np.concatenate([self.lengths, sizes])
-        self.ids = np.concatenate([self.ids, ids])
-        self.known.new.clear()
-        if len(self.parts) > self.limit:
-            self.parts, self.older = {}, self.parts
+            sizes[some] = np.diff(ends, prepend=-1)
+            found.append(ids.astype(self.ids.dtype))
+        left = np.concatenate(others)
+        done = np.setdiff1d(plain, left, assume_unique=True)
+        single = self._batch([new[i].decode() for i in left.tolist()])
+        sizes[left] = [len(ids) for ids in single]
+        found.extend(np.array(ids, self.ids.dtype) for ids in single)
+        order = np.concatenate([done, left])  # in which the ids lie
+        starts = np.empty(len(new), np.int64)
+        starts[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, sizes])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.ids = np.concatenate([self.ids, *found])
+        new.clear()
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and the number of ids up to the end of each."""
+        size = self.lengths[which]
+        until = np.cumsum(size)
+        return self.ids[np.arange(until[-1]) + np.repeat(self.starts[which] - until + size, size)], until
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met most; what they count for halves, so that newer ones can take their place."""
+        keep = np.concatenate([[0], 1 + np.sort(np.argsort(-self.met[1:], kind="stable")[: self.limit // 2])])
+        pieces = list(self.known)
+        self.known = Known()
+        self.known.update(zip([pieces[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        self.ids, until = self._gather(keep)
+        self.lengths, self.met = self.lengths[keep], self.met[keep] // 2
+        self.starts = until - self.lengths
+
+    def _cut(self, text: bytes, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Pieces of texts that end at ``ends``, whether each has bytes of another kind, and the number of pieces up to each end."""
+        raw = np.frombuffer(text, np.uint8)
+        kinds = self.kinds[raw]
+        two = np.flatnonzero((raw >= 0xC2) & (raw < 0xD5))  # first bytes of U+0080 to U+053F
+        code = (raw[two].astype(np.int64) & 31) << 6 | raw[two + 1] & 63
+        two = two[LETTERS[np.minimum(code, len(LETTERS) - 1)] & (code < len(LETTERS))]
+        kinds[two] = kinds[two + 1] = LETTER
+        alone = np.ones(len(raw), bool)  # nothing that follows can compose with it
+        alone[:-1] = (raw[1:] < 0x80) | (kinds[1:] == LETTER)
+        lowered = np.where(alone, LOWER[raw], raw)
+        if any(head in text for head in self.heads):
+            for match in self.added.finditer(text):
+                lowered[match.start() : match.end()] = raw[match.start() : match.end()]
+        first = np.ones(len(raw) + 1, bool)
+        first[1:-1] = CUT.ravel()[kinds[:-1] * np.uint8(5) + kinds[1:]]
+        first[ends] = True
+        kept = kinds != SPACE
+        first = first[:-1]
+        counts = np.searchsorted(np.flatnonzero(first & kept), ends)
+        offsets = np.append(np.flatnonzero(first[kept]), np.count_nonzero(kept))
+        odd = np.zeros(len(offsets) - 1, bool)
+        odd[np.searchsorted(offsets, np.flatnonzero(kinds[kept] == OTHER), "right") - 1] = True
+        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(lowered[kept])]
+        return pa.Array.from_buffers(pa.large_binary(), len(odd), buffers), odd, counts
+
+    def _whole(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[*ids, self.end_id] for ids in self._batch(documents)]
+        return np.concatenate([np.array(ids, self.ids.dtype) for ids in found]), np.array([len(ids) for ids in found])
 
     def encode(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each with its end id, and the number of ids of each."""
+        if not self.cuts:
+            return self._whole(documents)
         if len(self.known) > self.limit:
-            self._reset()
-        lowered = pc.replace_substring(pc.ascii_lower(pa.array(documents, pa.large_string())), "\n", " ")
-        words = pc.split_pattern(lowered, " ")
-        said = pc.cast(words.flatten(), pa.large_binary()).dictionary_encode()
+            self._forget()
+        encoded = [document.encode() for document in documents]
+        pieces, odd, ends = self._cut(b"".join(encoded), np.cumsum([len(e) for e in encoded]))
+        said = pieces.dictionary_encode()
+        first_new = len(self.known)
         numbers = np.fromiter(map(self.known.__getitem__, said.dictionary.to_pylist()), np.int64, len(said.dictionary))
-        ends = words.offsets.to_numpy()[1:]
-        which = np.insert(numbers[said.indices.to_numpy()], ends, 0)  # the end of each document
+        indices = said.indices.to_numpy()
+        which = np.insert(numbers[indices], ends, 0)  # the end of each document
         if self.known.new:
-            self._learn()
-        size = self.lengths[which]
-        before = np.cumsum(size)
-        ids = self.ids[np.arange(before[-1]) + np.repeat(self.starts[which] - before + size, size)]
-        return ids, np.diff(before[ends + np.arange(len(ends))], prepend=0)
+            strange = np.zeros(len(numbers), bool)
+            strange[indices[odd]] = True
+            self._learn(strange[numbers >= first_new])
+        self.met += np.bincount(which, minlength=len(self.met))
+        ids, until = self._gather(which)
+        return ids, np.diff(until[ends + np.arange(len(ends))], prepend=0)
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:

@@ -47,3 +47,47 @@ def test_cache_limit():
     small, large = tokens.Encoder(path, 2, limit=3), tokens.Encoder(path, 2)
     for text in ("a b c d e f", "f g h", "a a a"):
         assert small.encode([text])[0].tolist() == large.encode([text])[0].tolist()
+
+
+def test_case_and_composition():
+    """A-Z is lower-cased by the tokenizer after added tokens are found and characters are composed."""
+    tokenizer = tokens.tokenizer(path := str(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["<|ENDOFTEXT|> <|endoftext|>A", "x<|StartOfText|>,<|startoftext|>.", "H̱a T̈ W̊. Y̊,J̌", "A,'S B'S ''S 1'S", "İ. İa"]
+    ids, lengths = tokens.Encoder(path, 2).encode(["", *texts, ""])
+    found = [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in ["", *texts, ""]]
+
+
+def test_random_texts():
+    tokenizer = tokens.tokenizer(path := str(public_tokenizers.path("word_bpe_49k.json")))
+    some = [*"abstTHKI'.,;!-=<>|*/ \n\t\r\x0b12é×ªİΣ·ж漢½", "́", "̸", "̱", "<|endoftext|>", "<|EndOfText|>", "'S", "'ll"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(some, n)) for n in rng.integers(0, 15, 3000)]
+    wanted = [e.ids + [2] for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for limit in (30, tokens.CACHE_WORDS):
+        encoder, found = tokens.Encoder(path, 2, limit), []
+        for start in range(0, len(texts), 100):
+            ids, lengths = encoder.encode(texts[start : start + 100])
+            found += [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+        assert found == wanted
+
+
+def test_pieces():
+    """Marks and digits are no part of the words that are remembered, and words that are met often stay."""
+    encoder = tokens.Encoder(str(public_tokenizers.path("word_bpe_49k.json")), 2, limit=4)
+    encoder.encode(["word, Word. (word) word### 3word12", "word word"])
+    assert set(encoder.known) == {None, b"word", b",", b".", b"(", b")", b"###", b"1", b"2", b"3"}
+    encoder.encode(["other"])
+    assert len(encoder.known) == 4 and {b"word", b"other"} < set(encoder.known)
+
+
+def test_other_vocabulary(tmp_path):
+    """A tokenizer of another form gets whole texts."""
+    import json
+
+    form = json.loads(tokens.tokenizer(str(public_tokenizers.path("word_bpe_49k.json"))).to_str())
+    form["normalizer"] = None
+    (path := tmp_path / "cased.json").write_text(json.dumps(form))
+    ids, lengths = tokens.Encoder(str(path), 2).encode(["The Word", "", "the word"])
+    wanted = [tokens.tokenizer(str(path)).encode(t, add_special_tokens=False).ids + [2] for t in ("The Word", "", "the word")]
+    assert [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])] == wanted
