@@ -78,11 +78,12 @@ UPPER = LOWER != np.arange(256)
 
 
 def _is_letter(c: str) -> bool:
+    """Whether a character is a letter that lower-cases and composes to one letter."""
     return c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha() and is_normalized("NFC", c)
 
 
-#: Whether the characters below U+0530, the Latin, Greek and Cyrillic ones, are letters that lower-case and compose to one letter.
-LETTERS = np.array([_is_letter(chr(c)) for c in range(0x530)])
+#: Whether characters of up to two bytes, among them the Latin, Greek, Cyrillic, Hebrew and Arabic ones, are such letters.
+LETTERS = np.array([_is_letter(chr(c)) for c in range(0x800)])
 
 
 class Known(dict):
@@ -193,9 +194,8 @@ class Encoder:
         """Pieces of texts that end at ``ends``, whether each has bytes of another kind, and the number of pieces up to each end."""
         raw = np.frombuffer(text, np.uint8)
         kinds = self.kinds[raw]
-        two = np.flatnonzero((raw >= 0xC2) & (raw < 0xD5))  # first bytes of U+0080 to U+053F
-        code = (raw[two].astype(np.int64) & 31) << 6 | raw[two + 1] & 63
-        two = two[LETTERS[np.minimum(code, len(LETTERS) - 1)] & (code < len(LETTERS))]
+        two = np.flatnonzero((raw >= 0xC2) & (raw < 0xE0))  # first bytes of two
+        two = two[LETTERS[(raw[two].astype(np.int64) & 31) << 6 | raw[two + 1] & 63]]
         kinds[two] = kinds[two + 1] = LETTER
         alone = np.ones(len(raw), bool)  # nothing that follows can compose with it
         alone[:-1] = (raw[1:] < 0x80) | (kinds[1:] == LETTER)
@@ -210,8 +210,7 @@ class Encoder:
         first = first[:-1]
         counts = np.searchsorted(np.flatnonzero(first & kept), ends)
         offsets = np.append(np.flatnonzero(first[kept]), np.count_nonzero(kept))
-        odd = np.zeros(len(offsets) - 1, bool)
-        odd[np.searchsorted(offsets, np.flatnonzero(kinds[kept] == OTHER), "right") - 1] = True
+        odd = np.logical_or.reduceat(kinds[kept] == OTHER, offsets[:-1])
         buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(lowered[kept])]
         return pa.Array.from_buffers(pa.large_binary(), len(odd), buffers), odd, counts
 

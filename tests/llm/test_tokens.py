@@ -91,3 +91,16 @@ def test_other_vocabulary(tmp_path):
     ids, lengths = tokens.Encoder(str(path), 2).encode(["The Word", "", "the word"])
     wanted = [tokens.tokenizer(str(path)).encode(t, add_special_tokens=False).ids + [2] for t in ("The Word", "", "the word")]
     assert [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])] == wanted
+
+
+def test_letters():
+    """Every letter that texts are cut after is one to the tokenizer, whatever letter or mark is beside it."""
+    encoder = tokens.Encoder(path := str(public_tokenizers.path("word_bpe_49k.json")), 2)
+    ids = lambda text: tokens.tokenizer(path).encode(text, add_special_tokens=False).ids
+    letters = [chr(c) for c in np.flatnonzero(tokens.LETTERS)]
+    assert {"é", "ж", "א", "ب"} < set(letters) and not {"İ", "×", "\u0301", "\u05b0"} & set(letters)
+    for c in letters:
+        assert encoder.ends[ids(f"a{c}b")].sum() == 1, c
+        assert ids(f"{c}.{c}1{c}") == [i for part in (c, ".", c, "1", c) for i in ids(part)], c
+    encoder.encode(["שלום, שלום. سلام! سلام"])
+    assert set(encoder.known) == {None, *(t.encode() for t in ("שלום", "سلام", ",", ".", "!"))}
