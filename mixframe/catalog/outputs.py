@@ -125,9 +125,12 @@ def _flatten(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Embeddings as a file stream."""
+    """Embeddings as a file stream, whether the table is one file or a folder of part files.
+
+    The path is a pattern because a stream takes a plain path for a folder, and refuses a single file.
+    """
     schema = "vec_id bigint, embedding array<float>, label int"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(folder)
+    source = spark.readStream.schema(schema).parquet(f"{folder}/embeddings.parque[t]")
     return source.select("vec_id", F.col("embedding").cast("array<double>").alias("z_mu"))
 
 
