@@ -33,3 +33,8 @@ def _both(spark, folders, name):
 def test_cluster_metrics_stream_of_part_files(spark, folders):
     one, parts = _both(spark, folders, "cluster_metrics_stream")
     assert one == parts and parts[0]["rows"] == ROWS
+
+
+def test_init_stream_of_part_files(spark, folders):
+    one, parts = _both(spark, folders, "init_stream")
+    assert [(r["k"], r["dim"]) for r in parts] == [(k, 64) for k in range(4)] == [(r["k"], r["dim"]) for r in one]
