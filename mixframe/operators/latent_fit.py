@@ -8,7 +8,7 @@ not the sequence of steps one machine would take, so losses are to be checked, n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,16 @@ from mixframe.sinks.step_log import StepLog
 
 Weights = dict[str, np.ndarray]
 MIXTURE_KEYS = ("pi", "mu", "var")
+POSITIVE_KEYS = ("pi", "var")
 
 
 @dataclass(frozen=True)
 class LatentFit:
     """Sizes, rounds of each phase, and step settings.
 
-    A step that makes a mixture weight or variance negative is an error, as in ``finetune_mixture``: nothing is clamped.
+    A step of a mixture weight or variance that would end at or below zero goes half of the way there instead. Local steps
+    grow in number with the rows of a task, and a variance of few times the rate meets such a step sooner or later; the loss
+    rises without bound towards zero, so later gradients lead away from it. All other steps are taken as they are.
     """
 
     code: int
@@ -63,11 +66,15 @@ class LatentFit:
 
 @dataclass(frozen=True, eq=False)
 class FittedLatent:
-    """Network weights, the mixture, and the mean training loss of every round."""
+    """Network weights, the mixture, the mean training loss of every round, and its number of shortened steps.
+
+    ``shortened`` counts weights and variances, over all tasks: many of them say that the rate is too high.
+    """
 
     weights: Weights
     model: Mixture
     losses: list[float]
+    shortened: list[int] = field(default_factory=list)
 
 
 def initial_weights(inputs: int, settings: LatentFit) -> Weights:
@@ -185,11 +192,22 @@ def loss_and_gradient(
     return loss, grad
 
 
+def shortened_steps(before: Weights, after: Weights) -> int:
+    """Let mixture weights and variances that stepped to zero or past it go half of the way; the number of them."""
+    found = 0
+    for key in POSITIVE_KEYS:
+        past = after[key] <= 0
+        if past.any():
+            after[key] = np.where(past, before[key] / 2.0, after[key])
+            found += int(past.sum())
+    return found
+
+
 def _round(rows: DataFrame, col: str, id_col: str, w: Weights, phase: str, factor: float, index: int, s: LatentFit) -> Weights:
-    """Weights averaged over the tasks' local steps; key ``loss`` holds the mean loss."""
+    """Weights averaged over the tasks' local steps; key ``loss`` holds the mean loss, ``shortened`` a count."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rule, count, total = dict(w), Optimizer(s.optimizer), 0, 0.0
+        own, rule, count, total, shortened = dict(w), Optimizer(s.optimizer), 0, 0.0, 0
         for batch in batches:
             x_all = arrow.matrix(batch.column(0), w["enc_w"].shape[0]) if batch.num_rows else np.empty((0, 1))
             seeds = batch.column(1).to_numpy(zero_copy_only=False)
@@ -197,31 +215,37 @@ def _round(rows: DataFrame, col: str, id_col: str, w: Weights, phase: str, facto
                 x, ids = x_all[start : start + s.batch_size], seeds[start : start + s.batch_size]
                 noisy = x + s.noise * normals(ids + 1, x.shape[1]) if s.noise else x
                 loss, grad = loss_and_gradient(noisy, x, normals(ids, s.code), own, phase, factor)
-                own |= rule.update({key: own[key] for key in grad}, grad, s.rate)
-                if phase != "gamma" and not all(np.all(own[key] > 0) for key in ("pi", "var")):
-                    raise ValueError("a step made a mixture weight or variance negative; lower the rate")
+                stepped = rule.update({key: own[key] for key in grad}, grad, s.rate)
+                if phase != "gamma":
+                    shortened += shortened_steps(own, stepped)
+                    if not all(np.all(stepped[key] > 0) for key in POSITIVE_KEYS):
+                        raise ValueError("a step made a mixture weight or variance zero or not a number; lower the rate")
+                own |= stepped
                 count, total = count + len(x), total + loss * len(x)
         if count:
             sums = {key: count * value.ravel() for key, value in own.items()}
-            yield parts_batch(sums | {"loss": np.array([total]), "rows": np.array([float(count)])})
+            counted = {"loss": total, "rows": float(count), "shortened": float(shortened)}
+            yield parts_batch(sums | {key: np.array([value]) for key, value in counted.items()})
 
     seeded = rows.select(col, row_seed(id_col, s.seed + index).alias("seed"))
     sums = added_parts(seeded.mapInArrow(local, PARTS))
     if not sums:
         raise ValueError("no rows to train on")
     n = sums.pop("rows")[0]
-    loss = sums.pop("loss")[0] / n
-    return {key: (value / n).reshape(w[key].shape) for key, value in sums.items()} | {"loss": np.array(loss)}
+    loss, shortened = sums.pop("loss")[0] / n, sums.pop("shortened")[0]
+    found = {key: (value / n).reshape(w[key].shape) for key, value in sums.items()}
+    return found | {"loss": np.array(loss), "shortened": np.array(shortened)}
 
 
 def fit_latent(df: DataFrame, col: str, id_col: str, settings: LatentFit, log: StepLog | None = None) -> FittedLatent:
     """Warm-up rounds, mixture initialisation on a pooled sample of codes, then annealed and static rounds.
 
-    ``log`` gets loss, loss weight and rate of every round, from the round's own job.
+    ``log`` gets loss, loss weight, rate and shortened steps of every round, from the round's own job.
     """
     rows = df.select(id_col, col).persist(StorageLevel.MEMORY_AND_DISK)
     weights = initial_weights(vector_width(rows, col), settings)
     losses: list[float] = []
+    shortened: list[int] = []
     model: Mixture | None = None
     for index, (phase, factor) in enumerate(settings.rounds()):
         if phase != "gamma" and model is None:
@@ -229,15 +253,16 @@ def fit_latent(df: DataFrame, col: str, id_col: str, settings: LatentFit, log: S
             weights |= {"pi": model.weights, "mu": model.means, "var": model.variances}
         weights = _round(rows, col, id_col, weights, phase, factor, index, settings)
         losses.append(float(weights.pop("loss")))
+        shortened.append(int(weights.pop("shortened")))
         if log is not None:
-            log.add(index, loss=losses[-1], anneal_factor=factor, learning_rate=settings.rate)
+            log.add(index, loss=losses[-1], anneal_factor=factor, learning_rate=settings.rate, shortened_steps=shortened[-1])
     if log is not None:
         log.flush()
     model = model or _initialise(rows, col, id_col, weights, settings)
     rows.unpersist()
     if "pi" in weights:
         model = replace(model, weights=weights.pop("pi"), means=weights.pop("mu"), variances=weights.pop("var"))
-    return FittedLatent(weights, model, losses)
+    return FittedLatent(weights, model, losses, shortened)
 
 
 def _initialise(rows: DataFrame, col: str, id_col: str, weights: Weights, s: LatentFit) -> Mixture:
