@@ -5,8 +5,12 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from mixframe.operators import latent_fit
+from mixframe.operators import latent_fit, scoring
 from mixframe.operators.latent_fit import LatentFit, fit_latent, initial_weights
+from mixframe.operators.network import encode
+from mixframe.plans.latent import read_latent, train_latent
+from mixframe.session import scratch_path
+from mixframe.sinks.step_log import StepLog, read_log
 
 SETTINGS = LatentFit(code=2, hidden=6, clusters=2, gamma_rounds=1, init_steps=1, beta_rounds=1, static_rounds=2, batch_size=32, max_iter=10, rate=0.01)
 RNG = np.random.default_rng(4)
@@ -48,3 +52,14 @@ def test_step_that_is_no_number_is_still_an_error(rows):
     w["logvar_b"][:] = np.nan
     with pytest.raises(Exception, match="not a number"):
         latent_fit._round(rows, "x", "id", w, "static", 1.0, 0, SETTINGS)
+
+
+def test_trained_after_steps_past_zero_is_published_and_used(spark, rows):
+    folder = scratch_path(spark, "models")
+    log = StepLog(spark, f"{folder}-log", "run")
+    version = train_latent(rows, "x", "id", replace(SETTINGS, rate=0.2), folder, (2, 2, 1), log)
+    assert sum(r.value for r in read_log(spark, f"{folder}-log").where("name = 'shortened_steps'").collect()) > 0
+    coder, model = read_latent(spark, folder, version)
+    found = scoring.predict(encode(rows, coder, "x"), model, ["id"], z=None).select("id", "gamma", "assignments").collect()
+    assert sorted(r["id"] for r in found) == list(range(len(X)))
+    assert all(np.isclose(sum(r["gamma"]), 1.0) and 0 <= r["assignments"] < 2 for r in found)
