@@ -38,3 +38,8 @@ def test_cluster_metrics_stream_of_part_files(spark, folders):
 def test_init_stream_of_part_files(spark, folders):
     one, parts = _both(spark, folders, "init_stream")
     assert [(r["k"], r["dim"]) for r in parts] == [(k, 64) for k in range(4)] == [(r["k"], r["dim"]) for r in one]
+
+
+def test_metrics_stream_of_part_files(spark, folders):
+    one, parts = _both(spark, folders, "metrics_stream")
+    assert len(parts) == 1 and list(parts[0]) == pytest.approx(list(one[0]))
