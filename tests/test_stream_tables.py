@@ -43,3 +43,10 @@ def test_init_stream_of_part_files(spark, folders):
 def test_metrics_stream_of_part_files(spark, folders):
     one, parts = _both(spark, folders, "metrics_stream")
     assert len(parts) == 1 and list(parts[0]) == pytest.approx(list(one[0]))
+
+
+def test_score_stream_of_part_files(spark, folders):
+    one, parts = _both(spark, folders, "score_stream")
+    assert [r["vec_id"] for r in parts] == list(range(ROWS))
+    assert [r["assignments"] for r in parts] == [r["assignments"] for r in one]
+    assert [r["confidence"] for r in parts] == pytest.approx([r["confidence"] for r in one])
